@@ -7,14 +7,31 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_extract import extract_main_text
+from .language_id import held_out, identify, learn_prototypes
 from .packing import pack_documents
 from .token_files import read_token_files, write_token_files
+from .warc import read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    prototypes = learn_prototypes(docs.where(~held_out()))
+    return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), prototypes).drop("text")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_warc(write_warc(_table(spark, sf_dir, "pages")))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -26,6 +43,9 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_main_text": op1_main_text,
+        "op2_language": op2_language,
+        "op3_warc": op3_warc,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op8_token_files": op8_token_files,
     }
