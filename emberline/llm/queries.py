@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprints import compare_versions
 from .html_extract import extract_main_text
 from .language_id import held_out, identify, learn_prototypes
 from .packing import pack_documents
@@ -36,6 +37,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_versions(_table(spark, sf_dir, "documents")).drop("differing_edited")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read_token_files(shards)
@@ -47,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language": op2_language,
         "op3_warc": op3_warc,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_fingerprints": op6_fingerprints,
         "op8_token_files": op8_token_files,
     }
 
