@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .fingerprints import compare_versions
 from .html_extract import extract_main_text
 from .language_id import held_out, identify, learn_prototypes
+from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .token_files import read_token_files, write_token_files
 from .warc import read_warc, write_warc
@@ -46,6 +47,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(shards)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_main_text": op1_main_text,
@@ -54,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_fingerprints": op6_fingerprints,
         "op8_token_files": op8_token_files,
+        "op9_line_dedup": op9_line_dedup,
     }
 
 
