@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import find_leaks
 from .fingerprints import compare_versions
 from .html_extract import extract_main_text
 from .language_id import held_out, identify, learn_prototypes
@@ -51,6 +52,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_main_text": op1_main_text,
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_fingerprints": op6_fingerprints,
         "op8_token_files": op8_token_files,
         "op9_line_dedup": op9_line_dedup,
+        "op10_decontamination": op10_decontamination,
     }
 
 
