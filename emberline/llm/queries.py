@@ -10,14 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import find_leaks
 from .fingerprints import compare_versions
 from .html_extract import extract_main_text
+from .jaccard_join import jaccard_components
 from .language_id import held_out, identify, learn_prototypes
 from .line_dedup import dedup_lines
 from .packing import pack_documents
+from .shared import importable
 from .token_files import read_token_files, write_token_files
 from .warc import read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +46,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_versions(_table(spark, sf_dir, "documents")).drop("differing_edited")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read_token_files(shards)
@@ -63,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_fingerprints": op6_fingerprints,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_token_files": op8_token_files,
         "op9_line_dedup": op9_line_dedup,
         "op10_decontamination": op10_decontamination,
