@@ -15,6 +15,7 @@ from .language_id import held_out, identify, learn_prototypes
 from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .shared import importable
+from .suffix_dedup import repeated_passages
 from .token_files import read_token_files, write_token_files
 from .warc import read_warc, write_warc
 
@@ -38,6 +39,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(write_warc(_table(spark, sf_dir, "pages")))
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -68,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_main_text": op1_main_text,
         "op2_language": op2_language,
         "op3_warc": op3_warc,
+        "op4_repeated_passages": op4_repeated_passages,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_fingerprints": op6_fingerprints,
         "op7_jaccard_join": op7_jaccard_join,
