@@ -6,17 +6,56 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from emberline.llm.decontaminate import drop_leaks
+from emberline.llm.jaccard_join import drop_near_duplicates
+from emberline.llm.language_id import identify, learn_prototypes
+from emberline.llm.line_dedup import dedup_lines
 from emberline.llm.packing import pack_documents
-from emberline.llm.shared import staged
+from emberline.llm.shared import importable, staged
+
+#: Texts less like every learned language than this are rejected, as are texts without letters.
+LEAST_SCORE = 0.02
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in no learned language."""
+    importable(spark)
+    judged = identify(docs, learn_prototypes(docs))
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated multi-line chunks; documents of which nothing is left go."""
+    cleaned = dedup_lines(docs).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    return cleaned.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of every group of near duplicates: five-word shingles, Jaccard similarity 0.8."""
+    importable(spark)
+    return drop_near_duplicates(docs, size=5, percent=80)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item or its template."""
+    importable(spark)
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' tokens into sequences of 4096."""
+    importable(spark)
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("best-fit packing", packed),
+    ("language", known_language),
+    ("line-dedup", without_repeated_lines),
+    ("near-duplicates", without_near_duplicates),
+    ("decontamination", without_benchmark),
+    ("packing", packed),
 ]
 
 #: Learned language profiles and a tokenizer's ids are beyond SQL; the tests compare with brute force.
@@ -26,5 +65,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = staged(stage(spark, docs, sf_dir), name)
     return docs

@@ -185,7 +185,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     A row per document and passage: doc_id, start_word, end_word (not included), n_words, other_doc_id (the
     smallest doc_id of a text that has a part of it). Words are what ASCII blanks part; passages match by
-    their words, whole texts by their bytes' hash; a run of one word does not repeat itself. Null and short texts have none. Rows that share a doc_id are
+    their words, whole texts by their bytes' hash; a run that overlaps its own repetition does not count. Null and short texts have none. Rows that share a doc_id are
     documents of their own, so a repeated row repeats itself; null ids stay null; an empty table
     gives no rows; further columns are ignored.
     """
