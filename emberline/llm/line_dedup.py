@@ -8,7 +8,7 @@ byte by byte; the first occurrence stays and the others go. Everything is a Spar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import staged
@@ -46,13 +46,17 @@ def _occurrences(docs: DataFrame, *more: str) -> DataFrame:
     return (
         _chunked(docs.select("doc_id", "text"))
         .select("doc_id", "text_hash", F.explode(F.expr(f"filter(chunks, c -> c.n >= {MIN_LINES} AND {solid} AND {long})")).alias("c"), *(["lines"] if more else []))
-        .select("doc_id", "text_hash", "c.first", "c.n", "c.hash", *([_CHUNK_TEXT] if more else []))
+        .select("doc_id", "text_hash", "c.first", "c.n", "c.hash", *([_chunk_text()] if more else []))
     )
 
 
-_PLACE = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text_hash", "first")
-#: A chunk's bytes; lines hold no line feed, so equal bytes mean equal lines.
-_CHUNK_TEXT = F.expr("array_join(slice(lines, c.first + 1, c.n), '\\n')").alias("chunk")
+def _place() -> Column:
+    return F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text_hash", "first")
+
+
+def _chunk_text() -> Column:
+    """A chunk's bytes; lines hold no line feed, so equal bytes mean equal lines."""
+    return F.expr("array_join(slice(lines, c.first + 1, c.n), '\\n')").alias("chunk")
 
 
 def repeated_chunks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -64,10 +68,10 @@ def repeated_chunks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bytes mean that all chunks of a hash are the same.
     """
     chunks = _occurrences(docs, "chunk")
-    counted = chunks.groupBy("hash").agg(F.count("*").alias("times"), F.min(_PLACE).alias("keeper"), F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("times > 1")
+    counted = chunks.groupBy("hash").agg(F.count("*").alias("times"), F.min(_place()).alias("keeper"), F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("times > 1")
     repeated = staged(counted.select("hash", "keeper", (F.col("low") == F.col("high")).alias("agree")), "repeated-chunks")
     clashes = repeated.where(~F.col("agree")).select("hash")
-    clashing = chunks.join(clashes, "hash", "left_semi").groupBy("hash", "chunk").agg(F.count("*").alias("times"), F.min(_PLACE).alias("keeper")).where("times > 1").drop("times")
+    clashing = chunks.join(clashes, "hash", "left_semi").groupBy("hash", "chunk").agg(F.count("*").alias("times"), F.min(_place()).alias("keeper")).where("times > 1").drop("times")
     return repeated.where("agree").drop("agree"), clashing if not clashes.isEmpty() else clashing.limit(0)
 
 
@@ -82,7 +86,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     agreed, clashing = repeated_chunks(docs)
     places = ["doc_id", "text_hash", "first", "n"]
-    other = ~_PLACE.eqNullSafe(F.col("keeper"))
+    other = ~_place().eqNullSafe(F.col("keeper"))
     removed = _occurrences(docs).join(agreed, "hash").where(other).select(*places)
     if not clashing.isEmpty():
         removed = removed.unionByName(_occurrences(docs, "chunk").join(clashing, ["hash", "chunk"]).where(other).select(*places))
