@@ -4,7 +4,7 @@
     spark.read.format("klines").option("url", "https://host/klines?symbol={symbol}&interval={interval}&limit={limit}")
         .option("symbols", "AAA,BBB").option("intervals", "1m,5m").load()
 
-Each (symbol, interval) is a partition that fetches its own snapshot. Any URL that urllib opens will do, a
+With option("pushdown", "true"), filters on symbol and interval choose the requests. Each (symbol, interval) is a partition that fetches its own snapshot. Any URL that urllib opens will do, a
 file: URL too.
 """
 
@@ -59,6 +59,16 @@ class KlineReader(DataSourceReader):
     def __init__(self, settings: _Settings):
         self.settings = settings
 
+    def partitions(self) -> list[InputPartition]:
+        return [Series(s, i) for s in self.settings.symbols for i in self.settings.intervals]
+
+    def read(self, partition: Series) -> Iterator[tuple]:
+        yield from self.settings.fetch(partition.symbol, partition.interval)
+
+
+class PruningKlineReader(KlineReader):
+    """For sessions with spark.sql.python.filterPushdown.enabled; Spark refuses such a reader without it."""
+
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         """An equality on symbol or interval picks the requests to send; others are left to Spark."""
         for f in filters:
@@ -68,12 +78,6 @@ class KlineReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[InputPartition]:
-        return [Series(s, i) for s in self.settings.symbols for i in self.settings.intervals]
-
-    def read(self, partition: Series) -> Iterator[tuple]:
-        yield from self.settings.fetch(partition.symbol, partition.interval)
-
 
 class KlinePoller(SimpleDataSourceStreamReader):
     """Every poll is a whole snapshot of each series; the offset is the time of the poll."""
@@ -85,9 +89,8 @@ class KlinePoller(SimpleDataSourceStreamReader):
         return {"polled": 0}
 
     def _rows(self) -> Iterator[tuple]:
-        for symbol in self.settings.symbols:
-            for interval in self.settings.intervals:
-                yield from self.settings.fetch(symbol, interval)
+        """A snapshot of every series, `limit` bars each."""
+        return iter([row for s in self.settings.symbols for i in self.settings.intervals for row in self.settings.fetch(s, i)])
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         return self._rows(), {"polled": max(start["polled"] + 1, int(time.time() * 1000))}
@@ -106,7 +109,8 @@ class KlineSource(DataSource):
         return BAR
 
     def reader(self, schema: object) -> DataSourceReader:
-        return KlineReader(_Settings(dict(self.options)))
+        kind = PruningKlineReader if self.options.get("pushdown", "false").lower() == "true" else KlineReader
+        return kind(_Settings(dict(self.options)))
 
     def simpleStreamReader(self, schema: object) -> SimpleDataSourceStreamReader:  # noqa: N802
         return KlinePoller(_Settings(dict(self.options)))

@@ -70,5 +70,9 @@ def trailing_snapshots(bars: DataFrame) -> DataFrame:
 
 
 def stream_signals(bars: DataFrame) -> DataFrame:
-    """The signal at every bar of a stream, as the batch history gives it."""
+    """The signal at every bar of a stream, as the batch history gives it.
+
+    Spark runs no such state behind a streaming aggregate, so bars_of_stream goes to a table first and
+    this reads the table as a stream.
+    """
     return judge(from_snapshots(trailing_snapshots(bars)))
