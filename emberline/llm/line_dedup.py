@@ -93,7 +93,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     per_doc = removed.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "n")).alias("gone"))
     gone = staged(per_doc.withColumnsRenamed({"doc_id": "gone_id", "text_hash": "gone_hash"}), "removed-chunks")
     hashed = docs.select(*kept).withColumn("__hash", F.xxhash64("text"))
-    joined = hashed.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("__hash") == F.col("gone_hash")), "left")
+    joined = hashed.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("__hash") == F.col("gone_hash")), "left")
     split = joined.withColumn("__lines", F.split("text", "\n"))
     marked = split.withColumn("__gone", F.expr("flatten(transform(gone, g -> sequence(g.first, g.first + g.n - 1)))"))
     stays = F.expr("transform(array_except(sequence(0, size(__lines) - 1), __gone), i -> __lines[i])")
