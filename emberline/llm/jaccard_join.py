@@ -80,11 +80,18 @@ def bitmap(hashes: np.ndarray) -> list[int]:
 
 @dataclass(frozen=True)
 class Join:
-    """Shingle size, and the least Jaccard similarity in hundredths."""
+    """Shingle size, and the least Jaccard similarity in hundredths.
+
+    Below 70 hundredths linked sets may differ in so many shingles that no segment need be common.
+    """
 
     size: int
     percent: int
 
+    def __post_init__(self) -> None:
+        if not 70 <= self.percent <= 100 or self.size < 1:
+            raise ValueError("percent must be from 70 to 100 and size 1 at least")
+
     def differ(self, a: int, b: int) -> int:
         """The most shingles by which linked sets of these sizes differ."""
         return (a + b) * (100 - self.percent) // (100 + self.percent)
