@@ -91,10 +91,10 @@ class Element:
 class Container:
     """A container's path, its place among the page's blocks, and its score."""
 
-    __slots__ = ("path", "parent", "first", "last", "score")
+    __slots__ = ("tag", "path", "parent", "first", "last", "score")
 
-    def __init__(self, path: str, parent: "Container | None", first: int):
-        self.path, self.parent, self.first, self.last, self.score = path, parent, first, -1, 0.0
+    def __init__(self, tag: str, path: str, parent: "Container | None", first: int):
+        self.tag, self.path, self.parent, self.first, self.last, self.score = tag, path, parent, first, -1, 0.0
 
 
 class Page:
@@ -170,7 +170,7 @@ class Page:
             above = parent.path if parent else ""
             if len(above) > LONGEST_PATH:
                 above = f"#{crc32(above.encode()):08x}"
-            container = Container(f"{above}>{step}" if above else step, parent, len(self.blocks))
+            container = Container(tag, f"{above}>{step}" if above else step, parent, len(self.blocks))
             if tag in ("article", "main"):
                 container.score = ARTICLE_BONUS
             self.containers.append(container)
@@ -213,8 +213,14 @@ class Page:
                 self.link_chars += size
 
     def best(self) -> Container | None:
-        """The container of the largest score, the inner one of equals."""
-        return max(reversed(self.containers), key=lambda c: c.score, default=None)
+        """The container of the largest score, the inner one of equals; the article around it, or the
+        main part where the page marks no article, if it stands in one, for the sake of the title."""
+        found = max(reversed(self.containers), key=lambda c: c.score, default=None)
+        around = "article" if any(c.tag == "article" for c in self.containers) else "main"
+        above = found
+        while above is not None and above.tag != around:
+            above = above.parent
+        return above or found
 
     def text_of(self, containers: list[Container]) -> str:
         """The blocks of the outermost of the containers given, in page order."""

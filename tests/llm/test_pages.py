@@ -19,6 +19,7 @@ SCHEMA = "page_id long, url string, html string, text string, path long"
         ("<body><article class='no-sidebar'><header class='entry-header'><h1>Title</h1></header><p>text</p><div class='ad-box'>buy</div></article>", "Title\n\ntext"),
         ("<body><main><p>a<script>if (1 < 2) '</p>'</script>b</p><!-- c --><style>p{}</style></main>", "ab"),
         ("<body><article><p>cut off <b>here", "cut off here"), ("<article><p>&lt;tag&gt; &#233; &eacute; &copy</p></article>", "<tag> é é ©"),
+        ("<body><main><h1>Title</h1><div class='body'><p>" + "long text " * 9 + "</p></div></main><div class='more'><p>short</p></div>", "Title\n\n" + ("long text " * 9).strip()),
         ("<div><table><tr><td>a<td>b<tr><td>c</table></div>", "a b\n\nc"),
     ],
 )
