@@ -36,7 +36,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_warc(write_warc(_table(spark, sf_dir, "pages")))
+    return read_warc(write_warc(_table(spark, sf_dir, "pages"))).drop("file", "offset")
 
 
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +84,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the queries that SQL can express; the tests hold the others against brute force."""
+    return {
+        "op3_warc": """
+            WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+            f AS (SELECT html, min(page_id) AS first_id FROM p WHERE strlen(html) >= 100 GROUP BY html)
+            SELECT page_id, url, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
+                CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+            FROM p LEFT JOIN f USING (html)""",
+        "op7_jaccard_join": r"""
+            WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+            s AS (SELECT DISTINCT doc_id, array_to_string(words[i : i + 3], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(1, len(words) - 3) + 1)) AS i FROM w WHERE len(words) > 0)),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+            l AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * common >= 85 * (x.n + y.n - common)),
+            e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+            r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.reached)
+            SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.reached) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id, n.n""",
+    }
