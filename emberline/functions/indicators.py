@@ -31,14 +31,15 @@ def _without_first(values: Column) -> Column:
 
 
 def ema(prices: Column, period: int) -> Column:
-    """struct(prev, cur): the last two values of the exponential moving average seeded with the first price; prev is null for one price."""
-    k = F.lit(2.0) / _double(period + 1)
-    start = F.struct(F.lit(None).cast("double").alias("prev"), F.get(prices, F.lit(0)).alias("cur"))
-    return F.aggregate(
-        _without_first(prices),
-        start,
-        lambda a, x: F.struct(a["cur"].alias("prev"), (x * k + a["cur"] * (F.lit(1.0) - k)).alias("cur")),
-    )
+    """struct(prev, cur): the last two values of the exponential moving average seeded with the first price; prev is null for one price.
+
+    The fold carries one double; the last step is taken outside it.
+    """
+    k, rest = F.lit(2.0) / _double(period + 1), F.lit(1.0) - F.lit(2.0) / _double(period + 1)
+    size, first = F.size(prices), F.get(prices, F.lit(0))
+    inner = F.slice(prices, F.lit(2), F.greatest(size - 2, F.lit(0)))
+    prev = F.when(size > 1, F.aggregate(inner, first, lambda a, x: x * k + a * rest))
+    return F.transform(F.array(prev), lambda p: F.struct(p.alias("prev"), F.coalesce(F.get(prices, size - 1) * k + p * rest, first).alias("cur")))[0]
 
 
 def ema_series(prices: Column, period: int) -> Column:
@@ -95,17 +96,17 @@ def _smoothed(a: Column, x: Column, period: int) -> tuple[Column, Column]:
 def rsi(prices: Column, period: int = 14) -> Column:
     """The last value of rsi_series, without building it."""
     moves = changes(prices)
-    seed = F.struct(
-        (_sum(F.transform(F.slice(moves, 1, period), positive_part)) / _double(period)).alias("g"),
-        (_sum(F.transform(F.slice(moves, 1, period), negative_part)) / _double(period)).alias("l"),
-    )
+    return rsi_of_moves(F.transform(moves, positive_part), F.transform(moves, negative_part), period)
 
-    def step(a: Column, x: Column) -> Column:
-        g, l = _smoothed(a, x, period)  # noqa: E741
-        return F.struct(g.alias("g"), l.alias("l"))
 
-    folded = F.aggregate(_from(moves, period), seed, step, lambda a: _strength(a["g"], a["l"]))
-    return F.when(F.size(moves) < period, _double(50)).otherwise(folded)
+def rsi_of_moves(gains: Column, losses: Column, period: int = 14) -> Column:
+    """The last value of rsi_series from the moves' positive and negative parts."""
+
+    def smoothed(parts: Column) -> Column:
+        seed = _sum(F.slice(parts, 1, period)) / _double(period)
+        return F.aggregate(_from(parts, period), seed, lambda a, x: (a * _double(period - 1) + x) / _double(period))
+
+    return F.when(F.size(gains) < period, _double(50)).otherwise(_strength(smoothed(gains), smoothed(losses)))
 
 
 def true_range(high: Column, low: Column, previous_close: Column) -> Column:

@@ -19,9 +19,9 @@ def with_indicators(bars: DataFrame) -> DataFrame:
 
 
 def from_snapshots(snapshots: DataFrame) -> DataFrame:
-    """The indicators of bars that carry their snapshot's closes, ranges, sum_volume and n_bars."""
+    """The indicators of bars that carry their snapshot's closes, gains, losses, ranges, sum_volume and n_bars."""
     folded = snapshots.select(
-        "*", ind.ema(F.col("closes"), 9).alias("e9"), ind.ema(F.col("closes"), 21).alias("e21"), ind.rsi(F.col("closes"), 14).alias("rsi"), ind.atr(F.col("ranges"), 14).alias("atr")
+        "*", ind.ema(F.col("closes"), 9).alias("e9"), ind.ema(F.col("closes"), 21).alias("e21"), ind.rsi_of_moves(F.col("gains"), F.col("losses"), 14).alias("rsi"), ind.atr(F.col("ranges"), 14).alias("atr")
     )
     avg = F.col("sum_volume") / F.lit(20.0)
     return folded.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.indicators import NAN, true_range
+from ..functions.indicators import NAN, negative_part, positive_part, true_range
 from .candles import KEY, numbered
 
 #: Bars of a snapshot, and of a chunk that one window partition holds besides its lead-in.
@@ -13,7 +13,8 @@ SNAPSHOT, CHUNK = 300, 512
 
 
 def with_snapshots(bars: DataFrame, size: int = SNAPSHOT, chunk: int = CHUNK) -> DataFrame:
-    """Adds, for each bar, what the last `size` bars hold: closes and ranges as arrays, n_bars, sum_volume of the last 20, prev_close.
+    """Adds, for each bar, what the last `size` bars hold: closes, ranges, and the gains and losses of all but the
+    oldest as arrays; n_bars, sum_volume of the last 20, prev_close.
 
     A series is cut into chunks; a chunk also gets the size - 1 bars before it. One long series is thus
     spread over many tasks, and each window reads its own chunk only.
@@ -26,11 +27,14 @@ def with_snapshots(bars: DataFrame, size: int = SNAPSHOT, chunk: int = CHUNK) ->
     order = Window.partitionBy(*KEY, "chunk").orderBy("bar_no")
     trailing = order.rowsBetween(1 - size, 0)
     ranged = spread.withColumn("prev_close", F.lag("close").over(order)).withColumn("range", F.coalesce(true_range(F.col("high"), F.col("low"), F.col("prev_close")), F.lit(NAN)))
+    move = F.col("close") - F.col("prev_close")
+    parts = {name: F.coalesce(part(move), F.lit(0.0)) for name, part in (("gain", positive_part), ("loss", negative_part))}
     return (
-        ranged.withColumn("closes", F.collect_list("close").over(trailing))
+        ranged.withColumns(parts).withColumn("closes", F.collect_list("close").over(trailing))
         .withColumn("ranges", F.collect_list("range").over(trailing))
+        .withColumns({f"{name}es" if name == "loss" else f"{name}s": F.slice(F.collect_list(name).over(trailing), 2, size) for name in parts})
         .withColumn("sum_volume", F.sum("volume").over(order.rowsBetween(-19, 0)))
         .where("chunk = home")
         .withColumn("n_bars", F.size("closes"))
-        .drop("chunk", "home", "range")
+        .drop("chunk", "home", "range", *parts)
     )

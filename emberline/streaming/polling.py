@@ -36,7 +36,7 @@ def bars_of_stream(ticks: DataFrame, interval: str, late: str = "1 hour", symbol
     )
 
 
-_INDICATED = "symbol string, interval string, time timestamp_ntz, closes array<double>, ranges array<double>, sum_volume double, close double, volume double, n_bars int"
+_INDICATED = "symbol string, interval string, time timestamp_ntz, closes array<double>, gains array<double>, losses array<double>, ranges array<double>, sum_volume double, close double, volume double, n_bars int"
 _STATE = "times array<timestamp_ntz>, highs array<double>, lows array<double>, closes array<double>, volumes array<double>"
 
 
@@ -61,7 +61,9 @@ def trailing_snapshots(bars: DataFrame) -> DataFrame:
             total = 0.0
             for v in volumes[-20:]:
                 total += v
-            out.append((*key, row.time, list(closes), ranges, total, row.close, row.volume, len(closes)))
+            moves = [b - a for a, b in zip(closes, closes[1:])]
+            gains, losses = ([m if m > 0 else 0.0 for m in ms] for ms in (moves, [-m for m in moves]))
+            out.append((*key, row.time, list(closes), gains, losses, ranges, total, row.close, row.volume, len(closes)))
         state.update(tuple(held))
         yield pd.DataFrame(out, columns=[x.split()[0] for x in _INDICATED.split(", ")])
 
