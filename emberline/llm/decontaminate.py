@@ -27,7 +27,7 @@ WINDOW, LEAST = 8, 4
 COVERAGE, AGREEMENT = 0.4, 0.8
 #: Bits of the filter that keeps other windows out of the shuffle; its size is fixed.
 FILTER_BITS = 20
-MEMO = 500_000
+MEMO = 200_000
 
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)

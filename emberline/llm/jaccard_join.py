@@ -29,7 +29,7 @@ from .shared import staged
 #: Segments beyond D + 1, as a share; the shingles a segment needs not to be weak.
 SLACK, STRONG = 0.2, 3
 #: 64-bit words of a bitmap; members compared with one leader in one task, about; words a worker remembers.
-BITMAP, MEMBERS, MEMO = 16, 256, 500_000
+BITMAP, MEMBERS, MEMO = 16, 256, 200_000
 #: Bits of the filter that keeps texts without candidates out of the shuffle; its size is fixed.
 FILTER_BITS = 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -24,7 +24,7 @@ WORDS, GRAM, WINDOW = 50, 12, 38
 RIGHT, LEFT = 52, 40
 #: Bytes that stand for a word; neighbours each suffix is compared with, on each side.
 BYTES, NEIGHBOURS = 3, 4
-FILTER_BITS, MEMO = 20, 500_000
+FILTER_BITS, MEMO = 20, 200_000
 
 
 class _Words(dict):
