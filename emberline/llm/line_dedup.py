@@ -1,9 +1,10 @@
 """Line dedup by content-defined chunks of lines.
 
-A chunk ends where a hash rolling over the last LINES line hashes is 0 modulo EVERY, so an inserted or
-lost line moves the nearest boundaries only and a repeated passage falls into the same chunks
-wherever it stands. Chunks of two lines or more that occur more than once in the corpus are compared
-byte by byte; the first occurrence stays and the others go. Everything is a Spark SQL expression.
+A chunk starts at every line that isn't blank and ends where it holds MIN_LINES such lines and MIN_CHARS of
+their characters; where short lines follow each other, another ends at every line and starts where it is as
+full. So each line of a repeated passage that is long enough for a chunk lies in a chunk inside the passage,
+wherever the passage stands. Chunks that occur more than once in the corpus are compared byte by byte; the
+first occurrence stays and the lines of the others go. Everything is a Spark SQL expression.
 """
 
 from __future__ import annotations
@@ -13,41 +14,83 @@ from pyspark.sql import functions as F
 
 from .shared import staged
 
-#: Lines that the rolling hash covers, and lines to a chunk about; a chunk removed has MIN_LINES at least.
-LINES, EVERY, MIN_LINES = 2, 3, 2
+#: Solid lines to a chunk's start, 1 so that no passage falls between two; a chunk has MIN_LINES at least.
+EVERY, MIN_LINES = 1, 2
 #: Shorter chunks repeat by chance.
 MIN_CHARS = 40
+#: Bits of the index of a filter word (of 64 bits) that keeps single chunks out of later shuffles; its size is fixed.
+FILTER_BITS = 18
 
+_FULL = f"s.n >= {MIN_LINES} AND s.chars >= {MIN_CHARS}"
+
+
+def _filled(sizes: str) -> str:
+    """How many of the sizes fill a chunk, 0 if all don't."""
+    return (
+        f"aggregate({sizes}, named_struct('n', 0, 'chars', 0), (s, x) -> IF({_FULL}, s, named_struct('n', s.n + 1, 'chars', s.chars + x)),"
+        f" s -> IF({_FULL}, s.n, 0))"
+    )
+
+
+# A solid line has a character at least, so MIN_CHARS lines fill any chunk. Two lines that do are found without the search.
+_SOLID = f"filter(sequence(0, size(lines) - 1, {EVERY}), i -> lines[i] RLIKE '\\\\S')"
+_SIZES = "transform(solid, i -> length(lines[i]))"
+_AHEAD = f"transform(sizes, (x, i) -> named_struct('at', i, 'n', IF(x + get(sizes, i + 1) >= {MIN_CHARS}, {MIN_LINES}, {_filled(f'slice(sizes, i + 1, {MIN_CHARS})')})))"
+_BACK = (
+    f"transform(sizes, (x, i) -> IF(i = 0 OR x + sizes[i - 1] >= {MIN_CHARS}, 0,"
+    f" {_filled(f'reverse(slice(sizes, greatest(i - {MIN_CHARS - 2}, 1), least(i + 1, {MIN_CHARS})))')}))"
+)
+_SPANS = (
+    "array_distinct(concat("
+    "transform(filter(ahead, s -> s.n > 0), s -> named_struct('first', solid[s.at], 'stop', solid[s.at + s.n - 1] + 1)),"
+    "transform(filter(transform(back, (n, i) -> named_struct('at', i, 'n', n)), s -> s.n > 0), s -> named_struct('first', solid[s.at - s.n + 1], 'stop', solid[s.at] + 1))))"
+)
 _HASHES = "transform(lines, x -> xxhash64(x))"
-_ROLLED = "xxhash64(" + ", ".join(f"hashes[i - {k}]" for k in range(1, LINES + 1)) + ")"
-_CUTS = f"filter(sequence(0, size(hashes)), i -> i = 0 OR i = size(hashes) OR (i >= {LINES} AND pmod({_ROLLED}, {EVERY}) = 0))"
 _CHUNKS = (
-    "transform(slice(cuts, 1, size(cuts) - 1), (c, i) -> named_struct('first', c, 'n', cuts[i + 1] - c,"
-    " 'hash', xxhash64(slice(hashes, c + 1, cuts[i + 1] - c))))"
+    "transform(starts, (c, i) -> named_struct('first', c, 'n', stops[i] - c,"
+    " 'hash', xxhash64(slice(hashes, c + 1, stops[i] - c))))"
 )
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """`body` with `name` for a value that is computed once, whatever lambda in it uses the name."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _chunked(docs: DataFrame) -> DataFrame:
     """Adds lines, and chunks as (first line from 0, n lines, hash); text_hash tells apart rows of one doc_id."""
+    chunks = _CHUNKS
+    bound = {"lines": "lines", "solid": _SOLID, "sizes": _SIZES, "ahead": _AHEAD, "back": _BACK, "spans": _SPANS, "starts": "spans.first", "stops": "spans.stop", "hashes": _HASHES}
+    for name, value in reversed(bound.items()):
+        chunks = _let(name, value, chunks)
     return (
         docs.withColumn("lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
         .withColumn("text_hash", F.xxhash64("text"))
-        .withColumn("hashes", F.expr(_HASHES))
-        .withColumn("cuts", F.expr(_CUTS))
-        .withColumn("chunks", F.expr(_CHUNKS))
-        .drop("hashes", "cuts")
+        .withColumn("chunks", F.expr(chunks))
+        .select("doc_id", "text_hash", "lines", "chunks")
     )
 
 
-def _occurrences(docs: DataFrame, *more: str) -> DataFrame:
-    """A row per chunk of MIN_LINES solid lines and MIN_CHARS characters or more."""
-    solid = f"size(filter(slice(lines, c.first + 1, c.n), x -> x RLIKE '\\\\S')) >= {MIN_LINES}"
-    long = f"aggregate(slice(lines, c.first + 1, c.n), 0, (a, x) -> a + length(x)) >= {MIN_CHARS}"
-    return (
-        _chunked(docs.select("doc_id", "text"))
-        .select("doc_id", "text_hash", F.explode(F.expr(f"filter(chunks, c -> c.n >= {MIN_LINES} AND {solid} AND {long})")).alias("c"), *(["lines"] if more else []))
-        .select("doc_id", "text_hash", "c.first", "c.n", "c.hash", *([_chunk_text()] if more else []))
-    )
+def _occurrences(docs: DataFrame, words: DataFrame | None = None, *more: str) -> DataFrame:
+    """A row per chunk; with filter words only those of hashes that may be repeated."""
+    rows = _chunked(docs.select("doc_id", "text")).select("doc_id", "text_hash", *(["lines"] if more else []), F.explode("chunks").alias("c"))
+    if words is not None:
+        rows = rows.join(F.broadcast(words), _word(F.col("c.hash")) == F.col("word")).where(F.col("bits").bitwiseAND(_bit("c.hash")) != 0)
+    return rows.select("doc_id", "text_hash", "c.first", "c.n", "c.hash", *([_chunk_text()] if more else []))
+
+
+def _word(hashed: Column) -> Column:
+    return F.shiftrightunsigned(hashed, 64 - FILTER_BITS)
+
+
+def _bit(hashed: str) -> Column:
+    return F.expr(f"shiftleft(1L, CAST({hashed} & 63 AS INT))")
+
+
+def _recurring(docs: DataFrame) -> DataFrame:
+    """The filter: (word, bits) of the hashes of chunks that occur more than once, 2 ** FILTER_BITS rows at most."""
+    counted = _occurrences(docs).groupBy("hash").agg(F.count("*").alias("times")).where("times > 1")
+    return staged(counted.groupBy(_word(F.col("hash")).alias("word")).agg(F.bit_or(_bit("hash")).alias("bits")), "recurring-chunks")
 
 
 def _place() -> Column:
@@ -59,7 +102,7 @@ def _chunk_text() -> Column:
     return F.expr("array_join(slice(lines, c.first + 1, c.n), '\\n')").alias("chunk")
 
 
-def repeated_chunks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repeated_chunks(docs: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chunks that occur more than once: (hash, keeper) where all bytes agree, and (hash, chunk, keeper)
     for the chunks of those hashes under which different bytes met.
 
@@ -67,7 +110,7 @@ def repeated_chunks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     combined before the shuffle, so no group of copies meets in one task; equal least and greatest
     bytes mean that all chunks of a hash are the same.
     """
-    chunks = _occurrences(docs, "chunk")
+    chunks = _occurrences(docs, words, "chunk")
     counted = chunks.groupBy("hash").agg(F.count("*").alias("times"), F.min(_place()).alias("keeper"), F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("times > 1")
     repeated = staged(counted.select("hash", "keeper", (F.col("low") == F.col("high")).alias("agree")), "repeated-chunks")
     clashes = repeated.where(~F.col("agree")).select("hash")
@@ -78,27 +121,30 @@ def repeated_chunks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All columns of `docs` with text rid of repeated chunks, and n_lines, n_removed.
 
-    A null text stays null with no lines, an empty one has one empty line. A text loses only whole chunks that
-    another place in the corpus keeps; one that loses all its lines becomes ''. Rows that repeat doc_id
+    A null text stays null with no lines, an empty one has one empty line. A text loses the lines of chunks that
+    stand at an earlier place too. The first place of a line in the corpus is the first of every chunk it lies in
+    there, so each lost line stays there. A text that loses all its solid lines becomes ''. Rows that repeat doc_id
     and text are one document to the comparison and get the same result. Columns named n_lines or n_removed are
     replaced, others stay as they are.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    agreed, clashing = repeated_chunks(docs)
+    words = _recurring(docs)
+    agreed, clashing = repeated_chunks(docs, words)
     places = ["doc_id", "text_hash", "first", "n"]
     other = ~_place().eqNullSafe(F.col("keeper"))
-    removed = _occurrences(docs).join(agreed, "hash").where(other).select(*places)
+    removed = _occurrences(docs, words).join(agreed, "hash").where(other).select(*places)
     if not clashing.isEmpty():
-        removed = removed.unionByName(_occurrences(docs, "chunk").join(clashing, ["hash", "chunk"]).where(other).select(*places))
+        removed = removed.unionByName(_occurrences(docs, words, "chunk").join(clashing, ["hash", "chunk"]).where(other).select(*places))
     per_doc = removed.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "n")).alias("gone"))
     gone = staged(per_doc.withColumnsRenamed({"doc_id": "gone_id", "text_hash": "gone_hash"}), "removed-chunks")
     hashed = docs.select(*kept).withColumn("__hash", F.xxhash64("text"))
     joined = hashed.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("__hash") == F.col("gone_hash")), "left")
     split = joined.withColumn("__lines", F.split("text", "\n"))
-    marked = split.withColumn("__gone", F.expr("flatten(transform(gone, g -> sequence(g.first, g.first + g.n - 1)))"))
-    stays = F.expr("transform(array_except(sequence(0, size(__lines) - 1), __gone), i -> __lines[i])")
+    marked = split.withColumn("__gone", F.expr("array_distinct(flatten(transform(gone, g -> sequence(g.first, g.first + g.n - 1))))"))
+    marked = marked.withColumn("__stays", F.expr("transform(array_except(sequence(0, size(__lines) - 1), __gone), i -> __lines[i])"))
+    marked = marked.withColumn("__solid", F.expr("exists(__stays, x -> x RLIKE '\\\\S')"))
     return marked.select(
-        *[F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")).alias("text") if c == "text" else F.col(c) for c in kept],
+        *[F.when(F.col("gone").isNull(), F.col("text")).when(F.col("__solid"), F.array_join("__stays", "\n")).otherwise("").alias("text") if c == "text" else F.col(c) for c in kept],
         F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines")).alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("__gone")).alias("n_removed"),
+        F.when(F.col("gone").isNull(), 0).when(F.col("__solid"), F.size("__gone")).otherwise(F.size("__lines")).alias("n_removed"),
     )

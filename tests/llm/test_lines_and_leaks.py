@@ -23,6 +23,22 @@ def test_passages_of_lines_go_once_kept(spark):
         assert sum(x in passage for x in kept) <= 12 * EVERY  # what stands at the passage's rims
 
 
+def test_short_shared_passages_go_whole(spark):
+    rng = random.Random(3)
+    line = lambda n: "".join(rng.choice("abcdefghijkl") for _ in range(n))
+    for width, gap in ((30, "\n"), (30, "\n\n"), (12, "\n")):
+        passages = [gap.join(line(width) for _ in range(n)) for n in range(2 if width > 20 else 4, 9)]
+        rows = [(10 * k + i, gap.join([line(50), p, line(50)]), None) for k, p in enumerate(passages) for i in range(3)]
+        rows += [(1000, line(50) + "\n" + "\n".join([line(30)] * 300), None), (1001, rows[0][1] + "\n\n", None)]
+        found = {r["doc_id"]: r for r in dedup_lines(spark.createDataFrame(rows, TEXTS)).collect()}
+        for k, passage in enumerate(passages):
+            assert found[10 * k]["text"] == rows[3 * k][1]
+            for i in (1, 2):
+                own = rows[3 * k + i][1].split("\n")
+                assert [x for x in found[10 * k + i]["text"].split("\n") if x] == [own[0], own[-1]]
+        assert found[1000]["n_removed"] == 299 and found[1001]["text"] == "" and found[1001]["n_removed"] == found[1001]["n_lines"]
+
+
 def test_every_removed_chunk_is_kept_elsewhere(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
