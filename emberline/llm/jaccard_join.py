@@ -245,6 +245,11 @@ def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     doc_id are joined each; null doc_ids count as no doc_id of their component. An empty table gives no rows;
     further columns are ignored. Exact up to chance equality of 64-bit hashes.
     """
+    return _labelled(docs, size, percent).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Per row of `docs`: doc_id, text_hash, n its shingles, c its component (null without shingles) and component_id, the least doc_id there."""
     join = Join(size, percent)
     rows = _rows(docs, join)
     crowd = rows.withColumn("sharing", F.count("*").over(Window.partitionBy("k")).cast("int"))
@@ -262,7 +267,7 @@ def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     )
     pairs = led.groupBy(F.col("set").alias("u"), F.col("leader").alias("v")).agg(F.max("leader_fame").alias("fame"))
     involved = led.select("set").unionByName(led.select(F.col("leader").alias("set"))).distinct()
-    sets = members.where("set IS NOT NULL").groupBy("set").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("doc_id", "text_hash")).alias("who"))
+    sets = members.where("set IS NOT NULL").groupBy("set").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("doc_id", "text_hash")).alias("who"), F.min("doc_id").alias("least"))
     candidates = staged(sets.join(involved, "set", "left_semi").select("set", "n", "bits", "who.*"), "candidate-sets")
     facts = candidates.select("set", "n", "bits")
 
@@ -297,15 +302,25 @@ def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     links = staged(links.unionByName(_verified(last.select(F.col("x.set").alias("u"), F.col("y.set").alias("v")).distinct(), texts, join)), "links")
     labels = staged(connected_components(links), "labels")
 
-    smallest = sets.select("set", "who.doc_id").join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", F.coalesce("component", "set").alias("c"), "doc_id")
+    smallest = sets.select("set", F.col("least").alias("doc_id")).join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", F.coalesce("component", "set").alias("c"), "doc_id")
     roots = smallest.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    of_set = staged(smallest.join(roots, "c").select("set", "component_id"), "set-components")
-    joined = members.select("doc_id", "set", "n").join(of_set, "set", "left")
-    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_set = staged(smallest.join(roots, "c").select("set", "c", "component_id"), "set-components")
+    return members.select("doc_id", "text_hash", "set", "n").join(of_set, "set", "left").drop("set")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, all columns, that are the first of their component: the row whose doc_id is the component's
-    smallest. Rows that share that doc_id all stay, rows with null doc_id too."""
-    kept = staged(jaccard_components(docs, size, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct(), "kept-documents")
-    return docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    """The documents, all columns, that are the first of their component: one row each, with the component's smallest
+    doc_id, null only where all its ids are. Texts without shingles all stay."""
+    rows = _labelled(docs, size, percent)
+    counted = rows.where("c IS NOT NULL").groupBy("c", "doc_id", "text_hash").agg(F.count("*").alias("times"))
+    firsts = counted.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash", "times")).alias("f"))
+    blank = rows.where("c IS NULL").select("doc_id", "text_hash", F.lit(1).cast("long").alias("times")).distinct()
+    named = firsts.select("f.doc_id", "f.text_hash", "f.times").unionByName(blank).toDF("__id", "__text", "__times")
+    kept = staged(named, "kept-documents")
+    hashed = docs.withColumn("__hash", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text"))
+    once, repeated = kept.where("__times = 1"), kept.where("__times > 1")
+    found = hashed.join(once, same, "left_semi")
+    if not repeated.isEmpty():
+        found = found.unionByName(hashed.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__hash"]))
+    return found.drop("__hash")

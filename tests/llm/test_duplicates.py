@@ -50,6 +50,14 @@ def test_components_of_awkward_rows(documents, no_documents, rows_of):
     assert drop_near_duplicates(no_documents).count() == 0
 
 
+def test_copies_with_null_and_repeated_ids(spark):
+    a, b, c = ("".join(f"{w}{i} " for i in range(20)) for w in "abc")
+    rows = [(None, a), (7, a), (9, a), (3, b), (3, b), (None, b), (None, c), (None, c), (7, b + "tail"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, TEXTS)
+    assert Counter(map(tuple, jaccard_components(docs, 5, 80).collect())) == Counter(components(rows, 5, 80))
+    assert Counter(map(tuple, drop_near_duplicates(docs).collect())) == Counter([(7, a), (3, b), (None, c), (None, None), (None, "")])
+
+
 def test_linked_sets_always_share_a_segment():
     rng = np.random.default_rng(5)
     for percent in (70, 80, 85, 95):
