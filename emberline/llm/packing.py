@@ -160,18 +160,19 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        code, part = encoder(tokenizer), TaskContext.get().partitionId()
-        end, seen = np.array([end_id], dtype="<u4").tobytes(), [0] * (capacity + 1)
+        code, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             rows: list[list] = [[] for _ in range(7)]
-            for doc_id, raw in zip(batch["doc_id"].to_pylist(), code.encode(batch["text"].to_pylist())):
-                raw += end
-                for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    ids = raw[at : at + 4 * capacity]
-                    length = len(ids) // 4
-                    for column, value in zip(rows, (doc_id, piece, at // 4, length, zlib.crc32(ids), part, seen[length])):
-                        column.append(value)
-                    seen[length] += 1
+            doc_ids = iter(batch["doc_id"].to_pylist())
+            for ids, bounds in code.encode(batch["text"], end_id):
+                raw, bounds = memoryview(ids).cast("B"), bounds.tolist()
+                for begin, stop in zip(bounds, bounds[1:]):
+                    doc_id = next(doc_ids)
+                    for piece, at in enumerate(range(begin, stop, capacity)):
+                        length = min(capacity, stop - at)
+                        for column, value in zip(rows, (doc_id, piece, at - begin, length, zlib.crc32(raw[4 * at : 4 * (at + length)]), part, seen[length])):
+                            column.append(value)
+                        seen[length] += 1
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "local"])
 

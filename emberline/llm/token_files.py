@@ -45,8 +45,10 @@ class EliasFano:
         if not n:
             return cls(0, 0, np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.uint64))
         low_bits = max(0, int(int(values[-1]) // n).bit_length() - 1)
-        shifts = np.arange(low_bits, dtype=np.uint64)
-        low = np.packbits(((values[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
+        planes = np.zeros((n, low_bits), np.uint8)
+        for bit in range(low_bits):
+            planes[:, bit] = (values >> np.uint64(bit)) & np.uint64(1)
+        low = np.packbits(planes.ravel(), bitorder="little")
         ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(ones[-1]) + 1, np.uint8)
         bits[ones] = 1
@@ -88,13 +90,12 @@ class ShardWriter:
         self.doc_ids: list[int] = []
         self.nulls = 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, bounds: np.ndarray) -> None:
+        """Documents in a row: the ids of number i are ids[bounds[i] : bounds[i + 1]]."""
         self.out.write(ids.astype(self.kind).tobytes())
-        self.lengths.append(len(ids))
-        if doc_id is None:
-            self.nulls += 1
-        else:
-            self.doc_ids.append(doc_id)
+        self.lengths += np.diff(bounds).tolist()
+        self.nulls += doc_ids.count(None)
+        self.doc_ids += [d for d in doc_ids if d is not None]
 
     def close(self) -> dict:
         bounds = EliasFano.encode(np.concatenate([[0], np.cumsum(self.lengths, dtype=np.uint64)]))
@@ -154,7 +155,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     """Encode every document and write shards in ascending doc_id order; returns the shards' table.
 
     Null texts count as empty (they hold the end id alone), null doc_ids come first, rows that repeat
-    a doc_id follow each other, an empty table gives no shard. Further columns are ignored. The
+    a doc_id follow each other in one shard, an empty table gives no shard. Further columns are ignored. The
     table has a row per shard: part (its place in the order), file, docs, tokens, start (ids before it).
     """
     folder = folder or fresh_dir(docs.sparkSession, "tokens")
@@ -163,12 +164,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
         from pyspark import TaskContext
 
         code = encoder(tokenizer)
-        writer, end = None, np.array([end_id], dtype="<u4").tobytes()
+        writer = None
         for batch in batches:
             if batch.num_rows and writer is None:
                 writer = ShardWriter(folder, max(code.size, end_id + 1) > 1 << 16)
-            for doc_id, raw in zip(batch["doc_id"].to_pylist(), code.encode(batch["text"].to_pylist())):
-                writer.add(doc_id, np.frombuffer(raw + end, "<u4"))
+            doc_ids, at = batch["doc_id"].to_pylist(), 0
+            for ids, bounds in code.encode(batch["text"], end_id):
+                writer.add(doc_ids[at : at + len(bounds) - 1], ids, bounds)
+                at += len(bounds) - 1
         if writer is not None:
             made = writer.close()
             yield pa.RecordBatch.from_pylist(

@@ -4,11 +4,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from emberline.llm import token_encoding
 from emberline.llm.packing import pack_documents, plan_packing
 from emberline.llm.token_encoding import WordEncoder
 from emberline.llm.token_files import EliasFano, read_token_files, write_token_files
@@ -25,8 +27,19 @@ def ids(text, end):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.text(max_size=40), st.text(alphabet="abAB.,!'éÉßİΣς \n\t’12 ́ \x1c中", max_size=60)), max_size=6))
 def test_words_encode_like_whole_texts(texts):
-    for text, raw in zip(texts, ENCODER.encode(texts)):
-        assert np.frombuffer(raw, "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    found = [ids[a:b].tolist() for ids, bounds in ENCODER.encode(pa.array(texts, pa.string()), 7) for a, b in zip(bounds, bounds[1:])]
+    assert found == [[*LIBRARY.encode(text, add_special_tokens=False).ids, 7] for text in texts]
+
+
+def test_slices_and_memo_do_not_show(monkeypatch):
+    rng = random.Random(3)
+    texts = [None, "", "x" * 5000, *(" ".join("".join(rng.choice("abcdeé.,<") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 80))) for _ in range(200)), "<|endoftext|> ends"]
+    expected = [[*LIBRARY.encode(text or "", add_special_tokens=False).ids, 7] for text in texts]
+    monkeypatch.setattr(token_encoding, "SLICE_BYTES", 1500)
+    monkeypatch.setattr(token_encoding, "MEMO_BYTES", 20_000)
+    own = WordEncoder(PATH)
+    assert [ids[a:b].tolist() for ids, bounds in own.encode(pa.array(texts, pa.string()), 7) for a, b in zip(bounds, bounds[1:])] == expected
+    assert own.held < 100_000
 
 
 @settings(max_examples=100, deadline=None)
