@@ -2,36 +2,36 @@
 
 Equal sets are one set from the start. Sets are dealt to tiles of like size (bands), and in a tile to
 segments: every shingle belongs to one of K segments by its hash. Two sets that differ in at most D
-shingles agree on at least K - D segments, so with K above the band's D they share a segment whole, and
-only sets that do are compared. Segments of one or two shingles are left out where enough others remain;
-where too few hold anything, the set is dealt anew by other hashes. So no link is lost, and a
-passage that many documents share brings them together only if it fills a whole segment.
+shingles agree on all but D of the segments at most, so with K above the band's D they share a segment whole, and
+only sets that do are compared. More: a set with F filled segments shares F - D of them at least with every
+set it links to, so a set that shares fewer with the whole corpus has no link in that tile and leaves it.
+Where too few segments hold anything, the set is dealt anew by other hashes. So no link is lost, and a
+passage that many documents share brings them together only where it fills most of them.
 
 Pairs are compared where they can still join components: first each set with the best connected
-set of its segments, then with the best of every segment, then the rest across components. Bitmaps bound the
-overlap from above before the sorted shingle arrays are intersected.
+set of its segments, then with the best of every segment, then the rest across components. Bitmaps as wide as
+the sets are large bound the overlap from above, and only pairs that they leave are compared by their sorted shingle arrays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import staged
-
-#: Segments beyond D + 1, as a share; the shingles a segment needs not to be weak.
-SLACK, STRONG = 0.2, 3
-#: 64-bit words of a bitmap; members compared with one leader in one task, about; words a worker remembers.
-BITMAP, MEMBERS, MEMO = 16, 256, 200_000
-#: Bits of the filter that keeps texts without candidates out of the shuffle; its size is fixed.
-FILTER_BITS = 20
+from .shared import hash_filter, may_hold, staged, unused
+from .words import hashed_words
+
+#: Segments beyond D + 1, as a share.
+SLACK = 0.2
+#: Bits of a bitmap for each shingle, and in all at least; members compared with one leader in one task, about.
+DENSITY, LEAST_BITS, MEMBERS = 3, 256, 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(31)
 
@@ -41,41 +41,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_WORDS = _Words()
-
-
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the text's word n-grams; a shorter text is one shingle.
+def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """Per text the sorted distinct hashes of its word n-grams; a shorter text is one shingle.
 
-    Words are what ASCII blanks part, with A-Z in lower case (as bytes.lower and bytes.split do).
+    Words are what ASCII blanks part, with A-Z in lower case.
     """
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(words) - size + 1)
-    total = np.full(n, min(size, len(words)), np.uint64)
-    for j in range(min(size, len(words))):
-        total = _mix(total * _ODD + hashes[j : j + n])
-    return np.unique(total)
+    for words, bounds in hashed_words(texts, lower=True):
+        total = np.full(max(0, len(words) - size + 1), size, np.uint64)
+        for j in range(size):
+            total = _mix(total * _ODD + words[j : j + len(total)])
+        for begin, end in zip(bounds.tolist(), bounds[1:].tolist()):
+            if end - begin >= size:
+                found = np.sort(total[begin : end - size + 1])
+                yield found[np.concatenate([[True], found[1:] != found[:-1]])]
+            else:
+                whole = np.full(min(1, end - begin), end - begin, np.uint64)
+                for j in range(begin, end):
+                    whole = _mix(whole * _ODD + words[j])
+                yield whole
 
 
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def bitmap(hashes: np.ndarray) -> list[int]:
-    bits = np.zeros(64 * BITMAP, np.uint8)
-    bits[hashes % np.uint64(64 * BITMAP)] = 1
-    return np.packbits(bits).view(np.int64).tolist()
+def bitmap(hashes: np.ndarray) -> bytes:
+    """The set's size in 8 bytes, and a bit for each cell that a shingle falls in; a power of two of cells, by the size."""
+    cells = max(LEAST_BITS, 1 << (DENSITY * len(hashes) - 1).bit_length())
+    bits = np.zeros(cells, np.uint8)
+    bits[hashes & np.uint64(cells - 1)] = 1
+    return len(hashes).to_bytes(8, "little") + np.packbits(bits, bitorder="little").tobytes()
 
 
 @dataclass(frozen=True)
@@ -96,6 +91,17 @@ class Join:
         """The most shingles by which linked sets of these sizes differ."""
         return (a + b) * (100 - self.percent) // (100 + self.percent)
 
+    def may_link(self, a: bytes, b: bytes) -> bool:
+        """Whether the sizes and bitmaps of two sets leave room for a link."""
+        n, m = int.from_bytes(a[:8], "little"), int.from_bytes(b[:8], "little")
+        if 100 * min(n, m) < self.percent * max(n, m):
+            return False
+        x, y = np.frombuffer(a, np.uint64, offset=8), np.frombuffer(b, np.uint64, offset=8)
+        cells = min(len(x), len(y))  # a wider bitmap folds to a narrower one
+        x, y = (np.bitwise_or.reduce(z.reshape(-1, cells), axis=0) if len(z) > cells else z for z in (x, y))
+        most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+        return 100 * most >= self.percent * (n + m - most)
+
     def links(self, a: np.ndarray, b: np.ndarray) -> bool:
         both = len(np.intersect1d(a, b, assume_unique=True))
         return 100 * both >= self.percent * (len(a) + len(b) - both)
@@ -121,96 +127,95 @@ class Join:
                     found.append((tile, most + 1 + int(np.ceil(SLACK * (most + 1))), own))
         return found
 
-    def segment_keys(self, hashes: np.ndarray) -> np.ndarray:
-        keys = [np.zeros(0, np.uint64)]
+    def segment_keys(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, tiles, needs): the keys of all filled segments, and how many of a tile's the set shares with each set it
+        links to there; 0 where the set had to be dealt anew, so that it can't be told."""
+        keys, tiles, needs = [np.zeros(0, np.uint64)], [], []
         for tile, k, own in self.tiles(len(hashes)):
             round_no = 0
             while True:
                 base = np.uint64((tile << 20 | round_no) * int(_ODD) % (1 << 64))
                 spread = _mix(hashes + base)
                 segment = (spread % np.uint64(k)).astype(np.int64)
-                counts = np.bincount(segment, minlength=k)
-                order = np.argsort(segment, kind="stable")
-                filled = np.flatnonzero(counts)
-                sums = np.add.reduceat(_mix(spread[order]), np.concatenate([[0], np.cumsum(counts[filled])[:-1]]))
-                key = _mix(_mix(sums + base) + filled.astype(np.uint64) * _ODD)
-                strong = counts[filled] >= STRONG
-                keys.append(key[strong] if strong.sum() > own else key)
-                if len(filled) > own:
+                sums = np.zeros(k, np.uint64)
+                np.add.at(sums, segment, _mix(spread))
+                filled = np.flatnonzero(np.bincount(segment, minlength=k))
+                keys.append(_mix(_mix(sums[filled] + base) + filled.astype(np.uint64) * _ODD))
+                tiles.append(np.full(len(filled), tile, np.int32))
+                done = len(filled) > own
+                needs.append(np.full(len(filled), len(filled) - own if done and not round_no else 0, np.int64))
+                if done:
                     break
                 round_no += 1
-        return np.concatenate(keys)
+        return np.concatenate(keys), np.concatenate([np.zeros(0, np.int32), *tiles]), np.concatenate([np.zeros(0, np.int64), *needs])
 
 
-_ROWS = "k long, v long, n int, aux long, bits array<long>"
+_ROWS = "k long, v long, n int, aux long, doc_id long, bits binary"
 
 
 def _rows(docs: DataFrame, join: Join) -> DataFrame:
-    """Member rows (k doc_id, v set, n its size, aux text hash, bits) and key rows (k segment key, v set, n -1).
+    """Member rows (k any, v set, n its size, aux text hash, doc_id, bits) and key rows (k segment key, v set, n -1 - tile, aux need).
 
-    A set's keys are sent once per task, so copies don't crowd a key.
+    A set's bits and keys are sent once per task, so copies don't crowd a key. A member's k only spreads it.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         sent: set[int] = set()
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                sets, sizes, bits, keys, owners = [], [], [], [], []
-                for text in some["text"]:
-                    hashes = shingles(text.as_py(), join.size)
+                sets, sizes, bits, owners, parts = [], [], [], [], []
+                for hashes in shingle_sets(some["text"], join.size):
                     own = _signed(xxhash.xxh3_64_intdigest(hashes.tobytes())) if len(hashes) else None
                     sets.append(own)
                     sizes.append(len(hashes))
-                    bits.append(bitmap(hashes) if len(hashes) else None)
-                    if own is not None and own not in sent:
+                    new = own is not None and own not in sent
+                    bits.append(bitmap(hashes) if new else None)
+                    if new:
                         sent.add(own)
-                        found = join.segment_keys(hashes).view(np.int64)
-                        keys.append(found)
-                        owners.append(np.full(len(found), own, np.int64))
-                n = sum(map(len, keys))
-                empty = np.zeros(0, np.int64)
+                        parts.append(join.segment_keys(hashes))
+                        owners.append(np.full(len(parts[-1][0]), own, np.int64))
+                places = _mix(np.arange(row, row + len(some), dtype=np.uint64))
+                row += len(some)
+                n = sum(map(len, owners))
+                keys, tiles, needs = (np.concatenate([np.zeros(0, kind), *(p[i] for p in parts)]) for i, kind in enumerate((np.uint64, np.int32, np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.concat_arrays([some["doc_id"].cast(pa.int64()), pa.array(np.concatenate([empty, *keys]))]),
-                        pa.concat_arrays([pa.array(sets, pa.int64()), pa.array(np.concatenate([empty, *owners]))]),
-                        pa.array(sizes + [-1] * n, pa.int32()),
-                        pa.concat_arrays([some["text_hash"], pa.nulls(n, pa.int64())]),
-                        pa.concat_arrays([pa.array(bits, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))]),
+                        pa.array(np.concatenate([places, keys]).view(np.int64)),
+                        pa.concat_arrays([pa.array(sets, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *owners]))]),
+                        pa.concat_arrays([pa.array(sizes, pa.int32()), pa.array(-1 - tiles)]),
+                        pa.concat_arrays([some["text_hash"], pa.array(needs)]),
+                        pa.concat_arrays([some["doc_id"].cast(pa.int64()), pa.nulls(n, pa.int64())]),
+                        pa.concat_arrays([pa.array(bits, pa.binary()), pa.nulls(n, pa.binary())]),
                     ],
-                    names=["k", "v", "n", "aux", "bits"],
+                    names=["k", "v", "n", "aux", "doc_id", "bits"],
                 )
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(make, _ROWS)
 
 
-def _may_link(join: Join, a: str, b: str) -> Column:
-    """Whether the sizes and bitmaps of two sets leave room for a link."""
-    missing = lambda x, y: f"aggregate(zip_with({x}.bits, {y}.bits, (p, q) -> bit_count(p & ~q)), 0, (s, c) -> s + c)"
-    bound = f"least({a}.n - {missing(a, b)}, {b}.n - {missing(b, a)})"
-    sizes = f"100L * least({a}.n, {b}.n) >= {join.percent} * greatest({a}.n, {b}.n)"
-    return F.expr(f"{sizes} AND 100L * {bound} >= {join.percent} * ({a}.n + {b}.n - {bound})")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
-    """The pairs (u member, v leader) that link, by exact intersection.
+def _compared(pairs: DataFrame, data: DataFrame, read: Callable[[pa.Array], Iterator], test: Callable[..., bool]) -> DataFrame:
+    """The pairs (u member, v leader) that pass the test of their sets' data (set, data).
 
-    A leader's members are dealt to groups of about MEMBERS; a task meets the leader's text first and then one member at a time.
+    A leader's members are dealt to groups of about MEMBERS; a task meets the leader's data first and then one member at a time.
     """
-    groups = pairs.withColumn("groups", F.ceil(F.count("*").over(Window.partitionBy("v")) / MEMBERS)).withColumn("salt", F.pmod(F.xxhash64("u"), F.col("groups")).cast("int"))
-    groups = staged(groups.select("u", "v", "salt"), "pairs")
-    members = groups.join(texts.withColumnRenamed("set", "u"), "u").select("v", "salt", F.col("u").alias("member"), "text")
-    leaders = groups.select("v", "salt").distinct().join(texts.withColumnRenamed("set", "v"), "v").select("v", "salt", F.lit(None).cast("long").alias("member"), "text")
+    hot = staged(pairs.groupBy("v").agg(F.ceil(F.count("*") / MEMBERS).alias("groups")).where("groups > 1"), "hot-leaders")
+    salt = F.coalesce(F.pmod(F.xxhash64("u"), F.col("groups")), F.lit(0)).cast("int").alias("salt")
+    groups = staged(pairs.select("u", "v").join(hot, "v", "left").select("u", "v", salt), "pairs")
+    members = groups.join(data.withColumnRenamed("set", "u"), "u").select("v", "salt", F.col("u").alias("member"), "data")
+    leaders = groups.select("v", "salt").distinct().join(data.withColumnRenamed("set", "v"), "v").select("v", "salt", F.lit(None).cast("long").alias("member"), "data")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, leader = None, None
         for batch in batches:
             us, vs = [], []
-            for v, salt, member, text in zip(batch["v"].to_pylist(), batch["salt"].to_pylist(), batch["member"].to_pylist(), batch["text"]):
-                own = shingles(text.as_py(), join.size)
+            for v, salt, member, own in zip(batch["v"].to_pylist(), batch["salt"].to_pylist(), batch["member"].to_pylist(), read(batch["data"])):
                 if member is None:
                     group, leader = (v, salt), own
-                elif group == (v, salt) and join.links(leader, own):
+                elif group == (v, salt) and test(leader, own):
                     us.append(member)
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
@@ -219,22 +224,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     return ordered.mapInArrow(compare, "u long, v long")
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set, text) of the sets wanted (set, doc_id, text_hash); a fixed-size filter spares the shuffle most other texts."""
-    shift = 64 - FILTER_BITS
-    cells = wanted.select(F.shiftrightunsigned("text_hash", shift).alias("c")).distinct().collect()  # 2 ** FILTER_BITS rows at most
-    keep = np.zeros(1 << FILTER_BITS, bool)
-    keep[[r["c"] for r in cells]] = True
+def _bounded(pairs: DataFrame, facts: DataFrame, join: Join) -> DataFrame:
+    """The pairs whose sizes and bitmaps leave room for a link."""
+    return _compared(pairs, facts.select("set", F.col("bits").alias("data")), lambda column: iter(column.to_pylist()), join.may_link)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
+    """The pairs that link, by exact intersection."""
+    return _compared(pairs, texts.select("set", F.col("text").alias("data")), lambda column: shingle_sets(column, join.size), join.links)
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = batch["text_hash"].to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            yield batch.filter(pa.array(keep[hashes >> np.uint64(shift)]))
 
+def _texts_of(docs: DataFrame, facts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(set, text) of the sets in the pairs, by one document of each; a hash filter spares the shuffle most other texts."""
+    ends = pairs.select(F.col("u").alias("set")).unionByName(pairs.select(F.col("v").alias("set"))).distinct()
+    wanted = staged(facts.join(ends, "set", "left_semi").select("set", "doc_id", "text_hash"), "wanted-texts")
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    near = hashed.mapInArrow(some, hashed.schema)
+    near = may_hold(hashed, hash_filter(wanted, "text_hash", "wanted-cells"), "text_hash")
     joined = near.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash")))
-    return joined.select("w.set", "d.text").dropDuplicates(["set"])
+    return staged(joined.select("w.set", "d.text").dropDuplicates(["set"]), "candidate-texts")
 
 
 def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -248,39 +255,35 @@ def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return _labelled(docs, size, percent).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _live(keys: DataFrame) -> DataFrame:
+    """The rows (key, set, tile, need) of sets that share enough keys in a tile, and of these the keys that two sets have."""
+    enough = keys.groupBy("set", "tile").agg(F.count("*").alias("n"), F.max("need").alias("need"), F.min("need").alias("least")).where("least = 0 OR n >= need").select("set", "tile")
+    left = keys.join(staged(enough, "live-sets"), ["set", "tile"], "left_semi")
+    shared = left.groupBy("key").agg(F.count("*").alias("sharing")).where("sharing > 1")
+    return staged(left.drop("sharing").join(staged(shared, "live-keys"), "key"), "live-segments")
+
+
 def _labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Per row of `docs`: doc_id, text_hash, n its shingles, c its component (null without shingles) and component_id, the least doc_id there."""
     join = Join(size, percent)
-    rows = _rows(docs, join)
-    crowd = rows.withColumn("sharing", F.count("*").over(Window.partitionBy("k")).cast("int"))
-    kept = staged(crowd.where("n >= 0 OR sharing > 1"), "segments")
-    members = kept.where("n >= 0").select(F.col("k").alias("doc_id"), F.col("v").alias("set"), "n", F.col("aux").alias("text_hash"), "bits")
-    shared = kept.where("n < 0").select(F.col("k").alias("key"), F.col("v").alias("set"), "sharing")
-
-    fame = shared.groupBy("set").agg(F.sum("sharing").alias("fame"))
-    key = Window.partitionBy("key")
-    named = shared.select("key", "set").distinct().join(fame, "set")
-    led = staged(
-        named.withColumn("lead", F.max(F.struct("fame", "set")).over(key)).where(F.col("lead.set") != F.col("set"))
-        .select("key", "set", F.col("lead.set").alias("leader"), F.col("lead.fame").alias("leader_fame")),
-        "led-segments",
-    )
-    pairs = led.groupBy(F.col("set").alias("u"), F.col("leader").alias("v")).agg(F.max("leader_fame").alias("fame"))
-    involved = led.select("set").unionByName(led.select(F.col("leader").alias("set"))).distinct()
-    sets = members.where("set IS NOT NULL").groupBy("set").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("doc_id", "text_hash")).alias("who"), F.min("doc_id").alias("least"))
-    candidates = staged(sets.join(involved, "set", "left_semi").select("set", "n", "bits", "who.*"), "candidate-sets")
-    facts = candidates.select("set", "n", "bits")
-
-    def possible(found: DataFrame, *more: str) -> DataFrame:
-        a = facts.select(F.col("set").alias("u"), F.struct("n", "bits").alias("a"))
-        b = facts.select(F.col("set").alias("v"), F.struct("n", "bits").alias("b"))
-        return found.join(a, "u").join(b, "v").where(_may_link(join, "a", "b")).select("u", "v", *more)
-
-    near = staged(possible(pairs, "fame"), "leader-pairs")
-    ends = near.select(F.col("u").alias("set")).unionByName(near.select(F.col("v").alias("set"))).distinct()
-    others = led.select("key", "set").join(led.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi").select("set").distinct()
-    texts = staged(_texts_of(docs, candidates.join(ends.unionByName(others).distinct(), "set", "left_semi").drop("n", "bits")), "candidate-texts")
-
+    by_key = Window.partitionBy("k")
+    crowd = _rows(docs, join).withColumn("low", F.min("v").over(by_key)).withColumn("high", F.max("v").over(by_key))
+    kept = staged(crowd.where("n >= 0 OR low <> high").drop("low", "high"), "segments")
+    members = kept.where("n >= 0").select("doc_id", F.col("v").alias("set"), "n", F.col("aux").alias("text_hash"), "bits")
+    keys = kept.where("n < 0").select(F.col("k").alias("key"), F.col("v").alias("set"), F.col("n").alias("tile"), F.col("aux").alias("need")).distinct()
+    shared = _live(_live(keys))
+
+    fame = staged(shared.groupBy("set").agg(F.sum("sharing").alias("fame")), "fame")
+    named = shared.select("key", "set").join(fame, "set")
+    lead = staged(named.groupBy("key").agg(F.max(F.struct("fame", "set")).alias("lead")).select("key", F.col("lead.set").alias("leader"), F.col("lead.fame").alias("fame")), "leaders")
+    led = shared.select("key", "set").join(lead, "key").where("leader <> set")
+    pairs = staged(led.groupBy(F.col("set").alias("u"), F.col("leader").alias("v")).agg(F.max("fame").alias("fame")), "led-pairs")
+    sets = members.where("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("least"))
+    candidates = members.join(fame.select("set"), "set", "left_semi").groupBy("set")
+    facts = staged(candidates.agg(F.first("n").alias("n"), F.first("bits", True).alias("bits"), F.min(F.struct("doc_id", "text_hash")).alias("who")).select("set", "n", "bits", "who.*"), "candidate-sets")
+
+    near = staged(_bounded(pairs, facts, join).join(pairs, ["u", "v"]), "leader-pairs")
+    texts = _texts_of(docs, facts, near)
     best = near.groupBy("u").agg(F.max(F.struct("fame", "v")).alias("m")).select("u", F.col("m.v").alias("v"))
     links = staged(_verified(best, texts, join), "links")
     labels = staged(connected_components(links), "labels")
@@ -294,13 +297,21 @@ def _labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
     links = staged(links.unionByName(_verified(rest, texts, join)), "links")
     labels = staged(connected_components(links), "labels")
 
-    placed = led.select("key", "set").join(labels.withColumnRenamed("node", "set"), "set", "left").select("key", "set", F.coalesce("component", "set").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    tiled = staged(placed.join(mixed, "key", "left_semi").join(facts, "set"), "mixed-segments")
+    placed = shared.select("key", "set", "tile", "need").join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("c", F.coalesce("component", "set"))
+    mixed = staged(placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key"), "mixed-keys")
+    tiled = staged(placed.join(mixed, "key", "left_semi").join(facts.select("set", "n"), "set").select("key", "set", "tile", "need", "c", "n"), "mixed-segments")
     x, y = tiled.alias("x"), tiled.alias("y")
-    last = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.c") != F.col("y.c")) & _may_link(join, "x", "y"))
-    links = staged(links.unionByName(_verified(last.select(F.col("x.set").alias("u"), F.col("y.set").alias("v")).distinct(), texts, join)), "links")
-    labels = staged(connected_components(links), "labels")
+    alike = F.expr(f"100L * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.c") != F.col("y.c")) & alike)
+    often = met.groupBy(F.col("x.set").alias("u"), F.col("y.set").alias("v"), F.col("x.tile").alias("tile")).agg(
+        F.count("*").alias("n"), F.max(F.greatest("x.need", "y.need")).alias("need"), F.min(F.least("x.need", "y.need")).alias("least")
+    )
+    last = often.where("least = 0 OR n >= need").select("u", "v").distinct().join(pairs.select("u", "v"), ["u", "v"], "left_anti")
+    last = last.join(pairs.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti")
+    last = staged(_bounded(staged(last, "last-pairs"), facts, join), "last-candidates")
+    if not last.isEmpty():
+        links = staged(links.unionByName(_verified(last, _texts_of(docs, facts, last), join)), "links")
+        labels = staged(connected_components(links), "labels")
 
     smallest = sets.select("set", F.col("least").alias("doc_id")).join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", F.coalesce("component", "set").alias("c"), "doc_id")
     roots = smallest.groupBy("c").agg(F.min("doc_id").alias("component_id"))
@@ -315,12 +326,12 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
     counted = rows.where("c IS NOT NULL").groupBy("c", "doc_id", "text_hash").agg(F.count("*").alias("times"))
     firsts = counted.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash", "times")).alias("f"))
     blank = rows.where("c IS NULL").select("doc_id", "text_hash", F.lit(1).cast("long").alias("times")).distinct()
-    named = firsts.select("f.doc_id", "f.text_hash", "f.times").unionByName(blank).toDF("__id", "__text", "__times")
-    kept = staged(named, "kept-documents")
-    hashed = docs.withColumn("__hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text"))
-    once, repeated = kept.where("__times = 1"), kept.where("__times > 1")
-    found = hashed.join(once, same, "left_semi")
+    hashed, kept_id, kept_text, times = unused(docs.columns, "hash", "kept_id", "kept_text", "times")
+    kept = staged(firsts.select("f.doc_id", "f.text_hash", "f.times").unionByName(blank).toDF(kept_id, kept_text, times), "kept-documents")
+    found_in = docs.withColumn(hashed, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(hashed) == F.col(kept_text))
+    once, repeated = kept.where(F.col(times) == 1), kept.where(F.col(times) > 1)
+    found = found_in.join(once, same, "left_semi")
     if not repeated.isEmpty():
-        found = found.unionByName(hashed.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__hash"]))
-    return found.drop("__hash")
+        found = found.unionByName(found_in.join(repeated, same, "left_semi").dropDuplicates(["doc_id", hashed]))
+    return found.drop(hashed)

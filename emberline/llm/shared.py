@@ -8,7 +8,8 @@ import uuid
 from pathlib import Path
 
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Set once a session without spark.checkpoint.dir (a local test session) gets its own folder.
 _OWN: dict[str, str] = {}
@@ -64,3 +65,45 @@ def importable(spark: SparkSession) -> None:
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores as keep it apart from the columns (Spark tells no upper from lower case)."""
+    taken = {c.lower() for c in columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
+#: Bits of the index of a filter word of 64 bits: a hash filter has at most 2 ** 18 rows, 4 MB, whatever it is made of.
+FILTER_BITS = 18
+
+
+def _filter_word(hashed: Column) -> Column:
+    return F.shiftrightunsigned(hashed, 64 - FILTER_BITS)
+
+
+def _filter_bit(hashed: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), hashed.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def hash_filter(df: DataFrame, hashed: str, name: str) -> DataFrame:
+    """(word, bits): which cells the 64-bit hashes of a column fall in, for may_hold."""
+    return staged(df.groupBy(_filter_word(F.col(hashed)).alias("word")).agg(F.bit_or(_filter_bit(F.col(hashed))).alias("bits")), name)
+
+
+def may_hold(df: DataFrame, cells: DataFrame, hashed: str) -> DataFrame:
+    """The rows whose hash falls in a cell of the filter: all that are in it, and few others while it is sparse."""
+    word, bits = unused(df.columns, "word", "bits")
+    met = df.join(F.broadcast(cells.toDF(word, bits)), _filter_word(F.col(hashed)) == F.col(word))
+    return met.where(F.col(bits).bitwiseAND(_filter_bit(F.col(hashed))) != 0).drop(word, bits)
+
+
+
+def lacks(df: DataFrame, cells: DataFrame, hashed: str) -> DataFrame:
+    """The rows that may_hold leaves out, those of a null hash too."""
+    word, bits = unused(df.columns, "word", "bits")
+    met = df.join(F.broadcast(cells.toDF(word, bits)), _filter_word(F.col(hashed)) == F.col(word), "left")
+    return met.where(F.coalesce(F.col(bits).bitwiseAND(_filter_bit(F.col(hashed))), F.lit(0)) == 0).drop(word, bits)
