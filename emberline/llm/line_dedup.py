@@ -1,6 +1,6 @@
 """Line dedup by content-defined chunks of lines.
 
-A chunk starts at every line that isn't blank and ends where it holds MIN_LINES such lines and MIN_CHARS of
+A chunk starts at every line that isn't blank and ends where it holds MIN_LINES such lines and `min_chars` of
 their characters; where short lines follow each other, another ends at every line and starts where it is as
 full. So each line of a repeated passage that is long enough for a chunk lies in a chunk inside the passage,
 wherever the passage stands. Chunks that occur more than once in the corpus are compared byte by byte; the
@@ -12,40 +12,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import hash_filter, lacks, may_hold, staged, unused
 
-#: Solid lines to a chunk's start, 1 so that no passage falls between two; a chunk has MIN_LINES at least.
-EVERY, MIN_LINES = 1, 2
-#: Shorter chunks repeat by chance.
-MIN_CHARS = 40
-#: Bits of the index of a filter word (of 64 bits) that keeps single chunks out of later shuffles; its size is fixed.
-FILTER_BITS = 18
+#: Solid lines to a chunk at least.
+MIN_LINES = 2
 
-_FULL = f"s.n >= {MIN_LINES} AND s.chars >= {MIN_CHARS}"
 
-
-def _filled(sizes: str) -> str:
+def _filled(sizes: str, min_chars: int) -> str:
     """How many of the sizes fill a chunk, 0 if all don't."""
-    return (
-        f"aggregate({sizes}, named_struct('n', 0, 'chars', 0), (s, x) -> IF({_FULL}, s, named_struct('n', s.n + 1, 'chars', s.chars + x)),"
-        f" s -> IF({_FULL}, s.n, 0))"
-    )
+    full = f"s.n >= {MIN_LINES} AND s.chars >= {min_chars}"
+    return f"aggregate({sizes}, named_struct('n', 0, 'chars', 0), (s, x) -> IF({full}, s, named_struct('n', s.n + 1, 'chars', s.chars + x)), s -> IF({full}, s.n, 0))"
+
+
+def _spans(min_chars: int) -> dict[str, str]:
+    """SQL of the chunks' first lines and the lines after them, by name. A solid line has a character at least, so `min_chars` lines
+    fill any chunk. Two lines that do are found without the search."""
+    most = max(min_chars, MIN_LINES)
+    ahead = f"IF(i + 1 < size(sizes) AND x + get(sizes, i + 1) >= {min_chars}, {MIN_LINES}, {_filled(f'slice(sizes, i + 1, {most})', min_chars)})"
+    back = f"IF(i = 0 OR x + get(sizes, i - 1) >= {min_chars}, 0, {_filled(f'reverse(slice(sizes, greatest(i - {most - 2}, 1), least(i + 1, {most})))', min_chars)})"
+    return {
+        "lines": "lines",
+        "solid": r"filter(sequence(0, size(lines) - 1), i -> lines[i] RLIKE '\\S')",
+        "sizes": "transform(solid, i -> length(lines[i]))",
+        "ahead": f"transform(sizes, (x, i) -> named_struct('at', i, 'n', {ahead}))",
+        "back": f"transform(sizes, (x, i) -> {back})",
+        "spans": "array_distinct(concat("
+        "transform(filter(ahead, s -> s.n > 0), s -> named_struct('first', solid[s.at], 'stop', solid[s.at + s.n - 1] + 1)),"
+        "transform(filter(transform(back, (n, i) -> named_struct('at', i, 'n', n)), s -> s.n > 0), s -> named_struct('first', solid[s.at - s.n + 1], 'stop', solid[s.at] + 1))))",
+        "starts": "spans.first",
+        "stops": "spans.stop",
+        "hashes": "transform(lines, x -> xxhash64(x))",
+    }
 
 
-# A solid line has a character at least, so MIN_CHARS lines fill any chunk. Two lines that do are found without the search.
-_SOLID = f"filter(sequence(0, size(lines) - 1, {EVERY}), i -> lines[i] RLIKE '\\\\S')"
-_SIZES = "transform(solid, i -> length(lines[i]))"
-_AHEAD = f"transform(sizes, (x, i) -> named_struct('at', i, 'n', IF(x + get(sizes, i + 1) >= {MIN_CHARS}, {MIN_LINES}, {_filled(f'slice(sizes, i + 1, {MIN_CHARS})')})))"
-_BACK = (
-    f"transform(sizes, (x, i) -> IF(i = 0 OR x + sizes[i - 1] >= {MIN_CHARS}, 0,"
-    f" {_filled(f'reverse(slice(sizes, greatest(i - {MIN_CHARS - 2}, 1), least(i + 1, {MIN_CHARS})))')}))"
-)
-_SPANS = (
-    "array_distinct(concat("
-    "transform(filter(ahead, s -> s.n > 0), s -> named_struct('first', solid[s.at], 'stop', solid[s.at + s.n - 1] + 1)),"
-    "transform(filter(transform(back, (n, i) -> named_struct('at', i, 'n', n)), s -> s.n > 0), s -> named_struct('first', solid[s.at - s.n + 1], 'stop', solid[s.at] + 1))))"
-)
-_HASHES = "transform(lines, x -> xxhash64(x))"
 _CHUNKS = (
     "transform(starts, (c, i) -> named_struct('first', c, 'n', stops[i] - c,"
     " 'hash', xxhash64(slice(hashes, c + 1, stops[i] - c))))"
@@ -57,11 +56,10 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _chunked(docs: DataFrame) -> DataFrame:
-    """Adds lines, and chunks as (first line from 0, n lines, hash); text_hash tells apart rows of one doc_id."""
+def _chunked(docs: DataFrame, min_chars: int) -> DataFrame:
+    """doc_id, lines, and chunks as (first line from 0, n lines, hash); text_hash tells apart rows of one doc_id."""
     chunks = _CHUNKS
-    bound = {"lines": "lines", "solid": _SOLID, "sizes": _SIZES, "ahead": _AHEAD, "back": _BACK, "spans": _SPANS, "starts": "spans.first", "stops": "spans.stop", "hashes": _HASHES}
-    for name, value in reversed(bound.items()):
+    for name, value in reversed(_spans(min_chars).items()):
         chunks = _let(name, value, chunks)
     return (
         docs.withColumn("lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
@@ -71,26 +69,19 @@ def _chunked(docs: DataFrame) -> DataFrame:
     )
 
 
-def _occurrences(docs: DataFrame, words: DataFrame | None = None, *more: str) -> DataFrame:
-    """A row per chunk; with filter words only those of hashes that may be repeated."""
-    rows = _chunked(docs.select("doc_id", "text")).select("doc_id", "text_hash", *(["lines"] if more else []), F.explode("chunks").alias("c"))
-    if words is not None:
-        rows = rows.join(F.broadcast(words), _word(F.col("c.hash")) == F.col("word")).where(F.col("bits").bitwiseAND(_bit("c.hash")) != 0)
-    return rows.select("doc_id", "text_hash", "c.first", "c.n", "c.hash", *([_chunk_text()] if more else []))
-
-
-def _word(hashed: Column) -> Column:
-    return F.shiftrightunsigned(hashed, 64 - FILTER_BITS)
-
-
-def _bit(hashed: str) -> Column:
-    return F.expr(f"shiftleft(1L, CAST({hashed} & 63 AS INT))")
+def _occurrences(docs: DataFrame, min_chars: int, cells: DataFrame | None = None, *more: str) -> DataFrame:
+    """A row per chunk (doc_id, text_hash, first, n, hash); with a filter's cells only those of hashes that may be repeated."""
+    rows = _chunked(docs.select("doc_id", "text"), min_chars).select("doc_id", "text_hash", *(["lines"] if more else []), F.explode("chunks").alias("c"))
+    rows = rows.select("*", F.col("c.hash").alias("hash"))
+    if cells is not None:
+        rows = may_hold(rows, cells, "hash")
+    return rows.select("doc_id", "text_hash", "c.first", "c.n", "hash", *([_chunk_text()] if more else []))
 
 
-def _recurring(docs: DataFrame) -> DataFrame:
-    """The filter: (word, bits) of the hashes of chunks that occur more than once, 2 ** FILTER_BITS rows at most."""
-    counted = _occurrences(docs).groupBy("hash").agg(F.count("*").alias("times")).where("times > 1")
-    return staged(counted.groupBy(_word(F.col("hash")).alias("word")).agg(F.bit_or(_bit("hash")).alias("bits")), "recurring-chunks")
+def _recurring(docs: DataFrame, min_chars: int) -> DataFrame:
+    """A filter of the hashes of chunks that occur more than once; hashes and counts alone are shuffled."""
+    counted = _occurrences(docs, min_chars).groupBy("hash").agg(F.count("*").alias("times")).where("times > 1")
+    return hash_filter(counted, "hash", "recurring-chunks")
 
 
 def _place() -> Column:
@@ -102,49 +93,56 @@ def _chunk_text() -> Column:
     return F.expr("array_join(slice(lines, c.first + 1, c.n), '\\n')").alias("chunk")
 
 
-def repeated_chunks(docs: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repeated_chunks(docs: DataFrame, cells: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
     """Chunks that occur more than once: (hash, keeper) where all bytes agree, and (hash, chunk, keeper)
     for the chunks of those hashes under which different bytes met.
 
-    The keeper is the least place (doc_id, text_hash, first line), null doc_ids first. Counts, places and bytes are
-    combined before the shuffle, so no group of copies meets in one task; equal least and greatest
-    bytes mean that all chunks of a hash are the same.
+    The keeper is the least place (doc_id, text_hash, first line), null doc_ids first. Counts, places and the distinct bytes are
+    combined before the shuffle, so no group of copies meets in one task and a task sends the bytes of a chunk once.
     """
-    chunks = _occurrences(docs, words, "chunk")
-    counted = chunks.groupBy("hash").agg(F.count("*").alias("times"), F.min(_place()).alias("keeper"), F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("times > 1")
-    repeated = staged(counted.select("hash", "keeper", (F.col("low") == F.col("high")).alias("agree")), "repeated-chunks")
+    chunks = _occurrences(docs, min_chars, cells, "chunk")
+    counted = chunks.groupBy("hash").agg(F.count("*").alias("times"), F.min(_place()).alias("keeper"), F.collect_set("chunk").alias("bytes")).where("times > 1")
+    repeated = staged(counted.select("hash", "keeper", (F.size("bytes") == 1).alias("agree")), "repeated-chunks")
     clashes = repeated.where(~F.col("agree")).select("hash")
     clashing = chunks.join(clashes, "hash", "left_semi").groupBy("hash", "chunk").agg(F.count("*").alias("times"), F.min(_place()).alias("keeper")).where("times > 1").drop("times")
     return repeated.where("agree").drop("agree"), clashing if not clashes.isEmpty() else clashing.limit(0)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 0) -> DataFrame:
     """All columns of `docs` with text rid of repeated chunks, and n_lines, n_removed.
 
     A null text stays null with no lines, an empty one has one empty line. A text loses the lines of chunks that
     stand at an earlier place too. The first place of a line in the corpus is the first of every chunk it lies in
     there, so each lost line stays there. A text that loses all its solid lines becomes ''. Rows that repeat doc_id
-    and text are one document to the comparison and get the same result. Columns named n_lines or n_removed are
-    replaced, others stay as they are.
+    and text are one document to the comparison and get the same result; an empty table gives no rows. Columns named n_lines or n_removed are
+    replaced, others stay as they are, whatever their names. Only documents that lose lines, and few others, are shuffled.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    words = _recurring(docs)
-    agreed, clashing = repeated_chunks(docs, words)
+    cells = _recurring(docs, min_chars)
+    agreed, clashing = repeated_chunks(docs, cells, min_chars)
     places = ["doc_id", "text_hash", "first", "n"]
     other = ~_place().eqNullSafe(F.col("keeper"))
-    removed = _occurrences(docs, words).join(agreed, "hash").where(other).select(*places)
+    removed = _occurrences(docs, min_chars, cells).join(agreed, "hash").where(other).select(*places)
     if not clashing.isEmpty():
-        removed = removed.unionByName(_occurrences(docs, words, "chunk").join(clashing, ["hash", "chunk"]).where(other).select(*places))
+        removed = removed.unionByName(_occurrences(docs, min_chars, cells, "chunk").join(clashing, ["hash", "chunk"]).where(other).select(*places))
     per_doc = removed.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "n")).alias("gone"))
-    gone = staged(per_doc.withColumnsRenamed({"doc_id": "gone_id", "text_hash": "gone_hash"}), "removed-chunks")
-    hashed = docs.select(*kept).withColumn("__hash", F.xxhash64("text"))
-    joined = hashed.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("__hash") == F.col("gone_hash")), "left")
-    split = joined.withColumn("__lines", F.split("text", "\n"))
-    marked = split.withColumn("__gone", F.expr("array_distinct(flatten(transform(gone, g -> sequence(g.first, g.first + g.n - 1))))"))
-    marked = marked.withColumn("__stays", F.expr("transform(array_except(sequence(0, size(__lines) - 1), __gone), i -> __lines[i])"))
-    marked = marked.withColumn("__solid", F.expr("exists(__stays, x -> x RLIKE '\\\\S')"))
-    return marked.select(
-        *[F.when(F.col("gone").isNull(), F.col("text")).when(F.col("__solid"), F.array_join("__stays", "\n")).otherwise("").alias("text") if c == "text" else F.col(c) for c in kept],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines")).alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).when(F.col("__solid"), F.size("__gone")).otherwise(F.size("__lines")).alias("n_removed"),
+    gone_id, gone_hash, spans, own, lines, gone, stays, solid = unused(docs.columns, "gone_id", "gone_hash", "spans", "own_hash", "lines", "gone", "stays", "solid")
+    found = staged(per_doc.select("doc_id", "text_hash", "gone").toDF(gone_id, gone_hash, spans), "removed-chunks")
+    losing = hash_filter(found, gone_hash, "losing-documents")
+
+    hashed = docs.select(*kept).withColumn(own, F.xxhash64("text"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    untouched = lacks(hashed, losing, own).select(*kept, n_lines.alias("n_lines"), F.lit(0).alias("n_removed"))
+
+    joined = may_hold(hashed, losing, own).join(found, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_hash)), "left")
+    split = joined.withColumn(lines, F.split("text", "\n"))
+    marked = split.withColumn(gone, F.expr(f"array_distinct(flatten(transform({spans}, g -> sequence(g.first, g.first + g.n - 1))))"))
+    marked = marked.withColumn(stays, F.expr(f"transform(array_except(sequence(0, size({lines}) - 1), {gone}), i -> {lines}[i])"))
+    marked = marked.withColumn(solid, F.expr(f"exists({stays}, x -> x RLIKE '\\\\S')"))
+    text = F.when(F.col(spans).isNull(), F.col("text")).when(F.col(solid), F.array_join(stays, "\n")).otherwise("").alias("text")
+    touched = marked.select(
+        *[text if c == "text" else F.col(c) for c in kept],
+        n_lines.alias("n_lines"),
+        F.when(F.col(spans).isNull(), 0).when(F.col(solid), F.size(gone)).otherwise(F.size(lines)).alias("n_removed"),
     )
+    return untouched.unionByName(touched)

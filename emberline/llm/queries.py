@@ -92,6 +92,20 @@ def oracle_sql() -> dict[str, str]:
             SELECT page_id, url, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
                 CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
             FROM p LEFT JOIN f USING (html)""",
+        "op9_line_dedup": r"""
+            WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+            s AS (SELECT doc_id, lines, list_filter(range(1, len(lines) + 1), lambda i: regexp_matches(lines[i], '[^ \x09-\x0D]')) AS solid FROM l),
+            c AS (SELECT doc_id, solid[k] AS first, solid[k + 1] AS last, array_to_string(lines[solid[k] : solid[k + 1]], chr(10)) AS chunk
+                FROM (SELECT *, unnest(range(1, len(solid))) AS k FROM s)),
+            r AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, first) AS place FROM c),
+            g AS (SELECT doc_id, list_distinct(flatten(list(range(first, last + 1)))) AS gone FROM r WHERE place > 1 GROUP BY doc_id),
+            j AS (SELECT l.doc_id, lines, gone, list_filter(range(1, len(lines) + 1), lambda i: NOT list_contains(gone, i)) AS stays FROM l JOIN g USING (doc_id)),
+            k AS (SELECT *, list_transform(stays, lambda i: lines[i]) AS left_lines FROM j),
+            t AS (SELECT *, len(list_filter(left_lines, lambda x: regexp_matches(x, '[^ \x09-\x0D]'))) > 0 AS solid FROM k)
+            SELECT d.* REPLACE (CASE WHEN t.doc_id IS NULL THEN d.text WHEN t.solid THEN array_to_string(t.left_lines, chr(10)) ELSE '' END AS text),
+                CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END::INTEGER AS n_lines,
+                CASE WHEN t.doc_id IS NULL THEN 0 WHEN t.solid THEN len(t.gone) ELSE len(t.lines) END::INTEGER AS n_removed
+            FROM documents d LEFT JOIN t USING (doc_id)""",
         "op7_jaccard_join": r"""
             WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                 '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),

@@ -35,6 +35,37 @@ def components(rows, size, percent):
     return [(d, len(sets[i]), least.get(find(i), d) if sets[i] else d) for i, (d, _) in enumerate(rows)]
 
 
+def without_repeated_lines(rows, min_chars):
+    """[(doc_id, text, lines removed)] of rows (doc_id, text), whose ids differ: a chunk goes from a solid line to the first that fills it, forwards or backwards."""
+    chunks = defaultdict(list)
+    split = [None if t is None else t.split("\n") for _, t in rows]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
+    for i in order:
+        lines = split[i] or []
+        solid = [k for k, x in enumerate(lines) if re.search(r"[^ \t\n\x0b\f\r]", x)]
+        spans = set()
+        for step in (1, -1):
+            for a in range(len(solid)):
+                b, chars = a, len(lines[solid[a]])
+                while 0 <= b < len(solid) and (b == a or chars < min_chars):
+                    b += step
+                    chars += len(lines[solid[b]]) if 0 <= b < len(solid) else 0
+                if 0 <= b < len(solid):
+                    spans.add((solid[min(a, b)], solid[max(a, b)] + 1))
+        for first, stop in sorted(spans):
+            chunks["\n".join(lines[first:stop])].append((i, first, stop))
+    gone = defaultdict(set)
+    for places in chunks.values():
+        for i, first, stop in places[1:]:
+            gone[i].update(range(first, stop))
+    found = []
+    for i, (doc_id, text) in enumerate(rows):
+        left = [x for k, x in enumerate(split[i] or []) if k not in gone[i]]
+        emptied = gone[i] and not any(re.search(r"[^ \t\n\x0b\f\r]", x) for x in left)
+        found.append((doc_id, text if not gone[i] else "" if emptied else "\n".join(left), len(split[i]) if emptied else len(gone[i])))
+    return found
+
+
 def paragraphs(text):
     return set(re.findall(r"(?:[^\s]+[ \t]*){1,40}", text or ""))
 
