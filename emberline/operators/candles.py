@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 BAR = "symbol string, interval string, time timestamp_ntz, open double, high double, low double, close double, volume double"
 KEY = ["symbol", "interval"]
+VALUES = ["open", "high", "low", "close", "volume"]
 #: Spark durations of the supported intervals.
 DURATIONS = {"1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes", "1h": "1 hour"}
 
@@ -36,24 +37,33 @@ def select_series(bars: DataFrame, symbol: str | None = None, interval: str | No
     return bars if interval is None else bars.where(F.col("interval") == interval)
 
 
+def clean(bars: DataFrame) -> DataFrame:
+    """The columns of a bar alone, with NaN for prices and volumes that are null: aggregates over rows would skip those."""
+    return bars.select(*KEY, "time", *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in VALUES])
+
+
 def newest(bars: DataFrame, limit: int = 300) -> DataFrame:
-    """The newest `limit` bars of each series."""
-    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("time")))
+    """The newest `limit` bars of each series; of equal times the larger values are newer."""
+    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("time"), *[F.desc(c) for c in VALUES]))
     return bars.withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")
 
 
 def closed_only(bars: DataFrame) -> DataFrame:
-    """The bars without the last of each series, which may still be forming."""
-    return bars.withColumn("last", F.max("time").over(Window.partitionBy(*KEY))).where("time < last").drop("last")
+    """The bars without the last of each series, which may still be forming. Last times are aggregated first, so a long series fills many tasks."""
+    last = bars.groupBy(*[F.col(c).alias(f"last_{c}") for c in KEY]).agg(F.max("time").alias("last_time"))
+    same = [F.col(c).eqNullSafe(F.col(f"last_{c}")) for c in KEY]
+    return bars.join(last, [*same, F.col("time") >= F.col("last_time")], "left_anti").where("time IS NOT NULL")
 
 
 def numbered(bars: DataFrame) -> DataFrame:
-    """Adds bar_no, the bar's number in its series from 0.
+    """The bars, cleaned, with bar_no, the bar's number in its series from 0; equal times are ordered by their values.
 
     Days are numbered apart and offset by the days before, so no task holds a whole series.
     """
-    daily = bars.withColumn("day", F.to_date("time"))
+    daily = clean(bars).withColumn("day", F.to_date("time"))
     before = Window.partitionBy(*KEY).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = daily.groupBy(*KEY, "day").agg(F.count("*").alias("bars")).select(*KEY, "day", F.coalesce(F.sum("bars").over(before), F.lit(0)).alias("offset"))
-    in_day = F.row_number().over(Window.partitionBy(*KEY, "day").orderBy("time")) - 1
-    return daily.withColumn("in_day", in_day).join(offsets, [*KEY, "day"]).withColumn("bar_no", F.col("offset") + F.col("in_day")).drop("day", "in_day", "offset")
+    offsets = daily.groupBy(*KEY, "day").agg(F.count("*").alias("bars")).select(*[F.col(c).alias(f"of_{c}") for c in (*KEY, "day")], F.coalesce(F.sum("bars").over(before), F.lit(0)).alias("offset"))
+    in_day = F.row_number().over(Window.partitionBy(*KEY, "day").orderBy("time", *VALUES)) - 1
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*KEY, "day")]
+    placed = daily.withColumn("in_day", in_day).join(offsets, same)
+    return placed.select(*KEY, "time", *VALUES, (F.col("offset") + F.col("in_day")).alias("bar_no"))

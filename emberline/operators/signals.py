@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import indicators as ind
-from .candles import KEY, newest
-from .snapshots import SNAPSHOT, with_snapshots
+from ..functions.kernel import SNAPSHOT
+from .candles import newest
+from .snapshots import last_indicators, with_indicators
 
 #: Signal columns, in order.
 SIGNAL = ["symbol", "interval", "time", "direction", "entry", "stop", "take", "rr", "atr", "ema9", "ema21", "rsi", "avg_vol", "vol_spike", "n_bars"]
 
 
-def with_indicators(bars: DataFrame) -> DataFrame:
-    """Bars with ema9, ema21 and their previous values, rsi, atr, avg_vol, vol_spike and n_bars, each from the trailing snapshot alone."""
-    return from_snapshots(with_snapshots(bars))
-
-
-def from_snapshots(snapshots: DataFrame) -> DataFrame:
-    """The indicators of bars that carry their snapshot's closes, gains, losses, ranges, sum_volume and n_bars."""
-    folded = snapshots.select(
-        "*", ind.ema(F.col("closes"), 9).alias("e9"), ind.ema(F.col("closes"), 21).alias("e21"), ind.rsi_of_moves(F.col("gains"), F.col("losses"), 14).alias("rsi"), ind.atr(F.col("ranges"), 14).alias("atr")
-    )
-    avg = F.col("sum_volume") / F.lit(20.0)
-    return folded.select(
-        *KEY, "time", "close", "volume", F.col("e9.cur").alias("ema9"), F.col("e21.cur").alias("ema21"),
-        F.col("e9.prev").alias("prev_ema9"), F.col("e21.prev").alias("prev_ema21"), "rsi", "atr", avg.alias("avg_vol"), spike(F.col("volume"), avg).alias("vol_spike"), "n_bars",
-    )
-
-
 def _number(*values: Column) -> Column:
     """Whether none is null or NaN: comparisons with those hold nowhere."""
     ok = F.lit(True)
@@ -59,6 +42,7 @@ def signals(bars: DataFrame) -> DataFrame:
 
 def judge(indicated: DataFrame) -> DataFrame:
     """The signals of bars with their indicators."""
+    indicated = indicated.withColumn("vol_spike", spike(F.col("volume"), F.col("avg_vol")))
     rsi, close, atr, wide = F.col("rsi"), F.col("close"), F.col("atr"), F.lit(1.5) * F.col("atr")
     buy = cross_up() & _number(rsi) & (rsi < 70) & F.col("vol_spike")
     sell = cross_down() & _number(rsi) & (rsi > 30) & F.col("vol_spike")
@@ -75,5 +59,4 @@ def judge(indicated: DataFrame) -> DataFrame:
 
 def latest_signals(bars: DataFrame) -> DataFrame:
     """The signal at the last bar of each series, from its newest snapshot only."""
-    judged = signals(newest(bars, SNAPSHOT))
-    return judged.withColumn("last", F.max("time").over(Window.partitionBy(*KEY))).where("time = last").drop("last")
+    return judge(last_indicators(newest(bars, SNAPSHOT)))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as ind
 from ..operators import candles, chart
-from ..operators.signals import cross_down, cross_up, latest_signals, signals, with_indicators
-from ..operators.snapshots import with_snapshots
+from ..operators.signals import cross_down, cross_up, latest_signals, signals, spike
+from ..operators.snapshots import with_indicators, with_previous
 from ..sources.payloads import from_payloads
 
 INTERVAL = "5m"
@@ -50,18 +50,18 @@ def klines_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunked = with_snapshots(bars(spark, sf_dir))
+    chunked = with_previous(bars(spark, sf_dir))
     change = F.col("close") - F.col("prev_close")
     return chunked.select(*_KEYS, change.alias("change"), ind.positive_part(change).alias("gain"), ind.negative_part(change).alias("loss"))
 
 
 def true_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunked = with_snapshots(bars(spark, sf_dir))
+    chunked = with_previous(bars(spark, sf_dir))
     return chunked.select(*_KEYS, ind.true_range(F.col("high"), F.col("low"), F.col("prev_close")).alias("true_range"))
 
 
 def _indicated(*columns: str, interval: str = INTERVAL) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: with_indicators(bars(spark, sf_dir, interval)).select(*_KEYS, *columns)
+    return lambda spark, sf_dir: with_indicators(bars(spark, sf_dir, interval)).withColumn("vol_spike", spike(F.col("volume"), F.col("avg_vol"))).select(*_KEYS, *columns)
 
 
 def cross_flags(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import urllib.request
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, InputPartition
 
 from ..operators.candles import BAR
 
@@ -79,8 +79,12 @@ class PruningKlineReader(KlineReader):
                 yield f
 
 
-class KlinePoller(SimpleDataSourceStreamReader):
-    """Every poll is a whole snapshot of each series; the offset is the time of the poll."""
+class KlinePoller(DataSourceStreamReader):
+    """Every poll is a whole snapshot of each series, fetched by a task for each; the offset is the time of the poll.
+
+    After a failure the endpoint's present snapshot stands in for the lost one: a snapshot replaces what was
+    shown before, so that does no harm.
+    """
 
     def __init__(self, settings: _Settings):
         self.settings = settings
@@ -88,16 +92,14 @@ class KlinePoller(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:  # noqa: N802
         return {"polled": 0}
 
-    def _rows(self) -> Iterator[tuple]:
-        """A snapshot of every series, `limit` bars each."""
-        return iter([row for s in self.settings.symbols for i in self.settings.intervals for row in self.settings.fetch(s, i)])
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"polled": int(time.time() * 1000)}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        return self._rows(), {"polled": max(start["polled"] + 1, int(time.time() * 1000))}
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [Series(s, i) for s in self.settings.symbols for i in self.settings.intervals]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        """After a failure the endpoint's present snapshot stands in for the lost one."""
-        return self._rows()
+    def read(self, partition: Series) -> Iterator[tuple]:
+        yield from self.settings.fetch(partition.symbol, partition.interval)
 
 
 class KlineSource(DataSource):
@@ -112,5 +114,5 @@ class KlineSource(DataSource):
         kind = PruningKlineReader if self.options.get("pushdown", "false").lower() == "true" else KlineReader
         return kind(_Settings(dict(self.options)))
 
-    def simpleStreamReader(self, schema: object) -> SimpleDataSourceStreamReader:  # noqa: N802
+    def streamReader(self, schema: object) -> DataSourceStreamReader:  # noqa: N802
         return KlinePoller(_Settings(dict(self.options)))

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.candles import DURATIONS, KEY
-from ..operators.signals import from_snapshots, judge, latest_signals
-from ..operators.snapshots import SNAPSHOT
+from ..functions.kernel import SNAPSHOT, indicators
+from ..operators.candles import DURATIONS, KEY, clean
+from ..operators.signals import judge, latest_signals
+from ..operators.snapshots import INDICATED
+
+_COLUMNS = [x.split()[0] for x in INDICATED.split(", ")]
 
 
 def poll_signals(snapshots: DataFrame, handle: Callable[[DataFrame, int], None], seconds: int | None = 30, **options: str) -> StreamingQuery:
@@ -24,57 +28,65 @@ def poll_signals(snapshots: DataFrame, handle: Callable[[DataFrame, int], None],
     return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
+def shown_at(path: str) -> Callable[[DataFrame, int], None]:
+    """A handler for poll_signals that replaces what the last poll showed at `path`, a Parquet table."""
+    return lambda latest, _: latest.write.mode("overwrite").parquet(path)
+
+
 def bars_of_stream(ticks: DataFrame, interval: str, late: str = "1 hour", symbol: str = "ALL") -> DataFrame:
     """Bars of a stream of (ts, event_id, value), each sent once the watermark has passed its end."""
-    at = F.struct("ts", "event_id")
+    at, price = F.struct("ts", "event_id"), F.coalesce(F.col("value").cast("double"), F.lit(float("nan")))
     return (
         ticks.withColumn("ts", F.col("ts").cast("timestamp"))
         .withWatermark("ts", late)
         .groupBy(F.window("ts", DURATIONS[interval]).alias("w"))
-        .agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count("*").cast("double").alias("volume"))
+        .agg(F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, at).alias("close"), F.count("*").cast("double").alias("volume"))
         .select(F.lit(symbol).alias("symbol"), F.lit(interval).alias("interval"), F.col("w.start").cast("timestamp_ntz").alias("time"), "open", "high", "low", "close", "volume")
     )
 
 
-_INDICATED = "symbol string, interval string, time timestamp_ntz, closes array<double>, gains array<double>, losses array<double>, ranges array<double>, sum_volume double, close double, volume double, n_bars int"
 _STATE = "times array<timestamp_ntz>, highs array<double>, lows array<double>, closes array<double>, volumes array<double>"
+_HELD = ["time", "high", "low", "close", "volume"]
 
 
-def trailing_snapshots(bars: DataFrame) -> DataFrame:
-    """For every new bar of a stream the arrays that the indicators fold; the state of a series is its last SNAPSHOT bars.
+def trailing_indicators(bars: DataFrame) -> DataFrame:
+    """The indicators of every new or changed bar of a stream, as the batch history gives them.
 
-    The range of a snapshot's oldest bars decides the stop distance, so a shorter state would not do.
-    Bars must arrive in order of time; one that doesn't come after the last is left out.
+    The state of a series is its last 2 * SNAPSHOT - 1 bars. A bar whose time is held replaces that one, so the
+    still forming last bar may come again and again; a late bar takes its place. Either way the bar and those
+    after it are sent anew: take the last row sent for each time. A bar that comes again unchanged
+    sends nothing. A bar older than the SNAPSHOT newest can't be judged: it is sent with n_bars 0 and no
+    indicators, and a bar of no time is left out.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [list(x) for x in state.get] if state.exists else [[], [], [], [], []]
-        times, highs, lows, closes, volumes = held
-        out = []
-        for row in pd.concat(list(batches)).sort_values("time").itertuples():
-            if times and row.time <= pd.Timestamp(times[-1]):
-                continue
-            for column, value in zip(held, (row.time.to_pydatetime(), row.high, row.low, row.close, row.volume)):
-                column.append(value)
-                del column[:-SNAPSHOT]
-            ranges = [float("nan")] + [max(h - l, abs(h - c), abs(l - c)) for h, l, c in zip(highs[1:], lows[1:], closes)]  # noqa: E741
-            total = 0.0
-            for v in volumes[-20:]:
-                total += v
-            moves = [b - a for a, b in zip(closes, closes[1:])]
-            gains, losses = ([m if m > 0 else 0.0 for m in ms] for ms in (moves, [-m for m in moves]))
-            out.append((*key, row.time, list(closes), gains, losses, ranges, total, row.close, row.volume, len(closes)))
-        state.update(tuple(held))
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in _INDICATED.split(", ")])
-
-    return bars.groupBy(*KEY).applyInPandasWithState(update, _INDICATED, _STATE, "append", GroupStateTimeout.NoTimeout)
-
+        held = pd.DataFrame(dict(zip(_HELD, state.get)) if state.exists else {c: [] for c in _HELD})
+        held = held.astype({"time": "datetime64[us]"} | dict.fromkeys(_HELD[1:], "float64"))
+        for batch in batches:
+            came = batch[_HELD].dropna(subset="time").astype(held.dtypes.to_dict())
+            full = len(held) >= 2 * SNAPSHOT - 1
+            late = full & (came["time"] < held["time"].iloc[-SNAPSHOT]) if full else pd.Series(False, came.index)
+            if late.any():
+                old = came[late]
+                yield pd.DataFrame({"symbol": key[0], "interval": key[1], "time": old["time"], "close": old["close"], "volume": old["volume"], "n_bars": np.int32(0)}).reindex(columns=_COLUMNS)
+            merged = pd.concat([held, came[~late]]).drop_duplicates(_HELD).drop_duplicates("time", keep="last").sort_values("time", ignore_index=True)
+            same = merged.merge(held, on=_HELD, how="left", indicator=True)["_merge"] == "both"
+            if not same.all():
+                first = int(np.argmin(same.to_numpy()))
+                found = indicators(*(merged[c].to_numpy() for c in _HELD[1:]), lead=first)
+                made = pd.DataFrame({"symbol": key[0], "interval": key[1], **{c: merged[c].iloc[first:].to_numpy() for c in ("time", "close", "volume")}, **found})
+                made.loc[made["n_bars"] == 1, ["prev_ema9", "prev_ema21"]] = None
+                yield made[_COLUMNS]
+            held = merged.iloc[-(2 * SNAPSHOT - 1) :].reset_index(drop=True)
+        state.update(([t.to_pydatetime() for t in held["time"]], *(held[c].tolist() for c in _HELD[1:])))
+
+    return clean(bars).groupBy(*KEY).applyInPandasWithState(update, INDICATED, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_signals(bars: DataFrame) -> DataFrame:
-    """The signal at every bar of a stream, as the batch history gives it.
+    """The signal at every bar of a stream, as the batch history gives it, and again for bars that later ones change.
 
     Spark runs no such state behind a streaming aggregate, so bars_of_stream goes to a table first and
     this reads the table as a stream.
     """
-    return judge(from_snapshots(trailing_snapshots(bars)))
+    return judge(trailing_indicators(bars))

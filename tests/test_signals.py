@@ -128,6 +128,39 @@ def test_selection(bars):
     assert [r[0] for r in numbers] == list(range(1200))
 
 
-def test_one_shuffle_key_and_no_python(bars):
+def test_no_single_partition(bars):
     plan = signals(bars)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "SinglePartition" not in plan
+    assert "FlatMapGroupsInArrow" in plan and "SinglePartition" not in plan
+
+
+def test_chunks_do_not_show(spark, bars, found):
+    from emberline.operators.signals import judge
+    from emberline.operators.snapshots import with_indicators
+
+    for r in judge(with_indicators(bars.where("symbol IN ('walk301', 'walk1200', 'nan')"), chunk=300)).collect():
+        want = next(x for x in found[r["symbol"]] if x["time"] == r["time"])
+        assert all(same(r[c], want[c]) for c in SIGNAL)
+
+
+@pytest.mark.parametrize("column", ["open", "high", "low", "close", "volume"])
+def test_null_is_nan(spark, column):
+    from emberline.operators.chart import ema_lines, rsi_points
+
+    made = series(60, walk, burst, 8)
+    variants = {"null": None, "nan": float("nan")}
+    rows = [(name, "5m", *(b | {column: value} if i in (20, 50) else b).values()) for name, value in variants.items() for i, b in enumerate(made)]
+    bars = spark.createDataFrame(rows, BAR)
+    for table, order in ((signals(bars), "time"), (latest_signals(bars), "time"), (ema_lines(bars), "time"), (rsi_points(bars), "index")):
+        by = {name: [repr(r.asDict() | {"symbol": ""}) for r in table.where(f"symbol = '{name}'").orderBy(order).collect()] for name in variants}
+        assert by["null"] == by["nan"] and by["nan"]
+    expected = history([b | {column: float("nan")} if i in (20, 50) else b for i, b in enumerate(made)])
+    for got, want in zip(signals(bars.where("symbol = 'null'")).orderBy("time").collect(), expected, strict=True):
+        assert all(same(got[c], v) for c, v in want.items())
+
+
+def test_odd_rows(spark):
+    rows = [(None, "5m", START, 1.0, 1.0, 1.0, float(c), 1.0) for c in (3, 1, 2)] + [("A", None, None, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    bars = spark.createDataFrame(rows, BAR).selectExpr("*", "1 AS bar_no", "2 AS chunk", "'x' AS home", "3 AS day")
+    assert sorted(r["n_bars"] for r in signals(bars).collect()) == [1, 1, 2, 3]
+    assert [r["close"] for r in numbered(bars.where("symbol IS NULL")).orderBy("bar_no").collect()] == [1.0, 2.0, 3.0]
+    assert closed_only(bars).count() == 0 and latest_signals(bars).count() == 2
