@@ -66,6 +66,16 @@ def without_repeated_lines(rows, min_chars):
     return found
 
 
+def plain_copy(text, item):
+    """Whether a text holds enough of an item's windows of words about one diagonal; both in lower case and without marks."""
+    a, b = text.split(), item.split()
+    length, share = (8, 0.4) if len(b) >= 32 else (4, 0.5) if len(b) >= 16 else (3, 0.5) if len(b) >= 8 else (len(b), 1.0)
+    hits = [(i - j, j) for j in range(len(b) - length + 1) for i in range(len(a) - length + 1) if a[i : i + length] == b[j : j + length]]
+    near = [{j for d, j in hits if (d + shift) // 16 == band} for shift in (0, 8) for band in {(d + shift) // 16 for d, _ in hits}]
+    runs = Counter(d for d, _ in set(hits))
+    return bool(hits) and (max(map(len, near)) >= share * (len(b) - length + 1) or length == 8 and max(runs.values()) >= 6)
+
+
 def paragraphs(text):
     return set(re.findall(r"(?:[^\s]+[ \t]*){1,40}", text or ""))
 

@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 import pytest
-from brute import without_repeated_lines
+from brute import plain_copy, without_repeated_lines
 
 from emberline.llm.decontaminate import canonical, drop_leaks, find_leaks
 from emberline.llm.line_dedup import MIN_LINES, dedup_lines
@@ -115,7 +115,7 @@ def test_copies_and_templates(spark):
     texts = [f"before it {ITEM} and after", f"x {other} y", ITEM.upper(), ITEM[:40], "nothing of the kind", None, "", other.replace("4 pounds", "4lbs") + " " + ITEM]
     found = leaks(spark, texts)
     assert found[0, 0] == "copy" and found[1, 0] == "template" and found[7, 0] in ("copy", "template")
-    assert not {(d, 0) for d in (2, 3, 4, 5, 6)} & set(found)
+    assert found[2, 0] == "copy" and not {(d, 0) for d in (3, 4, 5, 6)} & set(found)
     assert isinstance(leaks(spark, [mixed]), dict)
 
 
@@ -131,7 +131,53 @@ def test_inconsistent_slots_are_no_leak(spark):
 
 def test_short_items(spark):
     assert leaks(spark, ["you see red boats drift slowly past"], ["red boats drift slowly"]) == {(0, 0): "copy"}
-    assert leaks(spark, ["red boats"], ["red boats", "", None]) == {}
+    assert leaks(spark, ["red boats", "the Red boats!", "red ships", "reds"], ["red boats", "", None, "ships", "? ..."]) == {(0, 0): "copy", (1, 0): "copy", (2, 3): "copy"}
+
+
+ODD = [
+    "What Is The Capital Of France And When Was It Founded?",
+    "12 + 15 * 3 - 4 = 53",
+    "Solve 3x + 5 = 20.",
+    "Ada Lovelace, Alan Turing, Grace Hopper, Edsger Dijkstra, Barbara Liskov",
+    "NAME THE LARGEST MOON OF SATURN AND ITS DISCOVERER",
+    "Which river flows through Vienna, Bratislava, Budapest and Belgrade before it reaches the sea?",
+]
+
+
+def test_items_of_names_numbers_and_capitals(spark):
+    texts = [f"Before it. {change(x)} After it" for x in ODD for change in (str, str.upper, str.lower, str.title)]
+    texts += [" ".join("other" if i == len(x.split()) // 2 else w for i, w in enumerate(x.split())) for x in ODD]
+    found = leaks(spark, texts + ["Solve 4x + 7 = 31.", "What is the matter with the capital of it?"], ODD)
+    assert {(4 * k + j, k) for k in range(len(ODD)) for j in range(4)} <= set(found)
+    assert {(24 + k, k) for k in (0, 3, 4, 5)} <= set(found)
+    assert not {d for d, _ in found} & {30, 31}
+
+
+def test_a_quoted_run_of_a_long_item(spark):
+    rng = random.Random(2)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    item = words(200).split()
+    texts = [f"{words(30)} {' '.join(item[90 : 90 + n])} {words(30)}" for n in (12, 13, 60)]
+    assert set(leaks(spark, texts, [" ".join(item)])) == {(1, 0), (2, 0)}
+
+
+def test_plain_copies_equal_brute_force(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abc") for _ in range(2)) for _ in range(12)]
+    items = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 50))) for _ in range(25)]
+    texts = []
+    for _ in range(120):
+        base = rng.choice(items).split()
+        for _ in range(rng.randint(0, 3)):
+            base[rng.randrange(len(base))] = rng.choice(words)
+        texts.append(" ".join([*(rng.choice(words) for _ in range(rng.randint(0, 9))), *base[: rng.randint(1, len(base))]]))
+    expected = {(d, k) for d, t in enumerate(texts) for k, x in enumerate(items) if plain_copy(t, x)}
+    found = leaks(spark, texts, items)
+    assert expected and expected <= set(found)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = find_leaks(docs, spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")).collect()
+    for r in rows:  # what is found beyond that shares template windows
+        assert (r["doc_id"], r["item_id"]) in expected or r["coverage"] >= 0.4 and r["windows"] == max(1, len(items[r["item_id"]].split()) - 7)
 
 
 def test_units_and_names_merge():
