@@ -77,7 +77,18 @@ def plain_copy(text, item):
 
 
 def paragraphs(text):
-    return set(re.findall(r"(?:[^\s]+[ \t]*){1,40}", text or ""))
+    """Lines; a longer one is cut after the first word from number 25 on that ends a sentence, or after 40."""
+    found = set()
+    for line in (text or "").split("\n"):
+        piece = []
+        for word in re.findall(r"\S+[ \t]*", line.lstrip(" \t")):
+            piece.append(word)
+            if len(piece) > 24 and (word.rstrip(" \t")[-1] in ".!?" or len(piece) == 40):
+                found.add("".join(piece))
+                piece = []
+        if piece:
+            found.add("".join(piece))
+    return found
 
 
 def likeness(a, b):

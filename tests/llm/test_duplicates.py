@@ -1,16 +1,18 @@
+import hashlib
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from brute import components, likeness, repeated_words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from emberline.llm import jaccard_join
 from emberline.llm.components import connected_components
-from emberline.llm.fingerprints import compare_versions, paragraph_digests, recover
+from emberline.llm.fingerprints import CELLS, compare_versions, fingerprint, paragraph_digests, recover
 from emberline.llm.jaccard_join import Join, drop_near_duplicates, jaccard_components
 from emberline.llm.suffix_dedup import repeated_passages
 
@@ -104,6 +106,49 @@ def test_connected_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def from_texts(a, b):
+    """The likeness of two fingerprints from their texts alone; None where a block can't be peeled."""
+
+    def read(text):
+        size, level, blocks = text.split("|")
+        cells = [[tuple(int(x, 16) if i else int(x) for i, x in enumerate(c.split(":"))) if c else (0, 0, 0) for c in b.split(",")] for b in blocks.split(";")]
+        return int(size), int(level), cells
+
+    (n, la, x), (m, lb, y) = read(a), read(b)
+    add = lambda p, q, sign=1: [(c[0] + sign * d[0], c[1] ^ d[1], c[2] ^ d[2]) for c, d in zip(p, q)]
+    while la > lb:
+        x, la = [add(x[2 * i], x[2 * i + 1]) for i in range(len(x) // 2)], la - 1
+    while lb > la:
+        y, lb = [add(y[2 * i], y[2 * i + 1]) for i in range(len(y) // 2)], lb - 1
+    differing = 0
+    for p, q in zip(x, y, strict=True):
+        cells = add(p, q, -1)
+        assert len(cells) == 3 * CELLS
+        while pure := [c for c in cells if abs(c[0]) == 1 and c[2] == sums(c[1])[0]]:
+            sign, k, h = pure[0]
+            differing += 1
+            for j, place in enumerate(sums(k)[1]):
+                at = j * CELLS + place
+                cells[at] = (cells[at][0] - sign, cells[at][1] ^ k, cells[at][2] ^ h)
+        if any(c != (0, 0, 0) for c in cells):
+            return None
+    return (n + m - differing) / (n + m + differing) if n + m else 1.0
+
+
+def sums(digest):
+    """The checksum and the three places of a digest, as Spark's xxhash64 of its 8 bytes and then an int each gives them."""
+    signed = digest - (1 << 64) if digest >= 1 << 63 else digest
+
+    def chained(*ints):
+        seed = 42
+        for value in (signed.to_bytes(8, "little", signed=True), *(i.to_bytes(4, "little", signed=True) for i in ints)):
+            seed = xxhash.xxh64_intdigest(value, seed)
+        return seed
+
+    places = [chained(0, j) for j in range(3)]
+    return chained(-1) >> 32, [(p - (1 << 64) if p >= 1 << 63 else p) % CELLS for p in places]
+
+
 def test_versions_equal_brute_force(documents, no_documents, rows_of):
     found = compare_versions(documents).collect()
     rows = sorted(rows_of, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
@@ -112,8 +157,14 @@ def test_versions_equal_brute_force(documents, no_documents, rows_of):
         text, following = text or "", rows[(i + 1) % len(rows)][1] or ""
         half = len(text) // 2
         edited = text[: len(text) - half] + following[:half]
-        expected[d, len(text), round(likeness(text, edited), 9), round(likeness(text, following), 9)] += 1
-    assert Counter((r["doc_id"], r["n_chars"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in found) == expected
+        expected[d, len(text), hashlib.sha256(edited.encode()).hexdigest(), round(likeness(text, edited), 9), round(likeness(text, following), 9)] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in found) == expected
+    peeled = 0
+    for r in found:
+        likely = from_texts(r["fingerprint"], r["edited_fingerprint"])
+        peeled += likely is not None
+        assert likely is None or abs(likely - r["near_edited"]) < 1e-12
+    assert peeled > 0.8 * len(found)
     prints = defaultdict(set)
     for r, (_, text) in zip(sorted(found, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["n_chars"])), sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, len(r[1] or "")))):
         prints[text or ""].add(r["fingerprint"])
@@ -127,9 +178,10 @@ def test_peeling_recovers_the_differing_digests(spark):
     rows = []
     for n in (0, 1, 3, 8, 20, 60, 300, 900):
         for share in (0, 0.5, 0.95, 1):
-            a = [rng.getrandbits(63) for _ in range(n)]
+            a = [rng.getrandbits(64) - (1 << 63) for _ in range(n)]
             rows.append((a, [x for x in a if rng.random() < share] + [rng.getrandbits(63) for _ in range(int(n * (1 - share)))]))
-    found = spark.createDataFrame(rows, "a array<long>, b array<long>").selectExpr("a", "b", f"{recover('a', 'b')} AS d").collect()
+    frame = spark.createDataFrame(rows, "a array<long>, b array<long>").selectExpr("a", "b", f"{fingerprint('a')} AS fa", f"{fingerprint('b')} AS fb")
+    found = frame.selectExpr("a", "b", f"{recover('fa', 'fb', 'a', 'b')} AS d").collect()
     for r in found:
         assert sorted(r["d"]) == sorted(set(r["a"]) ^ set(r["b"]))
 
