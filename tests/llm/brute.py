@@ -96,19 +96,37 @@ def likeness(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-def repeated_words(rows, size=50):
-    """{row number: words in a run of `size` that also stands elsewhere}; a run that overlaps its own repetition does not count."""
+def repeated_passages(rows, size=50):
+    """[(row number, start, end, class)] of runs of words in which every `size` stand in another row too; runs that share such words are of one class, named by the number of its first run."""
     at = defaultdict(list)
     split = [(t or "").encode().split() for _, t in rows]
     for i, words in enumerate(split):
         for k in range(len(words) - size + 1):
             at[tuple(words[k : k + size])].append((i, k))
-    found = defaultdict(set)
-    for places in at.values():
+    shared = [places for places in at.values() if len({i for i, _ in places}) > 1]
+    covered = defaultdict(set)
+    for places in shared:
         for i, k in places:
-            if any(j != i or abs(m - k) >= size for j, m in places):
-                found[i].update(range(k, k + size))
-    return found
+            covered[i].update(range(k, k + size))
+    runs, run_of = [], {}
+    for i, words in sorted(covered.items()):
+        for k in sorted(words):
+            if k - 1 not in words:
+                runs.append([i, k, k])
+            runs[-1][2] = k + 1
+            run_of[i, k] = len(runs) - 1
+    root = list(range(len(runs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for places in shared:
+        for place in places:
+            a, b = find(run_of[place]), find(run_of[places[0]])
+            root[max(a, b)] = min(a, b)
+    return [(i, a, b, find(n)) for n, (i, a, b) in enumerate(runs)]
 
 
 def counted(rows):

@@ -6,11 +6,12 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
-from brute import components, likeness, repeated_words
+from brute import components, likeness
+from brute import repeated_passages as repeated_runs
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from emberline.llm import jaccard_join
+from emberline.llm import jaccard_join, suffix_dedup
 from emberline.llm.components import connected_components
 from emberline.llm.fingerprints import CELLS, compare_versions, fingerprint, paragraph_digests, recover
 from emberline.llm.jaccard_join import Join, drop_near_duplicates, jaccard_components
@@ -192,16 +193,9 @@ def test_paragraphs(spark):
     assert [r[0] for r in sizes] == [5, 0, 0]
 
 
-def covered(found, rows):
-    """Words covered by row number, for rows whose (doc_id, text) is unique."""
-    by = defaultdict(set)
-    for r in found:
-        by[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
-    return by
-
-
-@pytest.mark.parametrize("seed", [1, 2])
-def test_passages_equal_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "together"), [(1, 10_000), (2, 40)])
+def test_passages_equal_brute_force(spark, monkeypatch, seed, together):
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
     rng = random.Random(seed)
     prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
     shared = [prose(n) for n in (49, 50, 51, 75, 130, 400)]
@@ -209,12 +203,26 @@ def test_passages_equal_brute_force(spark, seed):
     for i in range(60):
         parts = [prose(rng.randint(0, 120)), rng.choice(shared), prose(rng.randint(0, 60)), rng.choice(shared), prose(rng.randint(0, 90))]
         rows.append((i, " ".join(parts[: rng.randint(1, 5)])))
-    rows += [(100, rows[3][1]), (101, prose(49)), (102, "to " * 500), (103, shared[4]), (104, shared[4])]
-    found = covered(repeated_passages(spark.createDataFrame(rows, TEXTS).repartition(5)).collect(), rows)
-    expected = {rows[i][0]: words for i, words in repeated_words(rows).items()}
-    expected.pop(102, None)
-    found.pop(102, None)
-    assert found == expected
+    tail = prose(13)  # ends the passage of two texts and stands in many others
+    rows += [(200 + i, f"{prose(30)} {tail} {prose(30)}") for i in range(80)] + [(300 + i, f"{prose(9)} {passage} {prose(9)}") for i, passage in enumerate([prose(37) + " " + tail] * 2)]
+    rows += [(100, rows[3][1]), (101, prose(49)), (102, "to " * 500), (103, shared[4]), (104, shared[4]), (105, "to be " * 300), (106, "x to " + "to " * 80)]
+    frame = spark.createDataFrame(rows, TEXTS).repartition(5)
+    found = repeated_passages(frame).collect()
+    expected = [(rows[i][0], a, b) for i, a, b, _ in repeated_runs(rows)]
+    assert sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in found) == sorted(expected)
+    least, sizes = {}, Counter()
+    for i, a, _, c in repeated_runs(rows):
+        least[c] = min(least.get(c, (1 << 60, 0)), (rows[i][0], a))
+        sizes[c] += 1
+    classes = {(rows[i][0], a): (*least[c], sizes[c]) for i, a, _, c in repeated_runs(rows)}
+    assert {(r["doc_id"], r["start_word"]): (r["class_doc_id"], r["class_start"], r["n_in_class"]) for r in found} == classes
+
+
+def test_passages_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    found = sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in repeated_passages(docs).collect())
+    assert found == sorted((rows[i][0], a, b) for i, a, b, _ in repeated_runs(rows))
 
 
 def test_passages_of_awkward_rows(documents, no_documents):
