@@ -47,6 +47,11 @@ FURNITURE = frozenset(
     " pagination pager paginator search searchbox skip hidden copyright disclaimer legal feedback rating ratings tags outbrain taboola responses discussion".split()
 )
 NEIGHBOUR = frozenset("has no with without".split())
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies responses discussion".split())
+NEVER_TEXT = COMMENTS | frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense banner banners promo promotion promoted sponsor sponsored sponsors outbrain taboola cookie cookies consent gdpr"
+    " notice notices alert alerts warning popup modal overlay newsletter subscribe subscription signup signin login register sidebar sidebars footer footers related recommended".split()
+)
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar form".split())
 
 TOKEN = re.compile(
@@ -64,28 +69,54 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def is_furniture(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    """Whether an element is menu, advert, notice, comment or the like, by its tag, names or role.
+    """Whether an element is menu, form, hidden or the like by its tag, attributes or role; its content is never read.
 
-    An article's own header holds its title and so stays; `has-sidebar` names a neighbour.
+    An article's own header holds its title and so stays.
     """
     if tag in DROPPED or tag == "header" and not in_article:
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role") in FURNITURE_ROLES or HIDDEN.search(attrs.get("style", "")):
-        return True
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role") in FURNITURE_ROLES or bool(HIDDEN.search(attrs.get("style", "")))
+
+
+def furniture_names(attrs: dict[str, str], in_article: bool) -> set[str]:
+    """The words of an element's class and id that furniture has; `has-sidebar` names a neighbour, `header` in an article is the title's."""
+    found: set[str] = set()
     for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
         parts = {part.lower() for part in NAME_PART.findall(name)}
-        if parts & FURNITURE and not parts & NEIGHBOUR and not (in_article and parts & FURNITURE == {"header"}):
-            return True
-    return False
+        if not parts & NEIGHBOUR:
+            found |= parts & FURNITURE
+    return found - {"header"} if in_article else found
+
+
+class Suspect:
+    """An element that is furniture by its names: it is left out unless it turns out to wrap the page's text."""
+
+    __slots__ = ("names", "chars", "wraps")
+
+    def __init__(self, names: set[str]):
+        self.names, self.chars, self.wraps = names, 0, False
+
+    def left_out(self, total: int) -> bool:
+        """Whether it is furniture: it holds neither an article or main part nor most of the page's text outside links, which comments, adverts and notices may."""
+        return not (self.wraps or 2 * self.chars > total and not self.names & NEVER_TEXT)
 
 
 class Element:
-    __slots__ = ("tag", "skipped", "container", "in_article")
+    __slots__ = ("tag", "skipped", "container", "in_article", "suspect")
 
-    def __init__(self, tag: str, skipped: bool, container: "Container | None", in_article: bool):
-        self.tag, self.skipped, self.container, self.in_article = tag, skipped, container, in_article
+    def __init__(self, tag: str, skipped: bool, container: "Container | None", in_article: bool, suspect: Suspect | None):
+        self.tag, self.skipped, self.container, self.in_article, self.suspect = tag, skipped, container, in_article, suspect
+
+
+class Block:
+    """A block's text, what it is worth to its container, whether it is a heading, and the suspects around it."""
+
+    __slots__ = ("text", "worth", "plain", "container", "heading", "byline", "suspects")
+
+    def __init__(self, text: str, worth: float, plain: int, container: "Container | None", heading: bool, byline: bool, suspects: tuple[Suspect, ...]):
+        self.text, self.worth, self.plain, self.container, self.heading, self.byline, self.suspects = text, worth, plain, container, heading, byline, suspects
 
 
 class Container:
@@ -98,28 +129,44 @@ class Container:
 
 
 class Page:
-    """Blocks of text outside page furniture, and the containers around them, in one pass."""
+    """Blocks of text outside page furniture, and the containers around them, in one pass.
+
+    Elements with the names of furniture are suspects until the whole page is read. If all the text is in such, the
+    names don't count.
+    """
 
     def __init__(self, html: str):
-        self.blocks: list[str] = []
+        self.blocks: list[Block] = []
+        self.suspects: list[Suspect] = []
         self.containers: list[Container] = []
         self.stack: list[Element] = []
         self.text: list[str] = []
         self.chars = self.link_chars = self.links = 0
         self.skipping = 0
         self._parse(html)
+        total = sum(b.plain for b in self.blocks)
+        self.kept = [not b.byline and not any(s.left_out(total) for s in b.suspects) for b in self.blocks]
+        if not any(self.kept):
+            self.kept = [not b.byline for b in self.blocks]
+        for block, kept in zip(self.blocks, self.kept):
+            container = block.container if kept else None
+            for share in SHARES:
+                if container is not None:
+                    container.score += share * block.worth
+                    container = container.parent
 
     def _flush(self) -> None:
         if self.text:
             block = " ".join("".join(self.text).split())
             if block:
-                self.blocks.append(block)
                 container = next((e.container for e in reversed(self.stack) if e.container), None)
-                worth = len(block) * max(0.0, 1 - 2 * self.link_chars / max(1, self.chars))
-                for share in SHARES:
-                    if container is not None:
-                        container.score += share * worth
-                        container = container.parent
+                linked = self.link_chars / max(1, self.chars)
+                heading = any(e.tag in HEADING for e in self.stack)
+                byline = not heading and any(e.tag == "header" for e in self.stack)
+                plain = int(len(block) * (1 - linked))
+                for suspect in self.suspects:
+                    suspect.chars += plain
+                self.blocks.append(Block(block, len(block) * max(0.0, 1 - 2 * linked), plain, container, heading, byline, tuple(self.suspects)))
             self.text = []
         self.chars = self.link_chars = 0
 
@@ -133,6 +180,8 @@ class Page:
             element.container.last = len(self.blocks)
         if element.skipped:
             self.skipping -= 1
+        if element.suspect is not None:
+            self.suspects.pop()
         if element.tag == "a":
             self.links -= 1
 
@@ -162,10 +211,16 @@ class Page:
         attrs = _attributes(raw) if raw else {}
         in_article = tag in ("article", "main") or bool(self.stack and self.stack[-1].in_article)
         skipped = is_furniture(tag, attrs, in_article)
+        names = furniture_names(attrs, in_article) if attrs and tag not in ("html", "body", "article", "main") and not skipped else None
+        suspect = Suspect(names) if names else None
+        if tag in ("article", "main") and not self.skipping:
+            for around in self.suspects:
+                around.wraps |= not around.names & COMMENTS
+        if suspect is not None:
+            self.suspects.append(suspect)
         container = None
         if tag in CONTAINER and not skipped and not self.skipping:
-            names = sorted(set(re.sub(r"\d+", "", attrs.get("class", "")).split()))
-            step = ".".join([tag, *names])
+            step = ".".join([tag, *sorted(set(re.sub(r"\d+", "", attrs.get("class", "")).split()))])
             parent = next((e.container for e in reversed(self.stack) if e.container), None)
             above = parent.path if parent else ""
             if len(above) > LONGEST_PATH:
@@ -174,7 +229,7 @@ class Page:
             if tag in ("article", "main"):
                 container.score = ARTICLE_BONUS
             self.containers.append(container)
-        self.stack.append(Element(tag, skipped, container, in_article))
+        self.stack.append(Element(tag, skipped, container, in_article, suspect))
         self.skipping += skipped
         self.links += tag == "a"
 
@@ -214,22 +269,42 @@ class Page:
 
     def best(self) -> Container | None:
         """The container of the largest score, the inner one of equals; the article around it, or the
-        main part where the page marks no article, if it stands in one, for the sake of the title."""
+        main part where the page marks no article, if it stands in one, for the sake of the title. On pages of divs alone, the
+        nearest container around it that adds a heading, if what it adds is not mostly links and is less than it has."""
         found = max(reversed(self.containers), key=lambda c: c.score, default=None)
         around = "article" if any(c.tag == "article" for c in self.containers) else "main"
         above = found
         while above is not None and above.tag != around:
             above = above.parent
-        return above or found
+        if above is not None or found is None:
+            return above or found
+        inner = self._facts(found)
+        above = found.parent
+        while above is not None and above.tag != "body" and not inner[2]:
+            chars, plain, heading = self._facts(above)
+            if plain - inner[1] < max(0.5 * (chars - inner[0]), 1) or chars > 2 * inner[0]:
+                break
+            if heading:
+                return above
+            above = above.parent
+        return found
+
+    def _facts(self, c: Container) -> tuple[int, int, bool]:
+        """The characters of a container's text, those outside links, and whether it has a heading."""
+        blocks = [b for b, kept in zip(self.blocks[c.first : c.last], self.kept[c.first : c.last]) if kept]
+        return sum(len(b.text) for b in blocks), sum(b.plain for b in blocks), any(b.heading for b in blocks)
 
     def text_of(self, containers: list[Container]) -> str:
         """The blocks of the outermost of the containers given, in page order."""
         parts, upto = [], 0
         for c in sorted(containers, key=lambda c: (c.first, -c.last)):
-            parts += self.blocks[max(c.first, upto) : c.last]
+            parts += [b.text for b, kept in zip(self.blocks[max(c.first, upto) : c.last], self.kept[max(c.first, upto) : c.last]) if kept]
             upto = max(upto, c.last)
         return "\n\n".join(parts)
 
+    def all_text(self) -> str:
+        return "\n\n".join(b.text for b, kept in zip(self.blocks, self.kept) if kept)
+
 
 def extract(html: str | None, winners: list[str] | None) -> tuple[str, str | None]:
     """The main text and the path it was found at; winners are the host's paths, best first."""
@@ -239,8 +314,8 @@ def extract(html: str | None, winners: list[str] | None) -> tuple[str, str | Non
             return text, path
     best = page.best()
     if best is None:
-        return "\n\n".join(page.blocks), None
-    return page.text_of([best]) or "\n\n".join(page.blocks), best.path
+        return page.all_text(), None
+    return page.text_of([best]) or page.all_text(), best.path
 
 
 def host_of(url: str = "url") -> Column:

@@ -1,12 +1,15 @@
 import gzip
 import hashlib
 import random
+import re
+from html.parser import HTMLParser
 
 import pytest
 
 from emberline.llm.html_extract import extract, extract_main_text, host_paths
 from emberline.llm.warc import MAGIC, encode_record, read_warc, records, write_warc
 
+LONG = ("Some long paragraph of plain prose goes on for a while. " * 4).strip()
 SCHEMA = "page_id long, url string, html string, text string, path long"
 
 
@@ -21,12 +24,55 @@ SCHEMA = "page_id long, url string, html string, text string, path long"
         ("<body><article><p>cut off <b>here", "cut off here"), ("<article><p>&lt;tag&gt; &#233; &eacute; &copy</p></article>", "<tag> é é ©"),
         ("<body><main><h1>Title</h1><div class='body'><p>" + "long text " * 9 + "</p></div></main><div class='more'><p>short</p></div>", "Title\n\n" + ("long text " * 9).strip()),
         ("<div><table><tr><td>a<td>b<tr><td>c</table></div>", "a b\n\nc"),
+        (f"<body><div id='page-header-wrap'><nav>x</nav><div class='post'><h1>T</h1><p>{LONG}</p></div></div>", f"T\n\n{LONG}"),
+        (f"<body><div class='legal-news'><p>{LONG}</p></div>", LONG), (f"<body><div class='tag-share'><article><h1>T</h1><p>{LONG}</p></article></div>", f"T\n\n{LONG}"),
+        (f"<body><article><header><h1>T</h1><p>By me, today</p></header><p>{LONG}</p><div class='comments'><p>{LONG * 3}</p></div></article>", f"T\n\n{LONG}"),
+        (f"<body><div class='post'><h1>T</h1><p class='lead'>A lead.</p><div class='content'><p>{LONG}</p><p>{LONG}</p></div></div><div class='more'><a href='x'>more</a></div>", f"T\n\nA lead.\n\n{LONG}\n\n{LONG}"),
+        (f"<body><div class='cookie-notice'><p>{LONG}</p></div><p>short</p>", "short"), (f"<body><div class='comments'><p>{LONG * 3}</p></div><div class='post'><p>{LONG}</p></div>", LONG),
     ],
 )
 def test_extract(html, text):
     assert extract(html, None)[0] == text
 
 
+class Slow(HTMLParser):
+    """The blocks of a page's article, tag by tag, for pages that mark one."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside = self.outside = 0
+        self.blocks = [""]
+        self.feed(page)
+        self.text = "\n\n".join(b for b in (" ".join(x.split()) for x in self.blocks) if b)
+
+    def handle_starttag(self, tag, attrs):
+        names = set(re.findall("[a-z]+", " ".join(v or "" for k, v in attrs if k in ("class", "id")).lower()))
+        self.inside += tag == "article"
+        if self.inside and (self.outside or tag in ("aside", "form", "nav", "script", "style") or names & {"ad", "comments", "share", "notice"}):
+            self.outside += tag not in ("br", "img", "input", "hr")
+        if tag in ("p", "h1", "h2", "h3", "ul", "ol", "li", "div", "article", "blockquote", "pre", "table", "tr", "section"):
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "h2", "h3", "ul", "ol", "li", "div", "article", "blockquote", "pre", "table", "tr", "section"):
+            self.blocks.append("")
+        self.outside -= bool(self.outside)
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside and not self.outside:
+            self.blocks[-1] += data
+
+
+def test_a_table_of_pages_equals_a_slow_reader(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    slow = {r["page_id"]: Slow(r["html"]).text for r in pages.collect()}
+    found = {r["page_id"]: r["text"] for r in extract_main_text(pages).collect()}
+    assert all(slow.values()) and found == slow
+
+
 def test_host_consensus(spark):
     body = "This paragraph is long enough to be the article of its page, whatever its neighbours say. " * 3
     usual = f"<body><div class='main col-{{}}'><p>{body}</p><p>{body}</p></div><div class='extra'><p>short</p></div>"
