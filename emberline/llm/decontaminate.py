@@ -34,7 +34,7 @@ PLAIN = ((32, 8, 0.4), (16, 4, 0.5), (8, 3, 0.5))
 #: Diagonals that plain windows of one copy may spread over; plain windows of 8 on one diagonal that make a leak whatever their share (13 tokens or more).
 BAND, RUN = 16, 6
 #: Words that a worker remembers; bytes of text that are read at once, one text at least.
-MEMO, SLICE_BYTES = 200_000, 8_000_000
+MEMO, SLICE_BYTES = 100_000, 2_000_000
 
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)

@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIMENSIONS, ORDER, SEED = 512, 3, 20_240_229
-#: Trigram vectors that a worker holds at most; characters that are bundled at once.
-MEMO, CHUNK = 60_000, 1 << 20
+DIMENSIONS, ORDER, SEED = 1024, 3, 20_240_229
+#: Trigram vectors that a worker holds at most; vectors that are added up at once; characters that are bundled at once.
+MEMO, ROWS, CHUNK = 30_000, 2048, 1 << 19
 #: Labelled rows that prototypes are learned from at most (in expectation).
 MAX_TRAINING_ROWS = 30_000
 #: A unit vector's components are summed as integers of this scale, so the sum has no order.
@@ -60,12 +60,12 @@ class Bundler:
     def _add(self, codes: np.ndarray, total: np.ndarray) -> None:
         grams = (codes[:-2].astype(np.int64) << 42) | (codes[1:-1].astype(np.int64) << 21) | codes[2:]
         unique, counts = np.unique(grams, return_counts=True)
-        for at in range(0, len(unique), MEMO // 4):
+        for at in range(0, len(unique), ROWS):
             if len(self.rows) > MEMO:
                 self._start()
-            some = unique[at : at + MEMO // 4].tolist()
+            some = unique[at : at + ROWS].tolist()
             rows = [self.rows[g] if g in self.rows else self._row(g) for g in some]
-            total += counts[at : at + MEMO // 4].astype(np.float32) @ self.vectors[rows].astype(np.float32)
+            total += counts[at : at + ROWS].astype(np.float32) @ self.vectors[rows].astype(np.float32)
 
     def text(self, text: str | None) -> np.ndarray | None:
         """The text's vector; None without letters."""
@@ -125,16 +125,16 @@ def learn_prototypes(docs: DataFrame, label: str = "lang", dimensions: int = DIM
     return {k: v / max(np.linalg.norm(v), 1e-12) for k, v in sorted(prototypes.items())}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
-    """All columns of `docs`, with lang_pred and score (a cosine, negative ones as 0).
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int = DIMENSIONS, seed: int = SEED, columns: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of `docs`, with lang_pred and score (a cosine, negative ones as 0), or by the names in `columns`.
 
     Only the text is looked at, the whole of it. Null texts, texts without letters, and every text
     when nothing was learned get `und` and 0. Ties go to the first value in order. Repeated rows are judged each;
-    columns named lang_pred or score are replaced.
+    columns of these names are replaced. An empty table gives no rows.
     """
     names = list(prototypes)
     matrix = np.array([prototypes[n] for n in names], dtype=np.float64).reshape(len(names), dimensions)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in columns]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _bundler(dimensions, seed)
@@ -147,9 +147,9 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
                 best = -1 if cosines is None else int(np.argmax(cosines))
                 langs.append("und" if best < 0 else names[best])
                 scores.append(0.0 if best < 0 else min(1.0, max(0.0, float(cosines[best]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *columns])
 
-    schema = docs.select(*kept).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0).cast("double")}).schema
+    schema = docs.select(*kept).withColumns({columns[0]: F.lit(""), columns[1]: F.lit(0.0).cast("double")}).schema
     for field in schema:
         field.nullable = True
     return docs.select(*kept).mapInArrow(judge, schema)

@@ -108,16 +108,16 @@ def repeated_chunks(docs: DataFrame, cells: DataFrame, min_chars: int) -> tuple[
     return repeated.where("agree").drop("agree"), clashing if not clashes.isEmpty() else clashing.limit(0)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 0) -> DataFrame:
-    """All columns of `docs` with text rid of repeated chunks, and n_lines, n_removed.
+def dedup_lines(docs: DataFrame, min_chars: int = 0, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """All columns of `docs` with text rid of repeated chunks, and n_lines, n_removed, or by the names in `counts`.
 
     A null text stays null with no lines, an empty one has one empty line. A text loses the lines of chunks that
     stand at an earlier place too. The first place of a line in the corpus is the first of every chunk it lies in
     there, so each lost line stays there. A text that loses all its solid lines becomes ''. Rows that repeat doc_id
-    and text are one document to the comparison and get the same result; an empty table gives no rows. Columns named n_lines or n_removed are
+    and text are one document to the comparison and get the same result; an empty table gives no rows. Columns of these names are
     replaced, others stay as they are, whatever their names. Only documents that lose lines, and few others, are shuffled.
     """
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    kept = [c for c in docs.columns if c not in counts]
     cells = _recurring(docs, min_chars)
     agreed, clashing = repeated_chunks(docs, cells, min_chars)
     places = ["doc_id", "text_hash", "first", "n"]
@@ -132,7 +132,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 0) -> DataFrame:
 
     hashed = docs.select(*kept).withColumn(own, F.xxhash64("text"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    untouched = lacks(hashed, losing, own).select(*kept, n_lines.alias("n_lines"), F.lit(0).alias("n_removed"))
+    untouched = lacks(hashed, losing, own).select(*kept, n_lines.alias(counts[0]), F.lit(0).alias(counts[1]))
 
     joined = may_hold(hashed, losing, own).join(found, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_hash)), "left")
     split = joined.withColumn(lines, F.split("text", "\n"))
@@ -142,7 +142,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 0) -> DataFrame:
     text = F.when(F.col(spans).isNull(), F.col("text")).when(F.col(solid), F.array_join(stays, "\n")).otherwise("").alias("text")
     touched = marked.select(
         *[text if c == "text" else F.col(c) for c in kept],
-        n_lines.alias("n_lines"),
-        F.when(F.col(spans).isNull(), 0).when(F.col(solid), F.size(gone)).otherwise(F.size(lines)).alias("n_removed"),
+        n_lines.alias(counts[0]),
+        F.when(F.col(spans).isNull(), 0).when(F.col(solid), F.size(gone)).otherwise(F.size(lines)).alias(counts[1]),
     )
     return untouched.unionByName(touched)

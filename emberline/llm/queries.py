@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
 from .decontaminate import find_leaks
 from .fingerprints import compare_versions
 from .html_extract import extract_main_text
@@ -14,14 +15,13 @@ from .jaccard_join import jaccard_components
 from .language_id import held_out, identify, learn_prototypes
 from .line_dedup import dedup_lines
 from .packing import pack_documents
-from .shared import importable
 from .suffix_dedup import repeated_passages
 from .token_files import read_token_files, write_token_files
 from .warc import read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    importable(spark)
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

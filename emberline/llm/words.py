@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text that are split into words at once, one text at least.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 3_000_000
 
 
 def hashed_words(texts: pa.Array, lower: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -1,9 +1,12 @@
+import random
+import re
 import zlib
 
+import numpy as np
 import pytest
 
 import emberline.llm.queries as queries
-from emberline.llm.language_id import held_out, identify, learn_prototypes
+from emberline.llm.language_id import DIMENSIONS, SEED, held_out, identify, learn_prototypes
 
 
 def test_held_out_accuracy(spark):
@@ -39,3 +42,30 @@ def test_training_sample_is_bounded_and_repeatable(spark, limit):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     a, b = (learn_prototypes(docs, max_rows=limit) for _ in range(2))
     assert a.keys() == b.keys() and all((a[k] == b[k]).all() for k in a)
+
+
+def slow_vector(text):
+    """Trigram by trigram: the product of the letters' signs, each turned by its place, added up."""
+    cleaned = " " + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in (text or "").lower())).strip(" ") + " "
+    sign = lambda c: 2 * np.random.default_rng([SEED, ord(c)]).integers(0, 2, DIMENSIONS, dtype=np.int8).astype(np.int64) - 1
+    total = np.zeros(DIMENSIONS, np.int64)
+    for i in range(len(cleaned) - 2):
+        total += np.prod([np.roll(sign(c), place) for place, c in enumerate(reversed(cleaned[i : i + 3]))], axis=0)
+    return total if cleaned.strip() else None
+
+
+def test_scores_equal_brute_force(spark):
+    words = "der die das und nicht schön the of and with that É x1y ß straße".split()
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 12))), ["en", "de", None][i % 3]) for i in range(60)] + [(60, None, "en"), (61, "12 !", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    vectors = {d: slow_vector(t) for d, t, _ in rows}
+    sums = {}
+    for d, _, lang in rows:
+        if lang and vectors[d] is not None:
+            sums[lang] = sums.get(lang, 0) + vectors[d] / np.linalg.norm(vectors[d])
+    for r in identify(docs, learn_prototypes(docs)).collect():
+        v = vectors[r["doc_id"]]
+        cosines = {} if v is None else {k: float(s @ v / np.linalg.norm(s) / np.linalg.norm(v)) for k, s in sums.items()}
+        best = max(cosines, key=cosines.get, default="und")
+        assert r["lang_pred"] == best and abs(r["score"] - max(0, cosines.get(best, 0))) < 1e-3
