@@ -4,12 +4,16 @@ Equal sets are one set from the start. Sets are dealt to tiles of like size (ban
 segments: every shingle belongs to one of K segments by its hash. Two sets that differ in at most D
 shingles agree on all but D of the segments at most, so with K above the band's D they share a segment whole, and
 only sets that do are compared. More: a set with F filled segments shares F - D of them at least with every
-set it links to, so a set that shares fewer with the whole corpus has no link in that tile and leaves it.
+set it links to, so a set that shares fewer with the whole corpus has no link in that tile and leaves it, and
+one that shares S keeps the S - (F - D) + 1 rarest: the rarest that two linked sets have in common is among these for both.
 Where too few segments hold anything, the set is dealt anew by other hashes. So no link is lost, and a
 passage that many documents share brings them together only where it fills most of them.
 
-Pairs are compared where they can still join components: first each set with the best connected
-set of its segments, then with the best of every segment, then the rest across components. Bitmaps as wide as
+Of the sets that are left, shingles that stand in one set alone bound the overlap with any other from above, which
+parts copies that were edited too much from each other without comparing them.
+
+Pairs are compared where they can still join components: in each of a few rounds every set with one of the best connected
+sets of its segments, then the rest across components. Bitmaps as wide as
 the sets are large bound the overlap from above, and only pairs that they leave are compared by their sorted shingle arrays.
 """
 
@@ -21,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -31,7 +35,11 @@ from .words import hashed_words
 #: Segments beyond D + 1, as a share.
 SLACK = 0.2
 #: Bits of a bitmap for each shingle, and in all at least; members compared with one leader in one task, about.
-DENSITY, LEAST_BITS, MEMBERS = 3, 256, 256
+DENSITY, LEAST_BITS, MEMBERS = 3, 1024, 64
+#: 64-bit words of the small bitmap that tiles compare, those of the least one; sets of a segment that meet in one tile, about, or with those of another.
+FOLDED, TILE = LEAST_BITS // 64, 2048
+#: Rounds in which each set is compared with one leader, before the pairs that are left.
+ROUNDS = 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(31)
 
@@ -234,16 +242,106 @@ def _verified(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     return _compared(pairs, texts.select("set", F.col("text").alias("data")), lambda column: shingle_sets(column, join.size), join.links)
 
 
-def _texts_of(docs: DataFrame, facts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(set, text) of the sets in the pairs, by one document of each; a hash filter spares the shuffle most other texts."""
-    ends = pairs.select(F.col("u").alias("set")).unionByName(pairs.select(F.col("v").alias("set"))).distinct()
-    wanted = staged(facts.join(ends, "set", "left_semi").select("set", "doc_id", "text_hash"), "wanted-texts")
+def _texts_of(docs: DataFrame, facts: DataFrame) -> DataFrame:
+    """(set, text) of the sets, by one document of each; a hash filter spares the shuffle most other texts."""
+    wanted = staged(facts.select("set", "doc_id", "text_hash"), "wanted-texts")
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     near = may_hold(hashed, hash_filter(wanted, "text_hash", "wanted-cells"), "text_hash")
     joined = near.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash")))
     return staged(joined.select("w.set", "d.text").dropDuplicates(["set"]), "candidate-texts")
 
 
+def _known(facts: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
+    """The sets with s, how many of their shingles other sets hold too; without those that this alone keeps from every link."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                found = list(shingle_sets(some["text"], join.size))
+                owners = np.repeat(some["set"].to_numpy(), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)), pa.array(owners)], names=["shingle", "set"])
+
+    held = texts.mapInArrow(spread, "shingle long, set long").groupBy("shingle").agg(F.count("*").alias("times"), F.min("set").alias("set"))
+    alone = staged(held.where("times = 1").groupBy("set").agg(F.count("*").alias("alone")), "own-shingles")
+    counted = facts.join(alone, "set", "left").withColumn("s", (F.col("n") - F.coalesce("alone", F.lit(0))).cast("int")).drop("alone")
+    return staged(counted.where(F.col("s") * F.lit(100).cast("long") >= join.percent * F.col("n")), "known-sets")
+
+
+def _room(join: Join, a: str, b: str) -> Column:
+    """Whether the shingles that two sets can have in common at most are enough for a link."""
+    most = f"cast(least({a}s, {b}s) AS long)"
+    return F.expr(f"100 * {most} >= {join.percent} * ({a}n + {b}n - {most})")
+
+
+def _within_tile(join: Join, rows: dict[str, np.ndarray], crossed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v) of the pairs of sets of a tile that are of several components and that sizes, shingles of their own and folded bitmaps leave; between two blocks only if `crossed`."""
+    order = np.argsort(rows["n"], kind="stable")
+    sets, c, n, s, own, bits = (rows[name][order] for name in ("set", "c", "n", "s", "own", "bits"))
+    upto = np.searchsorted(n, n * 100 // join.percent, "right")
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(len(sets) - 1):
+        j = np.arange(i + 1, upto[i])
+        most = np.minimum(s[i], s[j])
+        j = j[(c[j] != c[i]) & (100 * most >= join.percent * (n[i] + n[j] - most)) & ((own[j] != own[i]) | (not crossed))]
+        if len(j):
+            gone = [np.bitwise_count(x).sum(axis=1).astype(np.int64) for x in (bits[i] & ~bits[j], bits[j] & ~bits[i])]
+            most = np.minimum(np.minimum(s[i], s[j]), np.minimum(n[i] - gone[0], n[j] - gone[1]))
+            j = j[100 * most >= join.percent * (n[i] + n[j] - most)]
+            us.append(np.minimum(sets[i], sets[j]))
+            vs.append(np.maximum(sets[i], sets[j]))
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _tiled(segments: DataFrame, facts: DataFrame, join: Join) -> DataFrame:
+    """The pairs (u, v) of sets under one key and of several components that may link.
+
+    The sets of a key are dealt to blocks of about TILE, and a tile is a block with itself or with another, so no key
+    needs one task; pairs are compared where they stand, and only those that pass leave it.
+    """
+    hot = staged(segments.groupBy("key").agg(F.ceil(F.count("*") / TILE).alias("blocks")).where("blocks > 1"), "crowded-keys")
+    dealt = segments.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")))
+    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "set", "c")
+    small = staged(facts.join(segments.select("set").distinct(), "set", "left_semi").mapInArrow(_fold, "set long, n long, s long, bits binary"), "folded-bitmaps")
+    ordered = tiles.join(small, "set").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in _and_end(batches):
+            if batch is not None and batch.num_rows:
+                waiting.append(batch)
+            if not waiting or batch is not None and sum(b.num_rows for b in waiting) < 2 * TILE:
+                continue
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            tile = np.stack([table[name].to_numpy() for name in ("key", "low", "high")])
+            ends = np.append(np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(axis=0)) + 1, table.num_rows)
+            rows = {name: table[name].to_numpy() for name in ("set", "c", "n", "s", "own")}
+            rows["bits"] = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(-1, FOLDED)
+            begin, found = 0, []
+            for end in ends.tolist() if batch is None else ends[:-1].tolist():  # the last tile may go on
+                found.append(_within_tile(join, {name: column[begin:end] for name, column in rows.items()}, bool(tile[1, begin] != tile[2, begin])))
+                begin = end
+            waiting = table.slice(begin).to_batches()
+            if found:
+                u, v = (np.concatenate(x) for x in zip(*found))
+                u, v = np.unique(np.stack([u, v]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return ordered.mapInArrow(compare, "u long, v long").distinct()
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bitmaps folded to FOLDED words."""
+    for batch in batches:
+        small = [np.bitwise_or.reduce(np.frombuffer(raw, np.uint64, offset=8).reshape(-1, FOLDED), axis=0).tobytes() for raw in batch["bits"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["set"], batch["n"].cast(pa.int64()), batch["s"].cast(pa.int64()), pa.array(small, pa.binary())], names=["set", "n", "s", "bits"])
+
+
 def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
 
@@ -256,11 +354,21 @@ def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _live(keys: DataFrame) -> DataFrame:
-    """The rows (key, set, tile, need) of sets that share enough keys in a tile, and of these the keys that two sets have."""
+    """The rows (key, set, tile, need) of sets that share enough keys in a tile, and of these the keys that two sets have, with `sharing`."""
     enough = keys.groupBy("set", "tile").agg(F.count("*").alias("n"), F.max("need").alias("need"), F.min("need").alias("least")).where("least = 0 OR n >= need").select("set", "tile")
-    left = keys.join(staged(enough, "live-sets"), ["set", "tile"], "left_semi")
-    shared = left.groupBy("key").agg(F.count("*").alias("sharing")).where("sharing > 1")
-    return staged(left.drop("sharing").join(staged(shared, "live-keys"), "key"), "live-segments")
+    return _shared(keys.drop("sharing").join(staged(enough, "live-sets"), ["set", "tile"], "left_semi"))
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    counts = keys.groupBy("key").agg(F.count("*").alias("sharing")).where("sharing > 1")
+    return staged(keys.join(staged(counts, "live-keys"), "key"), "live-segments")
+
+
+def _rarest(keys: DataFrame) -> DataFrame:
+    """The rows that the rarest key in common of two linked sets can be in."""
+    own = Window.partitionBy("set", "tile")
+    ranked = keys.withColumn("place", F.row_number().over(own.orderBy("sharing", "key"))).withColumn("n", F.count("*").over(own)).withColumn("least", F.min("need").over(own))
+    return _shared(ranked.where("least = 0 OR place <= n - need + 1").select("key", "set", "tile", "need"))
 
 
 def _labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -271,48 +379,47 @@ def _labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
     kept = staged(crowd.where("n >= 0 OR low <> high").drop("low", "high"), "segments")
     members = kept.where("n >= 0").select("doc_id", F.col("v").alias("set"), "n", F.col("aux").alias("text_hash"), "bits")
     keys = kept.where("n < 0").select(F.col("k").alias("key"), F.col("v").alias("set"), F.col("n").alias("tile"), F.col("aux").alias("need")).distinct()
-    shared = _live(_live(keys))
+    shared = _rarest(_live(_live(keys)))
 
     fame = staged(shared.groupBy("set").agg(F.sum("sharing").alias("fame")), "fame")
-    named = shared.select("key", "set").join(fame, "set")
-    lead = staged(named.groupBy("key").agg(F.max(F.struct("fame", "set")).alias("lead")).select("key", F.col("lead.set").alias("leader"), F.col("lead.fame").alias("fame")), "leaders")
-    led = shared.select("key", "set").join(lead, "key").where("leader <> set")
-    pairs = staged(led.groupBy(F.col("set").alias("u"), F.col("leader").alias("v")).agg(F.max("fame").alias("fame")), "led-pairs")
     sets = members.where("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("least"))
     candidates = members.join(fame.select("set"), "set", "left_semi").groupBy("set")
     facts = staged(candidates.agg(F.first("n").alias("n"), F.first("bits", True).alias("bits"), F.min(F.struct("doc_id", "text_hash")).alias("who")).select("set", "n", "bits", "who.*"), "candidate-sets")
+    texts = _texts_of(docs, facts)
+    facts = _known(facts, texts, join)
+    shared = _shared(shared.select("key", "set").join(facts.select("set"), "set", "left_semi").distinct())
+    placed = staged(shared.select("key", "set").join(fame, "set").join(facts.select("set", "n", "s"), "set").withColumn("c", F.col("set")), "placed-segments")
+    links = labels = docs.sparkSession.createDataFrame([], "u long, v long")
+    tested = links
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The links so far and those of the pairs."""
+        left = staged(_bounded(pairs, facts, join), "bounded-pairs")
+        return links if left.isEmpty() else staged(links.unionByName(_verified(left, texts, join)), "links")
+
+    def mixed() -> DataFrame:
+        """The segments' rows under keys that sets of several components have, with the component."""
+        now = placed.drop("c").join(labels.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("c", F.coalesce("component", "set")).drop("component")
+        several = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+        return staged(now.join(staged(several, "mixed-keys"), "key", "left_semi"), "mixed-segments")
+
+    for round_no in range(ROUNDS):
+        if round_no:
+            placed = mixed()
+        lead = F.max(F.struct("fame", "set", "c", "n", "s")).alias("lead")
+        leaders = staged(placed.groupBy("key").agg(lead).select("key", "lead.*").toDF("key", *(f"leader_{c}" for c in ("fame", "set", "c", "n", "s"))), "leaders")
+        led = placed.join(leaders, "key").where((F.col("c") != F.col("leader_c")) & _room(join, "", "leader_"))
+        often = led.groupBy(F.col("set").alias("u"), F.col("leader_set").alias("v")).agg(F.count("*").alias("times"), F.max("leader_fame").alias("fame"))
+        often = often.join(tested, ["u", "v"], "left_anti") if round_no else often
+        best = staged(often.groupBy("u").agg(F.max(F.struct("times", "fame", "v")).alias("m")).select("u", F.col("m.v").alias("v")), "best-pairs")
+        links = linked(best)
+        tested = staged(tested.unionByName(best), "tested-pairs")
+        labels = staged(connected_components(links), "labels")
 
-    near = staged(_bounded(pairs, facts, join).join(pairs, ["u", "v"]), "leader-pairs")
-    texts = _texts_of(docs, facts, near)
-    best = near.groupBy("u").agg(F.max(F.struct("fame", "v")).alias("m")).select("u", F.col("m.v").alias("v"))
-    links = staged(_verified(best, texts, join), "links")
-    labels = staged(connected_components(links), "labels")
-
-    def across(found: DataFrame) -> DataFrame:
-        a = labels.select(F.col("node").alias("u"), F.col("component").alias("cu"))
-        b = labels.select(F.col("node").alias("v"), F.col("component").alias("cv"))
-        return found.join(a, "u", "left").join(b, "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).drop("cu", "cv")
-
-    rest = across(near.select("u", "v").join(best, ["u", "v"], "left_anti"))
-    links = staged(links.unionByName(_verified(rest, texts, join)), "links")
+    known = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    links = linked(staged(_tiled(mixed().select("key", "set", "c"), facts, join).join(known, ["u", "v"], "left_anti"), "last-pairs"))
     labels = staged(connected_components(links), "labels")
 
-    placed = shared.select("key", "set", "tile", "need").join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("c", F.coalesce("component", "set"))
-    mixed = staged(placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key"), "mixed-keys")
-    tiled = staged(placed.join(mixed, "key", "left_semi").join(facts.select("set", "n"), "set").select("key", "set", "tile", "need", "c", "n"), "mixed-segments")
-    x, y = tiled.alias("x"), tiled.alias("y")
-    alike = F.expr(f"100L * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.c") != F.col("y.c")) & alike)
-    often = met.groupBy(F.col("x.set").alias("u"), F.col("y.set").alias("v"), F.col("x.tile").alias("tile")).agg(
-        F.count("*").alias("n"), F.max(F.greatest("x.need", "y.need")).alias("need"), F.min(F.least("x.need", "y.need")).alias("least")
-    )
-    last = often.where("least = 0 OR n >= need").select("u", "v").distinct().join(pairs.select("u", "v"), ["u", "v"], "left_anti")
-    last = last.join(pairs.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti")
-    last = staged(_bounded(staged(last, "last-pairs"), facts, join), "last-candidates")
-    if not last.isEmpty():
-        links = staged(links.unionByName(_verified(last, _texts_of(docs, facts, last), join)), "links")
-        labels = staged(connected_components(links), "labels")
-
     smallest = sets.select("set", F.col("least").alias("doc_id")).join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", F.coalesce("component", "set").alias("c"), "doc_id")
     roots = smallest.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     of_set = staged(smallest.join(roots, "c").select("set", "c", "component_id"), "set-components")

@@ -36,8 +36,9 @@ def variants(rng, count=60):
     return rows
 
 
-@pytest.mark.parametrize(("size", "percent", "seed"), [(4, 85, 1), (3, 70, 2)])
-def test_components_equal_brute_force(spark, size, percent, seed):
+@pytest.mark.parametrize(("size", "percent", "seed", "tile"), [(4, 85, 1, 2048), (3, 70, 2, 2)])
+def test_components_equal_brute_force(spark, monkeypatch, size, percent, seed, tile):
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
     rows = variants(random.Random(seed))
     found = jaccard_components(spark.createDataFrame(rows, TEXTS).repartition(4), size, percent).collect()
     assert Counter(map(tuple, found)) == Counter(components(rows, size, percent))
@@ -94,6 +95,21 @@ def test_bitmap_bound_never_rejects_a_link():
     assert not all(kept)
 
 
+def test_tiles_leave_every_link():
+    rng = np.random.default_rng(2)
+    join = Join(4, 85)
+    base = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (5, 40, 300, 2000)]
+    sets = [np.unique(np.concatenate([b[rng.random(len(b)) > drop], rng.integers(0, 2**63, int(more * len(b)), dtype=np.uint64)])) for b in base for drop in (0, 0.02, 0.1, 0.3) for more in (0, 0.02, 0.1)]
+    held = Counter(x for s in sets for x in s.tolist())
+    folded = [np.bitwise_or.reduce(np.frombuffer(jaccard_join.bitmap(s), np.uint64, offset=8).reshape(-1, jaccard_join.FOLDED), axis=0) for s in sets]
+    ids = np.arange(len(sets))
+    rows = {"set": ids, "c": ids, "n": np.array([len(s) for s in sets]), "s": np.array([sum(held[x] > 1 for x in s.tolist()) for s in sets]), "own": ids % 2, "bits": np.array(folded)}
+    links = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if join.links(sets[i], sets[j])}
+    for crossed in (False, True):
+        found = set(zip(*(x.tolist() for x in jaccard_join._within_tile(join, rows, crossed))))
+        assert {(i, j) for i, j in links if not crossed or (i + j) % 2} <= found and len(found) < len(sets) ** 2 / 4
+
+
 def test_connected_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randint(200, 300), rng.randint(200, 300)) for _ in range(60)] + [(5, 5)]
