@@ -25,7 +25,7 @@ from .words import hashed_words
 #: Least length of a passage; words of an anchor; anchors among which a minimiser is chosen, so that GRAM + WINDOW <= WORDS.
 WORDS, GRAM, WINDOW = 50, 12, 38
 #: Suffixes of one group that meet in one task, about; a larger group is dealt to several, which then exchange what windows they hold.
-TOGETHER = 10_000
+TOGETHER = 4_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
