@@ -79,6 +79,7 @@ def oracle_sql() -> dict[str, str]:
         "last_300_bars": f"{_newest(chr(39) + 'ALL' + chr(39))} SELECT {_BAR} FROM newest",
         "closed_bars": f"WITH bars AS ({_bars('5m', _BY_TYPE)}) SELECT {_BAR} FROM bars QUALIFY time < max(time) OVER (PARTITION BY symbol, interval)",
         "klines_json_parse": _bars(),
+        "klines_of_mixed_answers": f"SELECT * FROM ({_bars()}) WHERE day(time) % 5 = 0",
         "price_change": f"{_history()} SELECT {_KEYS}, close - prev_close AS change, coalesce(greatest(close - prev_close, 0::DOUBLE), 0) AS gain,"
         " CASE WHEN close < prev_close THEN prev_close - close ELSE 0::DOUBLE END AS loss FROM judged",
         "true_range": f"{_history()} SELECT {_KEYS}, true_range FROM judged",

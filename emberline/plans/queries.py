@@ -40,13 +40,23 @@ def closed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candles.closed_only(bars(spark, sf_dir, by_type=True))
 
 
-def klines_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every day's bars written as a kline payload and parsed again; volumes carry trailing junk, as prefixes must parse."""
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day's bars as a kline payload; volumes carry trailing junk, as prefixes must parse."""
     day = F.to_date("time").alias("day")
     millis = F.unix_millis(F.col("time").cast("timestamp")).cast("string")
     row = F.array(millis, *[F.col(c).cast("string") for c in ("open", "high", "low", "close")], F.concat(F.col("volume").cast("string"), F.lit("x")), F.lit("ignored"))
-    payloads = bars(spark, sf_dir).groupBy("symbol", "interval", day).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("time", row.alias("k")))), lambda r: r["k"])).alias("body"))
-    return from_payloads(payloads)
+    return bars(spark, sf_dir).groupBy("symbol", "interval", day).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("time", row.alias("k")))), lambda r: r["k"])).alias("body"))
+
+
+def klines_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_payloads(_payloads(spark, sf_dir))
+
+
+def klines_of_mixed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where some days' answers are an error object, cut off, null or empty: those give no bar, the others stand."""
+    number = F.dayofmonth("day") % 5
+    body = F.when(number == 1, '{"code":-1121,"msg":"Invalid symbol."}').when(number == 2, F.lit("not json")).when(number == 3, F.lit(None)).when(number == 4, F.lit("[]")).otherwise(F.col("body"))
+    return from_payloads(_payloads(spark, sf_dir).withColumn("body", body), strict=False)
 
 
 def price_change(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "last_300_bars": last_300_bars,
         "closed_bars": closed_bars,
         "klines_json_parse": klines_json_parse,
+        "klines_of_mixed_answers": klines_of_mixed_answers,
         "price_change": price_change,
         "true_range": true_ranges,
         "ema_series": _indicated("ema9", "ema21", "prev_ema9", "prev_ema21"),

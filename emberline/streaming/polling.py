@@ -80,7 +80,10 @@ def trailing_indicators(bars: DataFrame) -> DataFrame:
             held = merged.iloc[-(2 * SNAPSHOT - 1) :].reset_index(drop=True)
         state.update(([t.to_pydatetime() for t in held["time"]], *(held[c].tolist() for c in _HELD[1:])))
 
-    return clean(bars).groupBy(*KEY).applyInPandasWithState(update, INDICATED, _STATE, "append", GroupStateTimeout.NoTimeout)
+    made = clean(bars).groupBy(*KEY).applyInPandasWithState(update, INDICATED, _STATE, "append", GroupStateTimeout.NoTimeout)
+    # On its way from pandas a NaN becomes null.
+    least = {c: 2 if c.startswith("prev") else 1 for c in _COLUMNS if c not in ("symbol", "interval", "time", "n_bars")}
+    return made.withColumns({c: F.when((F.col("n_bars") >= n) & F.col(c).isNull(), float("nan")).otherwise(F.col(c)) for c, n in least.items()})
 
 
 def stream_signals(bars: DataFrame) -> DataFrame:

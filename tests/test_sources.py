@@ -1,15 +1,18 @@
 import json
 import time
+from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from emberline.functions.formatting import price, to_fixed
 from emberline.functions.parsing import parse_float
 from emberline.operators.candles import BAR
+from emberline.operators.chart import PORTUGUESE, markers, panel
 from emberline.operators.signals import SIGNAL, signals
 from emberline.sources.klines import KlineSource
 from emberline.sources.payloads import from_payloads, read_payload_files
-from emberline.streaming.polling import bars_of_stream, poll_signals, stream_signals
+from emberline.streaming.polling import bars_of_stream, poll_signals, shown_at, stream_signals
 
 ROWS = [[1704067200000 + 300_000 * i, str(10 + i % 7), str(12.5 + i % 7), "9.25", f"{11 + i % 5}.5", str(100 * (i % 3)), "x", 1] for i in range(40)]
 
@@ -82,6 +85,44 @@ def test_poll(spark, endpoint, tmp_path):
     assert {r["symbol"]: r for r in seen[0]} == expected
 
 
+def test_stream_upserts_and_knows_nan(spark, tmp_path):
+    start, nan = datetime(2024, 1, 1), float("nan")
+    bar = lambda i, close, high=None: ("A", "5m", start + timedelta(minutes=5 * i), 1.0, 200.0 if high is None else high, 1.0, close, 10.0)
+    first = [bar(i, 100.0 + i % 7) for i in range(320)]
+    batches = [first[:10] + first[11:], [bar(319, 90.0)], [first[10], first[50], bar(320, None), bar(321, 101.0, nan), ("A", "5m", None, 1.0, 1.0, 1.0, 1.0, 1.0)], [first[3], bar(322, 99.0)]]
+    batches += [[bar(i, 100.0 + i % 5) for i in range(323, 700)], [bar(2, 7.0)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, BAR).coalesce(1).write.mode("append").parquet(str(tmp_path / "bars"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(BAR).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "bars"))
+    sent = []
+    keep = lambda df, n: sent.extend((n, r.asDict()) for r in df.collect())
+    stream_signals(stream).writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(180)
+    by_time = {r["time"]: r for _, r in sorted(sent, key=lambda x: x[0])}
+    final = {b[2]: b for rows in batches[:-1] for b in rows if b[2] is not None}
+    batch = {r["time"]: r.asDict() for r in signals(spark.createDataFrame(list(final.values()), BAR)).collect()}
+    too_old = start + timedelta(minutes=10)
+    assert by_time[too_old]["n_bars"] == 0 and by_time[too_old]["direction"] == "NONE"
+    assert set(by_time) == set(batch)
+    for at, want in batch.items():
+        assert at == too_old or all(repr(by_time[at][c]) == repr(want[c]) for c in SIGNAL), at
+    assert len([1 for n, r in sent if r["time"] == start + timedelta(minutes=50 * 5)]) == 2  # once when it came, once when the bar before it did
+
+
+def test_shown_snapshot_is_replaced(spark, tmp_path):
+    path = str(tmp_path / "shown")
+    for n, symbol in enumerate("AB"):
+        shown_at(path)(spark.createDataFrame([(symbol, 1)], "symbol string, x int"), n)
+    assert [r["symbol"] for r in spark.read.parquet(path).collect()] == ["B"]
+
+
+def test_labels_and_clock(spark):
+    row = spark.range(1).selectExpr("'A' AS symbol", "'5m' AS interval", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS time", "'BUY' AS direction", "2D AS entry", "1D AS stop", "3.5D AS take", "'1:1.5' AS rr", "1D AS atr", "1D AS ema9", "1D AS ema21", "60D AS rsi", "true AS vol_spike")
+    assert markers(row, PORTUGUESE).first()["text"] == "COMPRA" and markers(row).first()["text"] == "BUY"
+    shown = panel(row, PORTUGUESE, F.lit(datetime(2024, 1, 1, 9, 8, 7))).first()
+    assert (shown["direction"], shown["css_class"], shown["last_update"]) == ("COMPRA", "signal buy", "Atualizado: 09:08:07")
+
+
 def test_stream_equals_batch(spark, tmp_path):
     ticks = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts", "event_id", "value").orderBy("ts").collect()
     schema = "ts timestamp_ntz, event_id long, value double"
