@@ -164,3 +164,15 @@ def test_odd_rows(spark):
     assert sorted(r["n_bars"] for r in signals(bars).collect()) == [1, 1, 2, 3]
     assert [r["close"] for r in numbered(bars.where("symbol IS NULL")).orderBy("bar_no").collect()] == [1.0, 2.0, 3.0]
     assert closed_only(bars).count() == 0 and latest_signals(bars).count() == 2
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_ticks_of_one_time_are_ordered(spark, kind):
+    from emberline.operators.candles import from_ticks
+
+    top = 2**63 - 1
+    rows = [("2024-01-01 00:00:01", i, float(v)) for v, i in enumerate((5, 3, None, 7))] + [("2024-01-01 00:00:02", top, 9.0), ("2024-01-01 00:00:02.000001", -top, 11.0), ("2024-01-01 00:04:00", 1, None), (None, 1, 1.0)]
+    ticks = spark.createDataFrame(rows, "ts string, event_id bigint, value double").selectExpr("CAST(ts AS timestamp_ntz) AS ts", f"CAST(event_id AS {kind}) AS event_id", "value")
+    found = from_ticks(ticks, "1m").orderBy("time").collect()
+    assert [(r["open"], r["close"], r["volume"]) for r in found][0] == (2.0, 11.0, 6.0)
+    assert found[1]["open"] != found[1]["open"] and len(found) == 2
