@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import MEMOS, lean
 from .shared import FILTER_BITS, hash_filter, staged, unused
 
 #: Tokens to a template window; items shorter than that give one window, with LEAST tokens or more.
@@ -79,6 +80,7 @@ class Canon(dict):
 
 
 _CANON = Canon()
+MEMOS["canon"] = _CANON.clear
 
 
 class Tokens:
@@ -174,7 +176,7 @@ def _windows(table: DataFrame, id_column: str, lengths: list[tuple[bool, int]] |
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["id", "pos", "hash", "plain", "length", "n", "slots"])
                 at = upto
 
-    return table.select(F.col(id_column).alias("id"), "text").mapInArrow(hits, _HITS)
+    return table.select(F.col(id_column).alias("id"), "text").mapInArrow(lean(hits, "canon"), _HITS)
 
 
 def _templates(hits: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .memory import lean
 from .shared import staged
 
 #: Paths that win on a host at most, best first; shares of the votes below this don't win.
@@ -345,7 +346,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
             [pa.array([h for h, _ in sums], pa.string()), pa.array([p for _, p in sums], pa.string()), pa.array(list(sums.values()), pa.int64())], names=["host", "path", "votes"]
         )
 
-    votes = pages.select(host_of().alias("host"), "html").mapInArrow(vote, "host string, path string, votes long")
+    votes = pages.select(host_of().alias("host"), "html").mapInArrow(lean(vote), "host string, path string, votes long")
     totals = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     by_host = Window.partitionBy("host")
     ranked = totals.select(
@@ -374,4 +375,4 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars", "path"],
             )
 
-    return joined.mapInArrow(read, "page_id long, url string, text string, n_chars long, path string")
+    return joined.mapInArrow(lean(read), "page_id long, url string, text string, n_chars long, path string")

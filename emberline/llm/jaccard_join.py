@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .memory import lean
 from .shared import hash_filter, may_hold, staged, unused
 from .words import hashed_words
 
@@ -202,7 +203,7 @@ def _rows(docs: DataFrame, join: Join) -> DataFrame:
                     names=["k", "v", "n", "aux", "doc_id", "bits"],
                 )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(make, _ROWS)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(lean(make), _ROWS)
 
 
 def _compared(pairs: DataFrame, data: DataFrame, read: Callable[[pa.Array], Iterator], test: Callable[..., bool]) -> DataFrame:
@@ -229,7 +230,7 @@ def _compared(pairs: DataFrame, data: DataFrame, read: Callable[[pa.Array], Iter
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     ordered = leaders.unionByName(members).repartition("v", "salt").sortWithinPartitions("v", "salt", F.asc_nulls_first("member"))
-    return ordered.mapInArrow(compare, "u long, v long")
+    return ordered.mapInArrow(lean(compare), "u long, v long")
 
 
 def _bounded(pairs: DataFrame, facts: DataFrame, join: Join) -> DataFrame:
@@ -262,7 +263,7 @@ def _known(facts: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
                 owners = np.repeat(some["set"].to_numpy(), [len(x) for x in found])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)), pa.array(owners)], names=["shingle", "set"])
 
-    held = texts.mapInArrow(spread, "shingle long, set long").groupBy("shingle").agg(F.count("*").alias("times"), F.min("set").alias("set"))
+    held = texts.mapInArrow(lean(spread), "shingle long, set long").groupBy("shingle").agg(F.count("*").alias("times"), F.min("set").alias("set"))
     alone = staged(held.where("times = 1").groupBy("set").agg(F.count("*").alias("alone")), "own-shingles")
     counted = facts.join(alone, "set", "left").withColumn("s", (F.col("n") - F.coalesce("alone", F.lit(0))).cast("int")).drop("alone")
     return staged(counted.where(F.col("s") * F.lit(100).cast("long") >= join.percent * F.col("n")), "known-sets")
@@ -302,7 +303,7 @@ def _tiled(segments: DataFrame, facts: DataFrame, join: Join) -> DataFrame:
     hot = staged(segments.groupBy("key").agg(F.ceil(F.count("*") / TILE).alias("blocks")).where("blocks > 1"), "crowded-keys")
     dealt = segments.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")))
     tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "set", "c")
-    small = staged(facts.join(segments.select("set").distinct(), "set", "left_semi").mapInArrow(_fold, "set long, n long, s long, bits binary"), "folded-bitmaps")
+    small = staged(facts.join(segments.select("set").distinct(), "set", "left_semi").mapInArrow(lean(_fold), "set long, n long, s long, bits binary"), "folded-bitmaps")
     ordered = tiles.join(small, "set").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +328,7 @@ def _tiled(segments: DataFrame, facts: DataFrame, join: Join) -> DataFrame:
                 u, v = np.unique(np.stack([u, v]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return ordered.mapInArrow(compare, "u long, v long").distinct()
+    return ordered.mapInArrow(lean(compare), "u long, v long").distinct()
 
 
 def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:

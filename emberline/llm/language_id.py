@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import MEMOS, lean
+
 DIMENSIONS, ORDER, SEED = 1024, 3, 20_240_229
 #: Trigram vectors that a worker holds at most; vectors that are added up at once; characters that are bundled at once.
 MEMO, ROWS, CHUNK = 30_000, 2048, 1 << 19
@@ -93,6 +95,9 @@ def _bundler(dimensions: int, seed: int) -> Bundler:
     return Bundler(dimensions, seed)
 
 
+MEMOS["language"] = _bundler.cache_clear
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves 1 modulo 3; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 3 == 1
@@ -118,7 +123,7 @@ def learn_prototypes(docs: DataFrame, label: str = "lang", dimensions: int = DIM
                     sums[value] = sums.get(value, 0) + np.rint(vector / norm * SCALE).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["label", "sums"])
 
-    sums = labelled.mapInArrow(bundle, "label string, sums array<long>").select("label", F.posexplode("sums")).groupBy("label", "pos").agg(F.sum("col").alias("s"))
+    sums = labelled.mapInArrow(lean(bundle, "language"), "label string, sums array<long>").select("label", F.posexplode("sums")).groupBy("label", "pos").agg(F.sum("col").alias("s"))
     prototypes: dict[str, np.ndarray] = {}
     for r in sums.collect():  # a vector per label value
         prototypes.setdefault(r["label"], np.zeros(dimensions))[r["pos"]] = r["s"]
@@ -152,4 +157,4 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
     schema = docs.select(*kept).withColumns({columns[0]: F.lit(""), columns[1]: F.lit(0.0).cast("double")}).schema
     for field in schema:
         field.nullable = True
-    return docs.select(*kept).mapInArrow(judge, schema)
+    return docs.select(*kept).mapInArrow(lean(judge, "language"), schema)

@@ -14,8 +14,8 @@ _OWN: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only for a local session that names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir, or set on the context; a temporary one only for a local session that names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or (spark.sparkContext.getCheckpointDir() if not _OWN else None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .memory import lean
 from .shared import hash_filter, may_hold, staged
 from .words import hashed_words
 
@@ -69,7 +70,7 @@ def _places(texts: DataFrame) -> DataFrame:
                 )
                 at += len(bounds) - 1
 
-    return texts.mapInArrow(find, "anchor long, text_hash long, place long, n_words long")
+    return texts.mapInArrow(lean(find), "anchor long, text_hash long, place long, n_words long")
 
 
 _SUFFIX = "anchor long, salt int, right binary, left binary, text_hash long, place long"
@@ -99,7 +100,7 @@ def _suffixes(texts: DataFrame) -> DataFrame:
                     )
                 at += len(bounds) - 1
 
-    return texts.mapInArrow(cut, _SUFFIX)
+    return texts.mapInArrow(lean(cut), _SUFFIX)
 
 
 def _matrix(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +213,7 @@ def _matches(suffixes: DataFrame) -> DataFrame:
             yield from batch_of(pa.Table.from_batches(waiting))
 
     key = ["anchor", "salt"]
-    return suffixes.repartition(*key).sortWithinPartitions(*key, "right", "text_hash", "place").mapInArrow(compare, _FOUND)
+    return suffixes.repartition(*key).sortWithinPartitions(*key, "right", "text_hash", "place").mapInArrow(lean(compare), _FOUND)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from .memory import MEMOS
+
 #: Bytes that a worker's memo of pieces holds at most, about, before it starts anew; what an entry costs besides its characters.
 MEMO_BYTES, ENTRY_BYTES = 100_000_000, 220
 #: Bytes of text that are encoded at once (one text at least); pieces that the library encodes at once.
@@ -20,6 +22,7 @@ MARKS = ".,!?"
 #: Words of letters that every version of Unicode composes and lowers alike, and one mark at most.
 PLAIN = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}\x{400}-\x{45f}]+[.,!?]?$"
 _ENCODERS: dict[str, "WordEncoder"] = {}
+MEMOS["encoders"] = _ENCODERS.clear
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .memory import lean
 from .shared import file_system, fresh_dir, partitions, staged
 from .token_encoding import encoder
 
@@ -180,7 +181,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
             )
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    shards = staged(ordered.mapInArrow(shard, MANIFEST), "token-manifest")
+    shards = staged(ordered.mapInArrow(lean(shard, "encoders"), MANIFEST), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     return shards.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0).cast("long")))
 
@@ -223,4 +224,4 @@ def read_token_files(shards: DataFrame) -> DataFrame:
                 )
                 shard.close()
 
-    return blocks.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
+    return blocks.mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
