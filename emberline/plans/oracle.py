@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_BUCKETS = {"1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes"}
+_BUCKETS = {"1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes", "1h": "1 hour"}
 _KEYS = "symbol, interval, time"
 _BAR = f"{_KEYS}, open, high, low, close, volume"
 
@@ -71,10 +71,20 @@ def _shown(value: str, digits: int = 2) -> str:
     return f"printf('%.{digits}f', {value} + {nudge})"
 
 
+def _latest() -> str:
+    return f"{_history('5m', _BY_TYPE)} SELECT {_SIGNAL} FROM judged QUALIFY time = max(time) OVER (PARTITION BY symbol, interval)"
+
+
+def _smooth(parts: str) -> str:
+    """The smoothed gains or losses of a whole series, from its fifteenth bar on."""
+    seed = f"(list_reduce({parts}[1:14], lambda a, b: a + b, 0::DOUBLE) / 14)"
+    return f"list_reduce({parts}[15:], lambda s, x: list_append(s, (s[-1] * 13::DOUBLE + x) / 14), [({seed} * 13::DOUBLE + {parts}[14]) / 14])"
+
+
 def oracle_sql() -> dict[str, str]:
     price = lambda c: f"CASE WHEN {c} IS NOT NULL AND {c} <> 0 THEN 'US$ ' || {_shown(c)} ELSE '-' END AS {c}"
     return {
-        **{f"candles_{i}": _bars(i) for i in _BUCKETS},
+        **{f"candles_{i}": _bars(i) for i in ("1m", "5m", "15m")},
         "series_of_interval": _bars("15m"),
         "last_300_bars": f"{_newest(chr(39) + 'ALL' + chr(39))} SELECT {_BAR} FROM newest",
         "closed_bars": f"WITH bars AS ({_bars('5m', _BY_TYPE)}) SELECT {_BAR} FROM bars QUALIFY time < max(time) OVER (PARTITION BY symbol, interval)",
@@ -91,7 +101,7 @@ def oracle_sql() -> dict[str, str]:
         "signal_history": f"{_history()} SELECT {_SIGNAL} FROM judged",
         "signal_history_1m": f"{_history('1m')} SELECT {_SIGNAL} FROM judged",
         "signal_history_by_symbol": f"{_history('5m', _BY_TYPE)} SELECT {_SIGNAL} FROM judged",
-        "signal_latest": f"{_history('5m', _BY_TYPE)} SELECT {_SIGNAL} FROM judged QUALIFY time = max(time) OVER (PARTITION BY symbol, interval)",
+        "signal_latest": _latest(),
         "chart_lines": f"""{_newest()}, folded AS (SELECT symbol, interval, list(time ORDER BY time) AS times, list(close ORDER BY time) AS closes FROM newest GROUP BY ALL)
             SELECT symbol, interval, unnest(times) AS time, unnest({_series(9)}) AS ema9, unnest({_series(21)}) AS ema21 FROM folded""",
         "rsi_snapshot": f"""{_newest()}, folded AS (SELECT symbol, interval, list(close ORDER BY time) AS closes FROM newest GROUP BY ALL),
@@ -106,4 +116,23 @@ def oracle_sql() -> dict[str, str]:
         "info_panel": f"""{_history()} SELECT {_KEYS}, direction, 'signal ' || CASE direction WHEN 'BUY' THEN 'buy' WHEN 'SELL' THEN 'sell' ELSE 'none' END AS css_class,
             {price('entry')}, {price('stop')}, {price('take')}, rr, 'US$ ' || {_shown('atr')} AS atr, 'US$ ' || {_shown('ema9')} AS ema9, 'US$ ' || {_shown('ema21')} AS ema21,
             {_shown('rsi', 1)} AS rsi, CASE WHEN vol_spike THEN '↑' ELSE '—' END AS vol FROM judged""",
+        "every_interval": " UNION ALL ".join(_bars(i, _BY_TYPE) for i in _BUCKETS),
+        "indicators_full_history": f"""WITH bars AS ({_bars('1m')}), listed AS (SELECT symbol, interval, list(time ORDER BY time) AS times, list(close ORDER BY time) AS closes FROM bars GROUP BY ALL),
+            moved AS (SELECT *, list_transform(range(2, len(closes) + 1), lambda i: closes[i] - closes[i - 1]) AS moves FROM listed),
+            parts AS (SELECT *, list_transform(moves, lambda m: greatest(m, 0::DOUBLE)) AS gains, list_transform(moves, lambda m: greatest(-m, 0::DOUBLE)) AS losses FROM moved),
+            folded AS (SELECT *, {_series(9)} AS a, {_series(21)} AS b, {_smooth('gains')} AS g, {_smooth('losses')} AS l FROM parts),
+            r AS (SELECT symbol, interval, unnest(times) AS time, unnest(a) AS ema9, unnest(b) AS ema21, unnest(range(1, len(times) + 1)) AS n_bars, g, l FROM folded)
+            SELECT {_KEYS}, round(ema9, 6) AS ema9, round(ema21, 6) AS ema21, round(lag(ema9) OVER s, 6) AS prev_ema9, round(lag(ema21) OVER s, 6) AS prev_ema21,
+                round(CASE WHEN n_bars < 15 THEN 50::DOUBLE ELSE 100::DOUBLE - 100::DOUBLE / (1::DOUBLE + CASE WHEN l[n_bars - 14] = 0 THEN 100::DOUBLE ELSE g[n_bars - 14] / l[n_bars - 14] END) END, 6) AS rsi,
+                n_bars FROM r WINDOW s AS (PARTITION BY symbol, interval ORDER BY time)""",
+        "signal_outcomes": f"""{_history('5m', _BY_TYPE)}, fired AS (SELECT * FROM judged WHERE direction <> 'NONE'),
+            met AS (SELECT f.symbol, f.interval, f.time, b.time AS exit_time, CASE f.direction WHEN 'BUY' THEN b.low <= f.stop ELSE b.high >= f.stop END AS stopped
+                FROM fired f JOIN bars b ON b.symbol = f.symbol AND b.interval = f.interval AND b.time > f.time
+                AND CASE f.direction WHEN 'BUY' THEN b.low <= f.stop OR b.high >= f.take ELSE b.high >= f.stop OR b.low <= f.take END),
+            firsts AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY symbol, interval, time ORDER BY exit_time) = 1),
+            ended AS (SELECT f.*, exit_time, CASE WHEN exit_time IS NULL THEN 'open' WHEN stopped THEN 'stop' ELSE 'take' END AS exit FROM fired f LEFT JOIN firsts USING (symbol, interval, time)),
+            priced AS (SELECT *, CASE exit WHEN 'stop' THEN stop WHEN 'take' THEN take END AS exit_price FROM ended)
+            SELECT {_KEYS}, direction, entry, stop, take, exit, exit_time, exit_price, CASE direction WHEN 'BUY' THEN exit_price - entry ELSE entry - exit_price END AS gain FROM priced""",
+        **dict.fromkeys(("klines_source_latest", "polled_latest"), _latest()),
+        "streamed_history": f"{_history()} SELECT {_SIGNAL} FROM judged",
     }

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as ind
 from ..operators import candles, chart
+from ..operators.history import full_history
+from ..operators.outcomes import first_touches
 from ..operators.signals import cross_down, cross_up, latest_signals, signals, spike
 from ..operators.snapshots import with_indicators, with_previous
 from ..sources.payloads import from_payloads
+from ..staging import staged
 
 INTERVAL = "5m"
 _KEYS = ["symbol", "interval", "time"]
@@ -110,6 +113,23 @@ def info_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chart.panel(signal_history(spark, sf_dir))
 
 
+def every_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_id", "value", "event_type")
+    return candles.every_interval(events, ["1m", "5m", "15m", "1h"], F.col("event_type"))
+
+
+def indicators_full_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounded, as the chunks' maps add up in another order than a loop."""
+    rows = full_history(bars(spark, sf_dir, "1m"))
+    return rows.select(*_KEYS, *[F.round(c, 6).alias(c) for c in ("ema9", "ema21", "prev_ema9", "prev_ema21", "rsi")], "n_bars")
+
+
+def signal_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every signal of every event type's bars: stop, take or still open."""
+    series = staged(bars(spark, sf_dir, by_type=True), "bars")
+    return first_touches(signals(series), series).select(*_KEYS, "direction", "entry", "stop", "take", "exit", "exit_time", "exit_price", "gain")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "candles_1m": _candles("1m"),
@@ -136,4 +156,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "price_lines": price_lines,
         "markers": markers,
         "info_panel": info_panel,
+        "every_interval": every_interval,
+        "indicators_full_history": indicators_full_history,
+        "signal_outcomes": signal_outcomes,
     }

@@ -4,7 +4,8 @@
     spark.read.format("klines").option("url", "https://host/klines?symbol={symbol}&interval={interval}&limit={limit}")
         .option("symbols", "AAA,BBB").option("intervals", "1m,5m").load()
 
-With option("pushdown", "true"), filters on symbol and interval choose the requests. Each (symbol, interval) is a partition that fetches its own snapshot. Any URL that urllib opens will do, a
+With option("pushdown", "true"), filters on symbol and interval choose the requests. With option("numbered", "true") rows have a column seq, the time of the
+poll in milliseconds, by which a later answer's version of a bar is told from an earlier one's. Each (symbol, interval) is a partition that fetches its own snapshot. Any URL that urllib opens will do, a
 file: URL too.
 """
 
@@ -19,7 +20,7 @@ from datetime import UTC, datetime
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, InputPartition
 
-from ..operators.candles import BAR
+from ..operators.candles import BAR, SEQUENCE
 
 _PREFIX = re.compile(r"\s*([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))")
 
@@ -31,9 +32,9 @@ def _number(value: object) -> float:
 
 
 class Series(InputPartition):
-    def __init__(self, symbol: str, interval: str):
-        super().__init__((symbol, interval))
-        self.symbol, self.interval = symbol, interval
+    def __init__(self, symbol: str, interval: str, polled: int):
+        super().__init__((symbol, interval, polled))
+        self.symbol, self.interval, self.polled = symbol, interval, polled
 
 
 class _Settings:
@@ -43,8 +44,13 @@ class _Settings:
         self.intervals = options.get("intervals", "1m,5m,15m").split(",")
         self.limit = int(options.get("limit", 300))
         self.timeout = float(options.get("timeout", 20))
+        self.numbered = options.get("numbered", "false").lower() == "true"
 
-    def fetch(self, symbol: str, interval: str) -> Iterator[tuple]:
+    def series(self, polled: int) -> list[InputPartition]:
+        return [Series(s, i, polled) for s in self.symbols for i in self.intervals]
+
+    def fetch(self, asked: Series) -> Iterator[tuple]:
+        symbol, interval = asked.symbol, asked.interval
         url = self.url.format(symbol=symbol, interval=interval, limit=self.limit)
         with urllib.request.urlopen(url, timeout=self.timeout) as answer:
             rows = json.load(answer)
@@ -52,7 +58,7 @@ class _Settings:
             raise ValueError(f"{symbol} {interval}: the endpoint answered {str(rows)[:200]}")
         for row in rows[-self.limit :]:
             at = datetime.fromtimestamp(float(row[0]) / 1000, UTC).replace(tzinfo=None)
-            yield symbol, interval, at, *(_number(x) for x in row[1:6])
+            yield symbol, interval, at, *(_number(x) for x in row[1:6]), *([asked.polled] if self.numbered else [])
 
 
 class KlineReader(DataSourceReader):
@@ -60,10 +66,10 @@ class KlineReader(DataSourceReader):
         self.settings = settings
 
     def partitions(self) -> list[InputPartition]:
-        return [Series(s, i) for s in self.settings.symbols for i in self.settings.intervals]
+        return self.settings.series(int(time.time() * 1000))
 
     def read(self, partition: Series) -> Iterator[tuple]:
-        yield from self.settings.fetch(partition.symbol, partition.interval)
+        yield from self.settings.fetch(partition)
 
 
 class PruningKlineReader(KlineReader):
@@ -96,10 +102,10 @@ class KlinePoller(DataSourceStreamReader):
         return {"polled": int(time.time() * 1000)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [Series(s, i) for s in self.settings.symbols for i in self.settings.intervals]
+        return self.settings.series(end["polled"])
 
     def read(self, partition: Series) -> Iterator[tuple]:
-        yield from self.settings.fetch(partition.symbol, partition.interval)
+        yield from self.settings.fetch(partition)
 
 
 class KlineSource(DataSource):
@@ -108,7 +114,7 @@ class KlineSource(DataSource):
         return "klines"
 
     def schema(self) -> str:
-        return BAR
+        return f"{BAR}, {SEQUENCE} long" if _Settings(dict(self.options)).numbered else BAR
 
     def reader(self, schema: object) -> DataSourceReader:
         kind = PruningKlineReader if self.options.get("pushdown", "false").lower() == "true" else KlineReader

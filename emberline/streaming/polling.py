@@ -1,95 +1,38 @@
-"""Signals from streams: a stateless poll of whole snapshots, and one that keeps the last bars as state."""
+"""Signals from a stateless poll of whole snapshots, and bars from a stream of ticks."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.kernel import SNAPSHOT, indicators
-from ..operators.candles import DURATIONS, KEY, clean
-from ..operators.signals import judge, latest_signals
-from ..operators.snapshots import INDICATED
+from ..operators.candles import DURATIONS, newest_versions, tick_place
+from ..operators.signals import latest_signals
+from .stateful import stream_signals, trailing_indicators
+from .versions import read_shown, shown_at
 
-_COLUMNS = [x.split()[0] for x in INDICATED.split(", ")]
+__all__ = ["bars_of_stream", "poll_signals", "read_shown", "shown_at", "stream_signals", "trailing_indicators"]
 
 
 def poll_signals(snapshots: DataFrame, handle: Callable[[DataFrame, int], None], seconds: int | None = 30, **options: str) -> StreamingQuery:
     """Every micro-batch is a full snapshot of each series; `handle` gets its latest signals and the batch number.
 
-    Nothing is carried over: what an earlier batch showed is replaced. `seconds` None takes what is there and stops.
+    Nothing is carried over: what an earlier batch showed is replaced. Where a batch holds several versions of a bar, the one with the largest `seq` counts
+    (see newest_versions). `seconds` None takes what is there and stops.
     """
-    writer = snapshots.writeStream.options(**options).foreachBatch(lambda batch, n: handle(latest_signals(batch.dropDuplicates([*KEY, "time"])), n))
+    writer = snapshots.writeStream.options(**options).foreachBatch(lambda batch, n: handle(latest_signals(newest_versions(batch)), n))
     return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
-def shown_at(path: str) -> Callable[[DataFrame, int], None]:
-    """A handler for poll_signals that replaces what the last poll showed at `path`, a Parquet table."""
-    return lambda latest, _: latest.write.mode("overwrite").parquet(path)
-
-
-def bars_of_stream(ticks: DataFrame, interval: str, late: str = "1 hour", symbol: str = "ALL") -> DataFrame:
-    """Bars of a stream of (ts, event_id, value), each sent once the watermark has passed its end."""
-    at, price = F.struct("ts", "event_id"), F.coalesce(F.col("value").cast("double"), F.lit(float("nan")))
+def bars_of_stream(ticks: DataFrame, interval: str, late: str = "1 hour", symbol: str | Column = "ALL") -> DataFrame:
+    """Bars of a stream of (ts, event_id, value), each sent once the watermark has passed its end; `symbol` is the one of all ticks, or a column of them."""
+    named = ticks.withColumn("symbol", F.lit(symbol) if isinstance(symbol, str) else symbol).withColumn("ts", F.col("ts").cast("timestamp"))
+    at, price = tick_place(named, "ts", "event_id"), F.coalesce(F.col("value").cast("double"), F.lit(float("nan")))
     return (
-        ticks.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", late)
-        .groupBy(F.window("ts", DURATIONS[interval]).alias("w"))
+        named.withWatermark("ts", late)
+        .groupBy("symbol", F.window("ts", DURATIONS[interval]).alias("w"))
         .agg(F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, at).alias("close"), F.count("*").cast("double").alias("volume"))
-        .select(F.lit(symbol).alias("symbol"), F.lit(interval).alias("interval"), F.col("w.start").cast("timestamp_ntz").alias("time"), "open", "high", "low", "close", "volume")
+        .select("symbol", F.lit(interval).alias("interval"), F.col("w.start").cast("timestamp_ntz").alias("time"), "open", "high", "low", "close", "volume")
     )
-
-
-_STATE = "times array<timestamp_ntz>, highs array<double>, lows array<double>, closes array<double>, volumes array<double>"
-_HELD = ["time", "high", "low", "close", "volume"]
-
-
-def trailing_indicators(bars: DataFrame) -> DataFrame:
-    """The indicators of every new or changed bar of a stream, as the batch history gives them.
-
-    The state of a series is its last 2 * SNAPSHOT - 1 bars. A bar whose time is held replaces that one, so the
-    still forming last bar may come again and again; a late bar takes its place. Either way the bar and those
-    after it are sent anew: take the last row sent for each time. A bar that comes again unchanged
-    sends nothing. A bar older than the SNAPSHOT newest can't be judged: it is sent with n_bars 0 and no
-    indicators, and a bar of no time is left out.
-    """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(dict(zip(_HELD, state.get)) if state.exists else {c: [] for c in _HELD})
-        held = held.astype({"time": "datetime64[us]"} | dict.fromkeys(_HELD[1:], "float64"))
-        for batch in batches:
-            came = batch[_HELD].dropna(subset="time").astype(held.dtypes.to_dict())
-            full = len(held) >= 2 * SNAPSHOT - 1
-            late = full & (came["time"] < held["time"].iloc[-SNAPSHOT]) if full else pd.Series(False, came.index)
-            if late.any():
-                old = came[late]
-                yield pd.DataFrame({"symbol": key[0], "interval": key[1], "time": old["time"], "close": old["close"], "volume": old["volume"], "n_bars": np.int32(0)}).reindex(columns=_COLUMNS)
-            merged = pd.concat([held, came[~late]]).drop_duplicates(_HELD).drop_duplicates("time", keep="last").sort_values("time", ignore_index=True)
-            same = merged.merge(held, on=_HELD, how="left", indicator=True)["_merge"] == "both"
-            if not same.all():
-                first = int(np.argmin(same.to_numpy()))
-                found = indicators(*(merged[c].to_numpy() for c in _HELD[1:]), lead=first)
-                made = pd.DataFrame({"symbol": key[0], "interval": key[1], **{c: merged[c].iloc[first:].to_numpy() for c in ("time", "close", "volume")}, **found})
-                made.loc[made["n_bars"] == 1, ["prev_ema9", "prev_ema21"]] = None
-                yield made[_COLUMNS]
-            held = merged.iloc[-(2 * SNAPSHOT - 1) :].reset_index(drop=True)
-        state.update(([t.to_pydatetime() for t in held["time"]], *(held[c].tolist() for c in _HELD[1:])))
-
-    made = clean(bars).groupBy(*KEY).applyInPandasWithState(update, INDICATED, _STATE, "append", GroupStateTimeout.NoTimeout)
-    # On its way from pandas a NaN becomes null.
-    least = {c: 2 if c.startswith("prev") else 1 for c in _COLUMNS if c not in ("symbol", "interval", "time", "n_bars")}
-    return made.withColumns({c: F.when((F.col("n_bars") >= n) & F.col(c).isNull(), float("nan")).otherwise(F.col(c)) for c, n in least.items()})
-
-
-def stream_signals(bars: DataFrame) -> DataFrame:
-    """The signal at every bar of a stream, as the batch history gives it, and again for bars that later ones change.
-
-    Spark runs no such state behind a streaming aggregate, so bars_of_stream goes to a table first and
-    this reads the table as a stream.
-    """
-    return judge(trailing_indicators(bars))

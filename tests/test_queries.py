@@ -2,12 +2,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from emberline.plans import oracle, queries
+from emberline.plans import oracle, queries, streams
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+@pytest.mark.parametrize("name", sorted(queries.queries() | streams.queries()))
 def test_query_equals_its_sql(spark, name):
     found = entry.queries()[name](spark, SF).toPandas()
     with duckdb.connect() as db:
@@ -20,7 +20,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_every_core_query_has_sql():
-    assert set(queries.queries()) == set(oracle.oracle_sql())
+    assert set(queries.queries() | streams.queries()) == set(oracle.oracle_sql())
 
 
 def test_entry(spark):

@@ -12,7 +12,7 @@ from emberline.operators.chart import PORTUGUESE, markers, panel
 from emberline.operators.signals import SIGNAL, signals
 from emberline.sources.klines import KlineSource
 from emberline.sources.payloads import from_payloads, read_payload_files
-from emberline.streaming.polling import bars_of_stream, poll_signals, shown_at, stream_signals
+from emberline.streaming.polling import bars_of_stream, poll_signals, read_shown, shown_at, stream_signals
 
 ROWS = [[1704067200000 + 300_000 * i, str(10 + i % 7), str(12.5 + i % 7), "9.25", f"{11 + i % 5}.5", str(100 * (i % 3)), "x", 1] for i in range(40)]
 
@@ -113,7 +113,7 @@ def test_shown_snapshot_is_replaced(spark, tmp_path):
     path = str(tmp_path / "shown")
     for n, symbol in enumerate("AB"):
         shown_at(path)(spark.createDataFrame([(symbol, 1)], "symbol string, x int"), n)
-    assert [r["symbol"] for r in spark.read.parquet(path).collect()] == ["B"]
+    assert [r["symbol"] for r in read_shown(spark, path).collect()] == ["B"]
 
 
 def test_labels_and_clock(spark):

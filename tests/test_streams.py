@@ -1,0 +1,215 @@
+import json
+import math
+import time
+from datetime import datetime, timedelta
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from emberline.operators.candles import BAR
+from emberline.operators.signals import SIGNAL, signals
+from emberline.sources.klines import KlineSource
+from emberline.sources.payloads import publish_payloads
+from emberline.streaming.stateful import HELD, TrailingBars, stream_signals
+from emberline.streaming.versions import KEPT, Versions, read_shown, read_upserted, shown_at, upserted_at
+
+START = datetime(2024, 1, 1)
+NUMBERED = f"{BAR}, seq long"
+
+
+def bar(i, close, seq=None, symbol="A"):
+    return symbol, "5m", START + timedelta(minutes=5 * i), 1.0, 200.0, 1.0, close, 10.0, seq
+
+
+def add(spark, folder, rows, schema=NUMBERED):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    time.sleep(1.1)
+
+
+def replay(spark, tmp_path, name, schema=NUMBERED):
+    """The signals sent for what has come since the last replay of this name, by batch."""
+    sent = []
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "bars"))
+    query = stream_signals(stream).writeStream.foreachBatch(lambda df, n: sent.append([r.asDict() for r in df.collect()])).option("checkpointLocation", str(tmp_path / name))
+    query.trigger(availableNow=True).start().awaitTermination(180)
+    return sent
+
+
+def last_sent(batches):
+    return {(r["symbol"], r["time"]): r for rows in batches for r in rows}
+
+
+def want(spark, rows):
+    """The batch history of the last version of each bar."""
+    last = {(r[0], r[2]): r for r in rows}
+    return {(r["symbol"], r["time"]): r.asDict() for r in signals(spark.createDataFrame([r[:8] for r in last.values()], BAR)).collect()}
+
+
+def equal(found, expected):
+    return set(found) == set(expected) and all(repr(found[k][c]) == repr(expected[k][c]) for k in expected for c in SIGNAL)
+
+
+def test_a_bar_that_reverts_and_versions_in_one_batch(spark, tmp_path):
+    first = [bar(i, 100.0 + i % 5, 1) for i in range(40)]
+    # The close ticks up and back to what it was; the batch that holds both has the newer one first.
+    batches = [first, [bar(39, 150.0, 2)], [bar(39, 104.0, 4), bar(39, 170.0, 3)], [bar(39, 160.0, 3), bar(20, 90.0, None)], [bar(40, 101.0, 5), bar(40, 107.0, 6), bar(40, 99.0, 5)]]
+    for rows in batches:
+        add(spark, tmp_path / "bars", rows)
+    found = last_sent(replay(spark, tmp_path, "ck"))
+    assert equal(found, want(spark, [*first, bar(39, 104.0), bar(40, 107.0)]))
+
+
+def test_without_numbers_the_later_batch_counts(spark, tmp_path):
+    batches = [[bar(i, 100.0)[:8] for i in range(30)], [bar(29, 180.0)[:8]], [bar(29, 150.0)[:8]], [bar(29, 90.0)[:8], bar(29, 95.0)[:8]]]
+    for rows in batches:
+        add(spark, tmp_path / "bars", rows, BAR)
+    found = last_sent(replay(spark, tmp_path, "ck", schema=BAR))
+    assert equal(found, want(spark, [*(bar(i, 100.0) for i in range(29)), bar(29, 95.0)]))
+
+
+def test_state_outlives_a_restart_and_holds_nan(spark, tmp_path):
+    first = [bar(i, 100.0 + i % 7 if i % 50 else None, 1) for i in range(650)]
+    add(spark, tmp_path / "bars", first)
+    found = last_sent(replay(spark, tmp_path, "ck"))
+    more = [bar(649, 300.0, 2), bar(650, 101.0, 2), bar(0, 7.0, 2, "B")]
+    add(spark, tmp_path / "bars", more)
+    later = replay(spark, tmp_path, "ck")
+    assert [sorted((r["symbol"], r["time"]) for r in rows) for rows in later if rows] == [sorted((r[0], r[2]) for r in more)]
+    assert equal(found | last_sent(later), want(spark, [*first, *more]))
+
+
+def test_idle_series_are_forgotten(spark, tmp_path):
+    add(spark, tmp_path / "bars", [bar(i, 100.0 + i, 1) for i in range(30)])
+    sent = []
+    stream = spark.readStream.schema(NUMBERED).parquet(str(tmp_path / "bars"))
+    query = stream_signals(stream, 3.0).writeStream.foreachBatch(lambda df, n: sent.extend((r["symbol"], r["n_bars"]) for r in df.collect())).option("checkpointLocation", str(tmp_path / "ck")).start()
+
+    def until(n):
+        end = time.time() + 60
+        while len(sent) < n and time.time() < end:
+            time.sleep(0.2)
+
+    try:
+        until(30)
+        time.sleep(10)  # longer than a series may be idle, and a batch for the timer
+        add(spark, tmp_path / "bars", [bar(30, 130.0, 1)])
+        until(31)
+    finally:
+        query.stop()
+    assert sorted(sent) == [("A", 1), *(("A", n) for n in range(1, 31))]
+
+
+class Handle:
+    """A state store of one key."""
+
+    def __init__(self):
+        self.state, self.timers, self.writes = {}, [], 0
+
+    def getMapState(self, name, key, value):  # noqa: N802
+        return self
+
+    def iterator(self):
+        return iter(list(self.state.items()))
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.state[key] = value
+        self.writes += 1
+
+    def removeKey(self, key):  # noqa: N802
+        del self.state[key]
+        self.writes += 1
+
+    def clear(self):
+        self.state.clear()
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return self.now
+
+
+def test_a_batch_writes_only_what_it_changes():
+    handle, bars = Handle(), TrailingBars(5)
+    bars.init(handle)
+    frame = lambda rows: pd.DataFrame(rows, columns=[x.split()[0] for x in NUMBERED.split(", ")]).astype({"seq": "int64"})
+    sent = lambda rows, now: sum(map(len, bars.handleInputRows(("A", "5m"), iter([frame(rows)]), Clock(now))))
+    assert sent([bar(i, 100.0, 1) for i in range(700)], 1000) == 700 and len(handle.state) == HELD
+    handle.writes = 0
+    assert sent([bar(699, 101.0, 2)], 2000) == 1 and handle.writes == 1
+    assert sent([bar(699, 101.0, 2)], 2500) == 0 and handle.writes == 1
+    assert sent([bar(700, 99.0, 2)], 3000) == 1 and handle.writes == 3 and len(handle.state) == HELD
+    assert handle.timers == [8000]
+    assert list(bars.handleExpiredTimer(("A", "5m"), Clock(9000), None)) == [] and not handle.state
+
+
+def test_versions_are_whole_and_replays_change_nothing(spark, tmp_path):
+    path = str(tmp_path / "shown")
+    frame = lambda x: spark.range(5).select(F.lit(x).alias("x"))
+    values = lambda df: [r["x"] for r in df.collect()]
+    with pytest.raises(FileNotFoundError):
+        read_shown(spark, path)
+    show = shown_at(path)
+    show(frame(0), 0)
+    held = read_shown(spark, path)  # a reader that began before what follows
+    show(frame(1), 1)
+    show(frame(99), 1)
+    show(frame(98), 0)
+    assert values(read_shown(spark, path)) == [1] * 5 and values(held) == [0] * 5
+
+    def fails(x):
+        raise ValueError(x)
+
+    failing = frame(2).withColumn("x", F.udf(fails, "int")("x"))
+    with pytest.raises(Exception, match="ValueError"):
+        show(failing, 2)
+    assert values(read_shown(spark, path)) == [1] * 5
+    for batch in range(2, 9):
+        show(frame(batch), batch)
+    assert values(read_shown(spark, path)) == [8] * 5
+    versions = Versions(spark, path)
+    assert len(versions.commits()) == KEPT and len([p for p in (tmp_path / "shown").iterdir() if p.name.startswith("v")]) == KEPT
+    shown_at(path, "another stream")(frame(50), 0)
+    assert values(read_shown(spark, path)) == [50] * 5
+
+
+def test_a_second_writer_is_found_out(spark, tmp_path):
+    versions = Versions(spark, str(tmp_path / "shown"))
+    versions._commit(0, {"folder": "a", "stream": "", "batch": 0})
+    with pytest.raises(RuntimeError):
+        versions._commit(0, {"folder": "b", "stream": "", "batch": 0})
+    assert [c["folder"] for c in versions.commits()] == ["a"]
+
+
+def test_upserts(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    frame = lambda *rows: spark.createDataFrame(rows, "k string, x int").coalesce(1)
+    put = upserted_at(path)
+    put(frame(("a", 1), ("b", 1), ("a", 2)), 0)
+    put(frame(("b", 9), ("c", None)), 1)
+    put(frame(("b", 5), ("c", None)), 1)  # the batch runs again
+    assert sorted(map(tuple, read_upserted(spark, path, ["k"]).collect())) == [("a", 2), ("b", 5), ("c", None)]
+
+
+def test_published_payloads_are_an_endpoint(spark, tmp_path):
+    rows = [bar(i, 100.0 + i % 7, symbol=s)[:8] for s in ("A", "B") for i in range(320)]
+    folder = f"file://{tmp_path}/out"
+    files = publish_payloads(spark.createDataFrame(rows, BAR), folder).collect()
+    assert sorted((r["symbol"], r["interval"]) for r in files) == [("A", "5m"), ("B", "5m")]
+    assert len(json.loads((tmp_path / "out/A-5m.json").read_text())) == 300
+    spark.dataSource.register(KlineSource)
+    read = spark.read.format("klines").option("url", folder + "/{symbol}-{interval}.json").option("symbols", "A,B").option("intervals", "5m").option("numbered", "true").load()
+    assert read.columns[-1] == "seq" and read.where(f"seq > {1000 * (time.time() - 3600)}").count() == 600
+    assert read.drop("seq").exceptAll(spark.createDataFrame(rows, BAR)).count() == 0 and not math.isnan(read.agg(F.max("close")).first()[0])
