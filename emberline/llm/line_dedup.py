@@ -24,31 +24,41 @@ def _filled(sizes: str, min_chars: int) -> str:
     return f"aggregate({sizes}, named_struct('n', 0, 'chars', 0), (s, x) -> IF({full}, s, named_struct('n', s.n + 1, 'chars', s.chars + x)), s -> IF({full}, s.n, 0))"
 
 
+#: A span of lines as one number, first << 32 | stop: arrays of numbers are made distinct by hash, those of structs by comparing all pairs.
+_SPAN = "(shiftleft(cast({first} AS bigint), 32) | cast({stop} AS bigint))"
+
+
 def _spans(min_chars: int) -> dict[str, str]:
     """SQL of the chunks' first lines and the lines after them, by name. A solid line has a character at least, so `min_chars` lines
-    fill any chunk. Two lines that do are found without the search."""
-    most = max(min_chars, MIN_LINES)
-    ahead = f"IF(i + 1 < size(sizes) AND x + get(sizes, i + 1) >= {min_chars}, {MIN_LINES}, {_filled(f'slice(sizes, i + 1, {most})', min_chars)})"
-    back = f"IF(i = 0 OR x + get(sizes, i - 1) >= {min_chars}, 0, {_filled(f'reverse(slice(sizes, greatest(i - {most - 2}, 1), least(i + 1, {most})))', min_chars)})"
-    return {
-        "lines": "lines",
-        "solid": r"filter(sequence(0, size(lines) - 1), i -> lines[i] RLIKE '\\S')",
-        "sizes": "transform(solid, i -> length(lines[i]))",
-        "ahead": f"transform(sizes, (x, i) -> named_struct('at', i, 'n', {ahead}))",
-        "back": f"transform(sizes, (x, i) -> {back})",
-        "spans": "array_distinct(concat("
-        "transform(filter(ahead, s -> s.n > 0), s -> named_struct('first', solid[s.at], 'stop', solid[s.at + s.n - 1] + 1)),"
-        "transform(filter(transform(back, (n, i) -> named_struct('at', i, 'n', n)), s -> s.n > 0), s -> named_struct('first', solid[s.at - s.n + 1], 'stop', solid[s.at] + 1))))",
-        "starts": "spans.first",
-        "stops": "spans.stop",
-        "hashes": "transform(lines, x -> xxhash64(x))",
-    }
-
-
-_CHUNKS = (
-    "transform(starts, (c, i) -> named_struct('first', c, 'n', stops[i] - c,"
-    " 'hash', xxhash64(slice(hashes, c + 1, stops[i] - c))))"
-)
+    fill any chunk. Two lines that do are found without the search; where any two do, those that follow each other are the chunks."""
+    found = {"lines": "lines", "solid": r"filter(sequence(0, size(lines) - 1), i -> lines[i] RLIKE '\\S')"}
+    if min_chars <= MIN_LINES == 2:
+        found["spans"] = f"if(size(solid) < 2, cast(array() AS array<bigint>), transform(sequence(0, size(solid) - 2), i -> {_SPAN.format(first='solid[i]', stop='(solid[i + 1] + 1)')}))"
+    else:
+        most = max(min_chars, MIN_LINES)
+        ahead = f"IF(i + 1 < size(sizes) AND x + get(sizes, i + 1) >= {min_chars}, {MIN_LINES}, {_filled(f'slice(sizes, i + 1, {most})', min_chars)})"
+        back = f"IF(i = 0 OR x + get(sizes, i - 1) >= {min_chars}, 0, {_filled(f'reverse(slice(sizes, greatest(i - {most - 2}, 1), least(i + 1, {most})))', min_chars)})"
+        found |= {
+            "sizes": "transform(solid, i -> length(lines[i]))",
+            "ahead": f"transform(sizes, (x, i) -> named_struct('at', i, 'n', {ahead}))",
+            "back": f"transform(sizes, (x, i) -> {back})",
+            "spans": "array_distinct(concat("
+            f"transform(filter(ahead, s -> s.n > 0), s -> {_SPAN.format(first='solid[s.at]', stop='(solid[s.at + s.n - 1] + 1)')}),"
+            f"transform(filter(transform(back, (n, i) -> named_struct('at', i, 'n', n)), s -> s.n > 0), s -> {_SPAN.format(first='solid[s.at - s.n + 1]', stop='(solid[s.at] + 1)')})))",
+        }
+    return found | {"hashes": "transform(lines, x -> xxhash64(x))"}
+
+
+#: SQL of a chunk's hash, from those of its lines.
+CHUNK_HASH = "xxhash64(slice(hashes, p.first + 1, p.n))"
+
+
+def _chunks(with_text: bool) -> str:
+    """SQL of the chunks; their bytes are cut here, so that no row of a chunk needs the text's other lines. Lines hold no line feed, so equal bytes mean equal lines."""
+    first, n = "cast(shiftright(s, 32) AS int)", "cast((s & 4294967295L) - shiftright(s, 32) AS int)"
+    text = ", 'chunk', array_join(slice(lines, p.first + 1, p.n), '\\n')" if with_text else ""
+    placed = f"transform(spans, s -> named_struct('first', {first}, 'n', {n}))"
+    return f"transform({placed}, p -> named_struct('first', p.first, 'n', p.n, 'hash', {CHUNK_HASH}{text}))"
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -56,26 +66,14 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _chunked(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, lines, and chunks as (first line from 0, n lines, hash); text_hash tells apart rows of one doc_id."""
-    chunks = _CHUNKS
+def _occurrences(docs: DataFrame, min_chars: int, with_text: bool = False) -> DataFrame:
+    """A row per chunk (doc_id, text_hash, first line from 0, n lines, hash, and its bytes as chunk); text_hash tells apart rows of one doc_id."""
+    chunks = _chunks(with_text)
     for name, value in reversed(_spans(min_chars).items()):
         chunks = _let(name, value, chunks)
-    return (
-        docs.withColumn("lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
-        .withColumn("text_hash", F.xxhash64("text"))
-        .withColumn("chunks", F.expr(chunks))
-        .select("doc_id", "text_hash", "lines", "chunks")
-    )
-
-
-def _occurrences(docs: DataFrame, min_chars: int, cells: DataFrame | None = None, *more: str) -> DataFrame:
-    """A row per chunk (doc_id, text_hash, first, n, hash); with a filter's cells only those of hashes that may be repeated."""
-    rows = _chunked(docs.select("doc_id", "text"), min_chars).select("doc_id", "text_hash", *(["lines"] if more else []), F.explode("chunks").alias("c"))
-    rows = rows.select("*", F.col("c.hash").alias("hash"))
-    if cells is not None:
-        rows = may_hold(rows, cells, "hash")
-    return rows.select("doc_id", "text_hash", "c.first", "c.n", "hash", *([_chunk_text()] if more else []))
+    split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split(F.coalesce(F.col("text"), F.lit("")), "\n").alias("lines"))
+    rows = split.select("doc_id", "text_hash", F.explode(F.expr(chunks)).alias("c"))
+    return rows.select("doc_id", "text_hash", "c.*")
 
 
 def _recurring(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -88,19 +86,13 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text_hash", "first")
 
 
-def _chunk_text() -> Column:
-    """A chunk's bytes; lines hold no line feed, so equal bytes mean equal lines."""
-    return F.expr("array_join(slice(lines, c.first + 1, c.n), '\\n')").alias("chunk")
-
-
-def repeated_chunks(docs: DataFrame, cells: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
-    """Chunks that occur more than once: (hash, keeper) where all bytes agree, and (hash, chunk, keeper)
+def repeated_chunks(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of occurrences with their bytes, the chunks that occur more than once: (hash, keeper) where all bytes agree, and (hash, chunk, keeper)
     for the chunks of those hashes under which different bytes met.
 
     The keeper is the least place (doc_id, text_hash, first line), null doc_ids first. Counts, places and the distinct bytes are
     combined before the shuffle, so no group of copies meets in one task and a task sends the bytes of a chunk once.
     """
-    chunks = _occurrences(docs, min_chars, cells, "chunk")
     counted = chunks.groupBy("hash").agg(F.count("*").alias("times"), F.min(_place()).alias("keeper"), F.collect_set("chunk").alias("bytes")).where("times > 1")
     repeated = staged(counted.select("hash", "keeper", (F.size("bytes") == 1).alias("agree")), "repeated-chunks")
     clashes = repeated.where(~F.col("agree")).select("hash")
@@ -118,13 +110,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 0, counts: tuple[str, str] = (
     replaced, others stay as they are, whatever their names. Only documents that lose lines, and few others, are shuffled.
     """
     kept = [c for c in docs.columns if c not in counts]
-    cells = _recurring(docs, min_chars)
-    agreed, clashing = repeated_chunks(docs, cells, min_chars)
+    # What may recur is cut once, with its bytes; all else of the corpus was but hashed.
+    chunks = staged(may_hold(_occurrences(docs, min_chars, True), _recurring(docs, min_chars), "hash"), "recurring-occurrences")
+    agreed, clashing = repeated_chunks(chunks)
     places = ["doc_id", "text_hash", "first", "n"]
     other = ~_place().eqNullSafe(F.col("keeper"))
-    removed = _occurrences(docs, min_chars, cells).join(agreed, "hash").where(other).select(*places)
+    removed = chunks.join(agreed, "hash").where(other).select(*places)
     if not clashing.isEmpty():
-        removed = removed.unionByName(_occurrences(docs, min_chars, cells, "chunk").join(clashing, ["hash", "chunk"]).where(other).select(*places))
+        removed = removed.unionByName(chunks.join(clashing, ["hash", "chunk"]).where(other).select(*places))
     per_doc = removed.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "n")).alias("gone"))
     gone_id, gone_hash, spans, own, lines, gone, stays, solid = unused(docs.columns, "gone_id", "gone_hash", "spans", "own_hash", "lines", "gone", "stays", "solid")
     found = staged(per_doc.select("doc_id", "text_hash", "gone").toDF(gone_id, gone_hash, spans), "removed-chunks")
