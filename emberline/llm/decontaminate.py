@@ -8,6 +8,9 @@ value of the item one value in the document.
 
 Beside the template, a text has its plain tokens: all words in lower case, numbers and names too. Their windows find copies of
 items that are mostly names and numbers, in capitals, or too short for a template.
+
+Questions begin alike. So beside its share of windows a leak must cover a share of the item's content: tokens are weighed, and the words that
+questions of all kinds are made of weigh next to nothing. The weights don't depend on the corpus: an item that a third of all documents hold is as much of a leak.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .memory import MEMOS, lean
@@ -32,6 +35,10 @@ WINDOW, LEAST = 8, 4
 COVERAGE, AGREEMENT = 0.4, 0.8
 #: Plain windows: for items of so many tokens and more, the window's length and the share of windows that makes a leak. Shorter items are one window.
 PLAIN = ((32, 8, 0.4), (16, 4, 0.5), (8, 3, 0.5))
+#: Share of an item's weight that its matched windows must cover, for items of so many tokens and more; content words in a run that is a leak by itself.
+CONTENT, RUN_CONTENT = ((32, 0.4), (16, 0.5), (0, 0.7)), 4
+#: What a common word weighs, where others weigh 1.
+COMMON_WEIGHT = 0.1
 #: Diagonals that plain windows of one copy may spread over; plain windows of 8 on one diagonal that make a leak whatever their share (13 tokens or more).
 BAND, RUN = 16, 6
 #: Words that a worker remembers; bytes of text that are read at once, one text at least.
@@ -51,6 +58,16 @@ UNITS = frozenset(
     " dollar dollars cent cents euro euros usd eur gbp b kb mb gb tb bytes bits".split()
 )
 
+# Words that questions of all kinds are made of.
+COMMON = frozenset(
+    "a about above after all also an and any are as at be because been before being below best between both but by called can choose consider correct correctly could describe described describes did"
+    " do does done each either every example explain false few find following for form found from get give given had has have he her here his how i idea if in incorrect into is it its itself kind known least less like likely main"
+    " make may mean means might more most much many must name named no none not of on one only option options or other our out over part passage people person question same select she should show so"
+    " some statement statements such term than that the their them then there these they thing things this those to true type under up us use used using value very was we were what when where which while who whom whose why will"
+    " with would write you your".split()
+)
+_COMMON_HASHES = np.array(sorted(xxhash.xxh3_64_intdigest(word) | 4 for word in COMMON), np.uint64)
+
 
 class Canon(dict):
     """word -> (kind, token hash, plain token hash), made at first sight; kind -1 is no template token, a plain hash of 0 no plain one."""
@@ -106,6 +123,11 @@ class Tokens:
         self.ends = np.minimum(self.ends, last)
         self.plain, self.plain_text = plain[plain != 0], text[plain != 0]
 
+    def weights(self, plain: bool) -> np.ndarray:
+        """What each token weighs as evidence; a placeholder as little as a common word."""
+        common = np.isin(self.plain, _COMMON_HASHES) if plain else np.isin(self.hashes, _COMMON_HASHES) | (self.hashes < 4)
+        return np.where(common, COMMON_WEIGHT, 1.0)
+
     def windows(self, length: int, plain: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, text, hash) of every usable window of `length` tokens; at least half of a template window is literal."""
         tokens, text = (self.plain, self.plain_text) if plain else (self.hashes, self.text)
@@ -179,6 +201,38 @@ def _windows(table: DataFrame, id_column: str, lengths: list[tuple[bool, int]] |
     return table.select(F.col(id_column).alias("id"), "text").mapInArrow(lean(hits, "canon"), _HITS)
 
 
+def _item_weights(benchmark: DataFrame) -> DataFrame:
+    """(id, plain, weights): what each token of an item weighs; of rows that share an id the longest one's."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch["id"].to_pylist(), batch["text"].cast(pa.string()).fill_null("").to_pylist()):
+                tokens = Tokens(pa.array([text], pa.string()))
+                weights = [tokens.weights(plain).tolist() for plain in (False, True)]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * 2, pa.int64()), pa.array([False, True]), pa.array(weights, pa.list_(pa.float64()))], names=["id", "plain", "weights"])
+
+    rows = benchmark.select(F.col("item_id").alias("id"), "text").mapInArrow(lean(weigh, "canon"), "id long, plain boolean, weights array<double>")
+    return rows.groupBy("id", "plain").agg(F.max(F.struct(F.size("weights").alias("size"), "weights")).alias("w")).select("id", "plain", "w.weights")
+
+
+def _covered(at: str, length: str = "length") -> str:
+    """SQL of the item's tokens that the windows at these places cover."""
+    return f"array_distinct(flatten(transform({at}, p -> sequence(p, p + {length} - 1))))"
+
+
+def _weight(places: str) -> str:
+    """SQL of the weight of an item's tokens at these places."""
+    return f"aggregate({places}, 0D, (s, i) -> s + coalesce(get(weights, i), 0D))"
+
+
+def _content(covered: str) -> Column:
+    """Whether the tokens at these places are enough of the item's weight."""
+    least = F.lit(0.0)
+    for tokens, share in CONTENT[::-1]:
+        least = F.when(F.size("weights") >= tokens, share).otherwise(least)
+    return F.expr(_weight(covered)) >= least * F.expr("aggregate(weights, 0D, (s, w) -> s + w)") - F.lit(1e-9)
+
+
 def _templates(hits: DataFrame, sizes: DataFrame) -> DataFrame:
     """Pairs that share template windows whose values agree: matched, windows, agreement, differ."""
     diagonal = ["doc_id", "item_id", "diagonal"]
@@ -191,9 +245,10 @@ def _templates(hits: DataFrame, sizes: DataFrame) -> DataFrame:
         .select(*[F.col(f"h.{c}").alias(c) for c in diagonal], "item_pos", F.coalesce("agreement", F.lit(1.0)).alias("agreement"), F.coalesce("differ", F.lit(False)).alias("differ"))
     )
     consistent = judged.where(F.col("agreement") >= AGREEMENT)
-    matched = consistent.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("matched"), F.min("agreement").alias("agreement"), F.max("differ").alias("differ"))
+    matched = consistent.groupBy("doc_id", "item_id").agg(F.collect_set("item_pos").alias("at"), F.min("agreement").alias("agreement"), F.max("differ").alias("differ"))
+    matched = matched.withColumn("matched", F.size("at").cast("long"))
     sized = matched.alias("m").join(sizes.where("NOT plain").alias("z"), F.col("m.item_id").eqNullSafe(F.col("z.id")))
-    return sized.where(F.col("matched") / F.col("windows") >= COVERAGE).select("doc_id", "item_id", "matched", "windows", "agreement", "differ")
+    return sized.where((F.col("matched") / F.col("windows") >= COVERAGE) & _content(_covered("at"))).select("doc_id", "item_id", "matched", "windows", "agreement", "differ")
 
 
 def _copies(hits: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -202,13 +257,15 @@ def _copies(hits: DataFrame, sizes: DataFrame) -> DataFrame:
     # A copy spreads over fewer diagonals than half a band, so one of two bands that overlap by half holds it.
     band = F.explode(F.array(*[F.floor((F.col("diagonal") + shift) / BAND) * 2 + half for half, shift in enumerate((0, BAND // 2))])).alias("band")
     banded = per_diagonal.select("doc_id", "item_id", "run", "at", band).groupBy("doc_id", "item_id", "band").agg(F.max("run").alias("run"), F.flatten(F.collect_list("at")).alias("at"))
-    matched = banded.withColumn("matched", F.size(F.array_distinct("at")).cast("long")).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("run").alias("run"))
+    matched = banded.withColumn("at", F.array_distinct("at")).withColumn("matched", F.size("at").cast("long"))
     sized = matched.alias("m").join(sizes.where("plain").alias("z"), F.col("m.item_id").eqNullSafe(F.col("z.id")))
     share = F.lit(1.0)
     for _, length, least in PLAIN[::-1]:
         share = F.when((F.col("length") == length) & (F.col("windows") > 1), least).otherwise(share)
-    found = (F.col("matched") >= share * F.col("windows")) | (F.col("run") >= RUN) & (F.col("length") == WINDOW)
-    return sized.where(found).select("doc_id", "item_id", "matched", "windows", F.lit(1.0).alias("agreement"), F.lit(False).alias("differ"))
+    sized = sized.withColumn("covered", F.expr(_covered("at")))
+    long_run = (F.col("run") >= RUN) & (F.col("length") == WINDOW) & F.expr(f"size(filter(covered, i -> get(weights, i) = 1D)) >= {RUN_CONTENT}")
+    found = sized.where((F.col("matched") >= share * F.col("windows")) & _content("covered") | long_run).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.first("windows").alias("windows"))
+    return found.select("doc_id", "item_id", "matched", "windows", F.lit(1.0).alias("agreement"), F.lit(False).alias("differ"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -221,6 +278,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = staged(_windows(benchmark, "item_id"), "benchmark-windows")
     sizes = items.select("id", "pos", "plain", "length").distinct().groupBy("id", "plain").agg(F.count("*").alias("windows"), F.max("length").alias("length"))
+    weights = _item_weights(benchmark)
+    sizes = staged(sizes.alias("z").join(weights.alias("w"), F.col("z.id").eqNullSafe(F.col("w.id")) & (F.col("z.plain") == F.col("w.plain"))).select("z.*", "w.weights"), "benchmark-items")
     lengths = sorted((r["plain"], r["length"]) for r in items.select("plain", "length").distinct().collect())  # a dozen rows or so
     held = hash_filter(items, "hash", "benchmark-cells").toArrow()  # 2 ** FILTER_BITS rows of 16 bytes at most
     cells = np.zeros(1 << FILTER_BITS, np.uint64)

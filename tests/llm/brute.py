@@ -66,14 +66,22 @@ def without_repeated_lines(rows, min_chars):
     return found
 
 
-def plain_copy(text, item):
-    """Whether a text holds enough of an item's windows of words about one diagonal; both in lower case and without marks."""
+def plain_copy(text, item, common=frozenset()):
+    """Whether a text holds enough of an item's windows of words about one diagonal, and of its words' weight; both in lower case and without marks."""
     a, b = text.split(), item.split()
-    length, share = (8, 0.4) if len(b) >= 32 else (4, 0.5) if len(b) >= 16 else (3, 0.5) if len(b) >= 8 else (len(b), 1.0)
-    hits = [(i - j, j) for j in range(len(b) - length + 1) for i in range(len(a) - length + 1) if a[i : i + length] == b[j : j + length]]
-    near = [{j for d, j in hits if (d + shift) // 16 == band} for shift in (0, 8) for band in {(d + shift) // 16 for d, _ in hits}]
-    runs = Counter(d for d, _ in set(hits))
-    return bool(hits) and (max(map(len, near)) >= share * (len(b) - length + 1) or length == 8 and max(runs.values()) >= 6)
+    length, share, content = (8, 0.4, 0.4) if len(b) >= 32 else (4, 0.5, 0.5) if len(b) >= 16 else (3, 0.5, 0.7) if len(b) >= 8 else (len(b), 1.0, 0.7)
+    hits = {(i - j, j) for j in range(len(b) - length + 1) for i in range(len(a) - length + 1) if a[i : i + length] == b[j : j + length]}
+    weight = lambda places: sum(0.1 if b[k] in common else 1.0 for k in places)
+    for shift in (0, 8):
+        for band in {(d + shift) // 16 for d, _ in hits}:
+            near = [(d, j) for d, j in hits if (d + shift) // 16 == band]
+            starts = {j for _, j in near}
+            covered = {k for j in starts for k in range(j, j + length)}
+            if len(starts) >= share * (len(b) - length + 1) and weight(covered) >= content * weight(range(len(b))) - 1e-9:
+                return True
+            if length == 8 and max(Counter(d for d, _ in near).values()) >= 6 and sum(b[k] not in common for k in covered) >= 4:
+                return True
+    return False
 
 
 def paragraphs(text):

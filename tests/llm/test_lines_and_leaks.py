@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -94,12 +95,20 @@ def test_columns_of_any_name(spark):
 def test_hash_clashes_are_settled_by_bytes(spark, monkeypatch):
     from emberline.llm import line_dedup
 
-    monkeypatch.setattr(line_dedup, "_CHUNKS", line_dedup._CHUNKS.replace("'hash', xxhash64(", "'hash', pmod(xxhash64(").replace("- c))))", "- c)), 1)))"))
+    monkeypatch.setattr(line_dedup, "CHUNK_HASH", "pmod(xxhash64(slice(hashes, p.first + 1, p.n)), 1L)")
     a, b = ("\n".join(f"line {k} of a passage numbered {n}" for k in range(30)) for n in (1, 2))
     found = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame([(1, a, None), (2, b, None), (3, a, None), (4, b, None)], TEXTS)).collect()}
     assert found[1] == a and found[2] == b and len(found[3]) < len(a) and len(found[4]) < len(b)
 
 
+@pytest.mark.parametrize("text, removed", [("\n".join(f"line number {i % 70_000}" for i in range(140_000)), 70_000), ("x" * 5_000_000, 0), ("word " * 1_000_000 + "\nand a line\n" * 2, 0)])
+def test_very_long_texts_cost_as_much_as_their_lines(spark, text, removed):
+    began = time.perf_counter()
+    found = dedup_lines(spark.createDataFrame([(1, text, None)], TEXTS)).first()
+    assert found["n_removed"] == removed and found["text"].count("\n") == text.count("\n") - removed
+    assert time.perf_counter() - began < 60
+
+
 ITEM = "Yesterday John Smith bought 12 apples and gave 3 kg to Mary, so John Smith now has exactly 9 apples left in the basket."
 
 
@@ -180,6 +189,71 @@ def test_plain_copies_equal_brute_force(spark):
         assert (r["doc_id"], r["item_id"]) in expected or r["coverage"] >= 0.4 and r["windows"] == max(1, len(items[r["item_id"]].split()) - 7)
 
 
+# Items, and clean texts that begin, or end, as they do.
+STEMS = [
+    ("Which of the following is not a prime number", "which of the following is not a reason to stay home"),
+    ("What is the name of the largest planet in the solar system", "What is the name of the largest city in the country we visited"),
+    ("Which of the following best describes the function of the mitochondria", "which of the following best describes the function of the committee that met"),
+    ("How many of the following statements are true about photosynthesis?", "how many of the following statements are true about dogs"),
+    ("What is the main idea of the passage above about whales?", "What is the main idea of the passage you sent me yesterday"),
+    ("Which one of these is an example of a renewable resource?", "Which one of these is an example of a badly written letter"),
+    ("Who was the first person to walk on the moon?", "who was the first person to leave the party last night"),
+    ("In which year did the second world war end in Europe?", "In which year did the second branch of the library open"),
+    ("Explain why the sky is blue during the day.", "explain why the train is late during the day"),
+    ("What is the difference between a virus and a bacterium?", "What is the difference between a loan and a mortgage"),
+    ("Find the value of the expression when the variable equals seven.", "find the value of the expression in the contract"),
+    ("Why did the chicken cross the road in the old joke?", "Why did the chicken taste so bad in the old pot"),
+    ("What would happen if there were no gravity on the earth?", "What would happen if there were no trains to the city"),
+    ("Describe how the heart pumps blood to the lungs.", "Describe how the rules came to be made"),
+    ("Which statement about acids is correct?", "Which statement about taxes is correct"),
+    ("According to the passage, why did the author leave the village?", "According to the passage, why did the king not answer"),
+    ("What is the most likely reason that the plants died?", "What is the most likely reason that the shop closed"),
+    ("All of the following are mammals except which one?", "All of the following are welcome, except for the loud ones"),
+    ("Choose the word that best completes the sentence about rivers.", "choose the word that best fits you and your friends"),
+    ("Is it true that the speed of light is constant in a vacuum?", "Is it true that the speed of the train is too low"),
+    ("What do you call a triangle with three equal sides?", "What do you call a person with three jobs"),
+    ("Which of these numbers is divisible by both three and seven?", "Which of these ideas is liked by both parents and teachers"),
+]
+
+
+def test_common_stems_are_no_leaks(spark):
+    items = [item for item, _ in STEMS]
+    clean = [f"So I asked. {text} and we talked about it for a while." for _, text in STEMS]
+    assert leaks(spark, clean, items) == {}
+    # The items themselves are found, in capitals and in other type too, and with a word changed nine in ten times.
+    copies = [f"So I asked. {change(item)} And we talked." for item in items for change in (str, str.upper, str.lower)]
+    assert {(3 * k + j, k) for k in range(len(items)) for j in range(3)} <= set(leaks(spark, copies, items))
+    near, owner = [], []
+    for k, item in enumerate(items):
+        words = item.split()
+        for at in range(len(words)):
+            near.append(" ".join(["So I asked.", *words[:at], "zebra", *words[at + 1 :], "And we talked."]))
+            owner.append(k)
+    long = [k for k, item in enumerate(items) if len(item.split()) >= 8]
+    found = set(leaks(spark, near, items))
+    rates = [((d, k) in found) for d, k in enumerate(owner) if k in long]
+    assert sum(rates) / len(rates) > 0.6, sum(rates) / len(rates)
+    assert {d for d, k in found if owner[d] != k} == set()
+
+
+def test_plain_way_equals_brute_force_on_natural_words(spark):
+    from emberline.llm.decontaminate import COMMON
+
+    rng = random.Random(8)
+    usual, rare = sorted(COMMON)[:40], ["".join(rng.choice("bcdfgz") for _ in range(5)) for _ in range(25)]
+    draw = lambda n: [rng.choice(usual) if rng.random() < 0.6 else rng.choice(rare) for _ in range(n)]
+    items = [" ".join(draw(rng.randint(2, 45))) for _ in range(30)]
+    texts = []
+    for _ in range(150):
+        base = rng.choice(items).split()
+        base = base[rng.randint(0, len(base) // 2) :] if rng.random() < 0.5 else base[: rng.randint(1, len(base))]
+        texts.append(" ".join([*draw(rng.randint(0, 9)), *base, *draw(rng.randint(0, 9))]))
+    expected = {(d, k) for d, t in enumerate(texts) for k, x in enumerate(items) if plain_copy(t, x, COMMON)}
+    found = set(leaks(spark, texts, items))
+    assert expected and expected <= found
+    assert len(found - expected) <= len(found) // 5  # beyond it only what template windows find
+
+
 def test_units_and_names_merge():
     a, b = canonical("ran 5 km with Old Tom Jones today"), canonical("ran 7miles with Ann today")
     assert a[0].tolist() == b[0].tolist() and a[1].tolist() == [True, False, True, False, True]
