@@ -375,11 +375,12 @@ def _rarest(keys: DataFrame) -> DataFrame:
 def _labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Per row of `docs`: doc_id, text_hash, n its shingles, c its component (null without shingles) and component_id, the least doc_id there."""
     join = Join(size, percent)
-    by_key = Window.partitionBy("k")
-    crowd = _rows(docs, join).withColumn("low", F.min("v").over(by_key)).withColumn("high", F.max("v").over(by_key))
-    kept = staged(crowd.where("n >= 0 OR low <> high").drop("low", "high"), "segments")
-    members = kept.where("n >= 0").select("doc_id", F.col("v").alias("set"), "n", F.col("aux").alias("text_hash"), "bits")
-    keys = kept.where("n < 0").select(F.col("k").alias("key"), F.col("v").alias("set"), F.col("n").alias("tile"), F.col("aux").alias("need")).distinct()
+    rows = staged(_rows(docs, join), "segments")
+    members = rows.where("n >= 0").select("doc_id", F.col("v").alias("set"), "n", F.col("aux").alias("text_hash"), "bits")
+    # Keys are counted before any of their rows moves, so a key that a third of all sets have is summed up where it stands.
+    every = rows.where("n < 0").select(F.col("k").alias("key"), F.col("v").alias("set"), F.col("n").alias("tile"), F.col("aux").alias("need"))
+    often = hash_filter(every.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "key", "shared-keys")
+    keys = _shared(may_hold(every, often, "key").distinct())
     shared = _rarest(_live(_live(keys)))
 
     fame = staged(shared.groupBy("set").agg(F.sum("sharing").alias("fame")), "fame")
