@@ -8,6 +8,7 @@ container at the path that won its host; a page without such a container uses it
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 from zlib import crc32
@@ -47,12 +48,25 @@ FURNITURE = frozenset(
     " subscription signup signin login register share sharing social related recommended recommendations trending widget widgets toolbar"
     " pagination pager paginator search searchbox skip hidden copyright disclaimer legal feedback rating ratings tags outbrain taboola responses discussion".split()
 )
+# Words of layout that stand beside those, and of those the ones that name a part of the page wherever they stand.
+LAYOUT = frozenset(
+    "area bar bars block blocks body bottom box boxes btn button buttons card cards center col column columns component container content count counter cta desktop entry field fields first fixed float footer full global"
+    " grid group head heading home icon icons icn inline inner item items label last layer layout left link links list lists main meta mini mobile module modules more nav new outer page panel panels post posts primary"
+    " region right root row rows secondary section sections side site slot small sticky story strip tab tabs text title toggle tool tools top ui unit user view wide wrap wrapper zone".split()
+)
+PLACED = frozenset(
+    "adsense advert adverts advertisement banner banners breadcrumb breadcrumbs commentlist comments cookie cookies disqus footer footers footnav gdpr masthead modal nav navbar navigation newsletter outbrain overlay paginator"
+    " pagination popup promo sidebar sidebars signup skip sponsored subscribe taboola topbar widget widgets".split()
+)
+#: Letters of a name's part that may be a prefix of any meaning; plain characters that make a suspect in an article text, if its names may be those of a topic too.
+PREFIX, PROSE = 3, 300
 NEIGHBOUR = frozenset("has no with without".split())
 COMMENTS = frozenset("comment comments commentlist disqus respond reply replies responses discussion".split())
 NEVER_TEXT = COMMENTS | frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners promo promotion promoted sponsor sponsored sponsors outbrain taboola cookie cookies consent gdpr"
     " notice notices alert alerts warning popup modal overlay newsletter subscribe subscription signup signin login register sidebar sidebars footer footers related recommended".split()
 )
+BOILERPLATE = frozenset("copyright disclaimer legal tags breadcrumb breadcrumbs menu menus nav navbar navigation pagination pager paginator".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar form".split())
 
 TOKEN = re.compile(
@@ -82,26 +96,38 @@ def is_furniture(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
 
 
 def furniture_names(attrs: dict[str, str], in_article: bool) -> set[str]:
-    """The words of an element's class and id that furniture has; `has-sidebar` names a neighbour, `header` in an article is the title's."""
+    """The words of an element's class and id that furniture has.
+
+    A name says furniture if all its words are those of furniture, of layout or short prefixes: `rating-box` does, `rating-agencies` is a topic. Outside an
+    article a few words say so wherever they stand. `has-sidebar` names a neighbour, `header` in an article is the title's.
+    """
     found: set[str] = set()
     for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
         parts = {part.lower() for part in NAME_PART.findall(name)}
-        if not parts & NEIGHBOUR:
+        if parts & NEIGHBOUR:
+            continue
+        if all(p in FURNITURE or p in LAYOUT or len(p) <= PREFIX for p in parts) or not in_article and parts & PLACED:
             found |= parts & FURNITURE
     return found - {"header"} if in_article else found
 
 
 class Suspect:
-    """An element that is furniture by its names: it is left out unless it turns out to wrap the page's text."""
+    """An element that is furniture by its names: it is left out unless it turns out to wrap the page's text, or to be text of an article."""
 
-    __slots__ = ("names", "chars", "wraps")
+    __slots__ = ("names", "around", "in_article", "chars", "link_chars", "article", "out")
 
-    def __init__(self, names: set[str]):
-        self.names, self.chars, self.wraps = names, 0, False
+    def __init__(self, names: set[str], around: "Suspect | None", in_article: bool):
+        self.names, self.around, self.in_article, self.chars, self.link_chars, self.article, self.out = names, around, in_article, 0, 0, False, False
 
     def left_out(self, total: int) -> bool:
-        """Whether it is furniture: it holds neither an article or main part nor most of the page's text outside links, which comments, adverts and notices may."""
-        return not (self.wraps or 2 * self.chars > total and not self.names & NEVER_TEXT)
+        """Whether it is furniture: it holds neither an article or main part (but for comments), nor most of the page's text outside links, nor, in an article, a good
+        deal of prose; adverts, comments, notices and the like may hold the latter two."""
+        if self.article and not self.names & COMMENTS:
+            return False
+        if self.names & NEVER_TEXT:
+            return True
+        prose = self.in_article and self.chars >= PROSE and 5 * self.link_chars <= self.chars and not self.names & BOILERPLATE
+        return not (prose or 2 * self.chars > total)
 
 
 class Element:
@@ -112,21 +138,22 @@ class Element:
 
 
 class Block:
-    """A block's text, what it is worth to its container, whether it is a heading, and the suspects around it."""
+    """A block's text, what it is worth to its container, whether it is a heading, and the innermost suspect around it."""
 
-    __slots__ = ("text", "worth", "plain", "container", "heading", "byline", "suspects")
+    __slots__ = ("text", "worth", "plain", "container", "heading", "byline", "suspect")
 
-    def __init__(self, text: str, worth: float, plain: int, container: "Container | None", heading: bool, byline: bool, suspects: tuple[Suspect, ...]):
-        self.text, self.worth, self.plain, self.container, self.heading, self.byline, self.suspects = text, worth, plain, container, heading, byline, suspects
+    def __init__(self, text: str, worth: float, plain: int, container: "Container | None", heading: bool, byline: bool, suspect: Suspect | None):
+        self.text, self.worth, self.plain, self.container, self.heading, self.byline, self.suspect = text, worth, plain, container, heading, byline, suspect
 
 
 class Container:
-    """A container's path, its place among the page's blocks, and its score."""
+    """A container's path, its classes without digits, its place among the page's blocks, and its score."""
 
-    __slots__ = ("tag", "path", "parent", "first", "last", "score")
+    __slots__ = ("tag", "classes", "path", "parent", "inside", "first", "last", "score")
 
-    def __init__(self, tag: str, path: str, parent: "Container | None", first: int):
-        self.tag, self.path, self.parent, self.first, self.last, self.score = tag, path, parent, first, -1, 0.0
+    def __init__(self, tag: str, classes: frozenset[str], path: str, parent: "Container | None", first: int):
+        self.tag, self.classes, self.path, self.parent, self.first, self.last, self.score = tag, classes, path, parent, first, -1, 0.0
+        self.inside: list[Container] = []
 
 
 class Page:
@@ -141,15 +168,30 @@ class Page:
         self.suspects: list[Suspect] = []
         self.containers: list[Container] = []
         self.stack: list[Element] = []
+        #: What is open: the places of each tag in the stack, the containers, the innermost suspect.
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.inside: list[Container] = []
+        self.suspect: Suspect | None = None
         self.text: list[str] = []
         self.chars = self.link_chars = self.links = 0
         self.skipping = 0
         self._parse(html)
         total = sum(b.plain for b in self.blocks)
-        self.kept = [not b.byline and not any(s.left_out(total) for s in b.suspects) for b in self.blocks]
+        for suspect in reversed(self.suspects):  # what is inside comes after what is around it
+            if suspect.around is not None:
+                suspect.around.chars += suspect.chars
+                suspect.around.link_chars += suspect.link_chars
+                suspect.around.article |= suspect.article
+        for suspect in self.suspects:
+            suspect.out = suspect.left_out(total) or suspect.around is not None and suspect.around.out
+        self.kept = [not b.byline and not (b.suspect is not None and b.suspect.out) for b in self.blocks]
         if not any(self.kept):
             self.kept = [not b.byline for b in self.blocks]
+        #: Characters, those outside links and headings of the kept blocks before each.
+        self.sums = [(0, 0, 0)]
         for block, kept in zip(self.blocks, self.kept):
+            chars, plain, headings = self.sums[-1]
+            self.sums.append((chars + len(block.text), plain + block.plain, headings + block.heading) if kept else self.sums[-1])
             container = block.container if kept else None
             for share in SHARES:
                 if container is not None:
@@ -160,41 +202,41 @@ class Page:
         if self.text:
             block = " ".join("".join(self.text).split())
             if block:
-                container = next((e.container for e in reversed(self.stack) if e.container), None)
                 linked = self.link_chars / max(1, self.chars)
-                heading = any(e.tag in HEADING for e in self.stack)
-                byline = not heading and any(e.tag == "header" for e in self.stack)
+                heading = any(self.places[tag] for tag in HEADING)
                 plain = int(len(block) * (1 - linked))
-                for suspect in self.suspects:
-                    suspect.chars += plain
-                self.blocks.append(Block(block, len(block) * max(0.0, 1 - 2 * linked), plain, container, heading, byline, tuple(self.suspects)))
+                if self.suspect is not None:
+                    self.suspect.chars += plain
+                    self.suspect.link_chars += len(block) - plain
+                container = self.inside[-1] if self.inside else None
+                self.blocks.append(Block(block, len(block) * max(0.0, 1 - 2 * linked), plain, container, heading, not heading and bool(self.places["header"]), self.suspect))
             self.text = []
         self.chars = self.link_chars = 0
 
     def _pop(self) -> None:
-        element = self.stack.pop()
+        element = self.stack[-1]
         if element.tag in BLOCK and element.tag not in ("td", "th"):
-            self.stack.append(element)
             self._flush()
-            self.stack.pop()
+        self.stack.pop()
+        self.places[element.tag].pop()
         if element.container is not None:
             element.container.last = len(self.blocks)
+            self.inside.pop()
         if element.skipped:
             self.skipping -= 1
         if element.suspect is not None:
-            self.suspects.pop()
+            self.suspect = element.suspect.around
         if element.tag == "a":
             self.links -= 1
 
     def _close(self, tag: str, barriers: tuple[str, ...] = ()) -> None:
         """Close the nearest open `tag`, and what is open inside it; text blocks stop at barriers."""
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at].tag == tag:
-                while len(self.stack) > at:
-                    self._pop()
-                return
-            if self.stack[at].tag in barriers:
-                return
+        if not self.places[tag]:
+            return
+        at = self.places[tag][-1]
+        if not any(self.places[b] and self.places[b][-1] > at for b in barriers):
+            while len(self.stack) > at:
+                self._pop()
 
     def _open(self, tag: str, raw: str) -> None:
         if tag in CLOSES_P:
@@ -213,23 +255,28 @@ class Page:
         in_article = tag in ("article", "main") or bool(self.stack and self.stack[-1].in_article)
         skipped = is_furniture(tag, attrs, in_article)
         names = furniture_names(attrs, in_article) if attrs and tag not in ("html", "body", "article", "main") and not skipped else None
-        suspect = Suspect(names) if names else None
-        if tag in ("article", "main") and not self.skipping:
-            for around in self.suspects:
-                around.wraps |= not around.names & COMMENTS
+        if tag in ("article", "main") and not self.skipping and self.suspect is not None:
+            self.suspect.article = True
+        suspect = Suspect(names, self.suspect, in_article) if names else None
         if suspect is not None:
             self.suspects.append(suspect)
+            self.suspect = suspect
         container = None
         if tag in CONTAINER and not skipped and not self.skipping:
-            step = ".".join([tag, *sorted(set(re.sub(r"\d+", "", attrs.get("class", "")).split()))])
-            parent = next((e.container for e in reversed(self.stack) if e.container), None)
+            classes = frozenset(re.sub(r"\d+", "", attrs.get("class", "")).split())
+            step = ".".join([tag, *sorted(classes)])
+            parent = self.inside[-1] if self.inside else None
             above = parent.path if parent else ""
             if len(above) > LONGEST_PATH:
                 above = f"#{crc32(above.encode()):08x}"
-            container = Container(tag, f"{above}>{step}" if above else step, parent, len(self.blocks))
+            container = Container(tag, classes, f"{above}>{step}" if above else step, parent, len(self.blocks))
+            if parent is not None:
+                parent.inside.append(container)
+            self.inside.append(container)
             if tag in ("article", "main"):
                 container.score = ARTICLE_BONUS
             self.containers.append(container)
+        self.places[tag].append(len(self.stack))
         self.stack.append(Element(tag, skipped, container, in_article, suspect))
         self.skipping += skipped
         self.links += tag == "a"
@@ -292,8 +339,16 @@ class Page:
 
     def _facts(self, c: Container) -> tuple[int, int, bool]:
         """The characters of a container's text, those outside links, and whether it has a heading."""
-        blocks = [b for b, kept in zip(self.blocks[c.first : c.last], self.kept[c.first : c.last]) if kept]
-        return sum(len(b.text) for b in blocks), sum(b.plain for b in blocks), any(b.heading for b in blocks)
+        (a, b, c_), (x, y, z) = self.sums[c.first], self.sums[c.last]
+        return x - a, y - b, z > c_
+
+    def kin(self, c: Container) -> list[Container]:
+        """The container and, beside it, those of its tag that share a class with it other than layout's, or have none as it has none, and hold text outside links for the most part."""
+        if c.parent is None or c.tag in ("article", "main", "body"):
+            return [c]
+        kind = {name for name in c.classes if not {part.lower() for part in NAME_PART.findall(name)} <= LAYOUT}  # a column or a row is no kind of text
+        alike = [s for s in c.parent.inside if s is c or s.tag == c.tag and (s.classes & kind or not s.classes and not c.classes)]
+        return [s for s in alike if s is c or 2 * self._facts(s)[1] > max(1, self._facts(s)[0])]
 
     def text_of(self, containers: list[Container]) -> str:
         """The blocks of the outermost of the containers given, in page order."""
@@ -311,12 +366,13 @@ def extract(html: str | None, winners: list[str] | None) -> tuple[str, str | Non
     """The main text and the path it was found at; winners are the host's paths, best first."""
     page = Page(html or "")
     for path in winners or []:
-        if text := page.text_of([c for c in page.containers if c.path == path and c.score > 0]):
+        chosen = {id(k): k for c in page.containers if c.path == path and c.score > 0 for k in page.kin(c)}
+        if text := page.text_of([*chosen.values()]):
             return text, path
     best = page.best()
     if best is None:
         return page.all_text(), None
-    return page.text_of([best]) or page.all_text(), best.path
+    return page.text_of(page.kin(best)) or page.all_text(), best.path
 
 
 def host_of(url: str = "url") -> Column:

@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -134,3 +135,47 @@ def test_cut_record_raises(tmp_path):
     (tmp_path / "f").write_bytes(record[:-20])
     with pytest.raises(ValueError, match="cut off"):
         list(records(str(tmp_path / "f"), 0, 10_000))
+
+
+SENTENCE = "This is a sentence of the story that is told. "
+
+
+@pytest.mark.parametrize("name", ["section id='search-engines'", "div class='rating-table'", "div class='share-price-chart'", "p id='rating-agencies'", "section id='cookie-recipes'", "div class='comments-by-critics'"])
+def test_topics_in_an_article_are_not_furniture(name):
+    tag = name.split()[0]
+    page = f"<body><article><h1>Title</h1><p>{SENTENCE * 6}</p><{name}>Inner words here.</{tag}><p>{SENTENCE * 3}</p></article></body>"
+    assert "Inner words here." in extract(page, None)[0]
+
+
+@pytest.mark.parametrize("name", ["div class='share-buttons'", "div id='comments'", "section class='td-related-posts'", "div class='cookie-notice'", "div class='rating-box'", "div class='newsletter-signup wide'"])
+def test_furniture_in_an_article_stays_out(name):
+    tag = name.split()[0]
+    page = f"<body><article><h1>Title</h1><p>{SENTENCE * 6}</p><{name}>Inner words here.</{tag}><p>{SENTENCE * 3}</p></article></body>"
+    assert "Inner words here." not in extract(page, None)[0] and extract(page, None)[0].startswith("Title")
+
+
+def test_a_long_section_named_like_furniture_is_text():
+    page = f"<body><article><p>{SENTENCE * 20}</p><section id='ratings'><p>{'The agencies rate debts by their risk. ' * 12}</p></section><section id='comments'><p>{'I liked it. ' * 40}</p></section></article></body>"
+    text = extract(page, None)[0]
+    assert "agencies" in text and "I liked it" not in text
+
+
+def test_siblings_of_one_kind_are_one_text():
+    page = f"<body><div class='page'><div class='sec intro'><p>Intro one. {SENTENCE * 2}</p></div><div class='sec story'><p>{SENTENCE * 9}</p></div><div class='sec links'><a href='x'>{SENTENCE * 2}</a></div><div class='other'>Other</div></div></body>"
+    for winners in (None, ["body>div.page>div.sec.story"]):
+        text = extract(page, winners)[0]
+        assert text.startswith("Intro one.") and text.count("sentence") == 11 and "Other" not in text
+    columns = f"<body><div class='row'><div class='col main-text'><p>{SENTENCE * 9}</p></div><div class='col extra'><p>Something beside it.</p></div></div></body>"
+    assert "beside" not in extract(columns, None)[0]
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<div class='ad'>x", "<div>x</b>", "<p><span>x", "<td><p>x", "<a><b>x</i>"])
+def test_deep_nesting_costs_as_much_as_it_is_long(piece):
+    began = time.perf_counter()
+    extract(piece * 50_000, None)
+    assert time.perf_counter() - began < 12
+
+
+def test_a_page_of_five_megabytes_and_a_word_of_one():
+    text, _ = extract(f"<body><article><p>{'word ' * 1_000_000}</p><p>{'x' * 1_000_000}</p></article></body>", None)
+    assert len(text) == 5_000_000 - 1 + 2 + 1_000_000
