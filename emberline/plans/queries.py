@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as ind
 from ..operators import candles, chart
+from ..operators.asof import as_of
 from ..operators.history import full_history
 from ..operators.outcomes import first_touches
 from ..operators.signals import cross_down, cross_up, latest_signals, signals, spike
@@ -130,6 +131,13 @@ def signal_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_touches(signals(series), series).select(*_KEYS, "direction", "entry", "stop", "take", "exit", "exit_time", "exit_price", "gain")
 
 
+def signals_with_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signal at every bar with the last tick of its event type at or before the bar's start, if it is at most an hour old."""
+    ticks = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("symbol"), "ts", "event_id", "value")
+    rows = signals(bars(spark, sf_dir, by_type=True)).select(*_KEYS, "direction")
+    return as_of(rows, ticks, ["symbol"], "time", "ts", {"ts": "tick_time", "event_id": "tick_id", "value": "tick_value"}, "event_id", within_seconds=3600)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "candles_1m": _candles("1m"),
@@ -159,4 +167,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "every_interval": every_interval,
         "indicators_full_history": indicators_full_history,
         "signal_outcomes": signal_outcomes,
+        "signals_with_ticks": signals_with_ticks,
     }

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.candles import KEY, SEQUENCE
-from ..operators.signals import latest_signals
+from ..operators.signals import latest_signals, signals
 from ..sources.klines import KlineSource
 from ..sources.payloads import publish_payloads
 from ..staging import fresh_dir
+from ..streaming.alerts import AlertSink, read_alerts
 from ..streaming.polling import poll_signals
 from ..streaming.stateful import stream_signals
 from ..streaming.versions import read_shown, read_upserted, shown_at, upserted_at
@@ -46,15 +47,28 @@ def polled_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars come as a stream, some of them twice, and the earlier version after the later one; the last signal sent for each bar is read back.
 
-    A file of a batch holds a month of five-minute bars, 8,928 at most. What is too late to be judged (n_bars 0) replaces nothing."""
+    A batch holds a month of five-minute bars, 8,928 at most. What is too late to be judged (n_bars 0) replaces nothing."""
     table, folder = fresh_dir(spark, "bars"), fresh_dir(spark, "stream")
     for number in (1, 0):
-        _versions(spark, sf_dir, False, number).repartition(1).sortWithinPartitions("time").write.mode("append").parquet(table)
-    stream = spark.readStream.schema(spark.read.parquet(table).schema).option("maxFilesPerTrigger", 1).parquet(table)
-    query = stream_signals(stream).where("n_bars > 0").writeStream.foreachBatch(upserted_at(f"{folder}/signals")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+        rows = _versions(spark, sf_dir, False, number)
+        rows.write.mode("append").parquet(table)
+        stream = spark.readStream.schema(rows.schema).parquet(table)
+        writer = stream_signals(stream).where("n_bars > 0").writeStream.foreachBatch(upserted_at(f"{folder}/signals"))
+        writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return read_upserted(spark, f"{folder}/signals", [*KEY, "time"])
 
 
+def alerts_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signals at every bar come as a stream, each of them in two batches, and the outbox is read back: one alert for each signal."""
+    spark.dataSource.register(AlertSink)
+    table, folder = fresh_dir(spark, "signals"), fresh_dir(spark, "alerts")
+    made = signals(bars(spark, sf_dir, by_type=True))
+    for _ in range(2):
+        made.write.mode("append").parquet(table)
+        writer = spark.readStream.schema(made.schema).parquet(table).writeStream.format("alerts").option("path", f"{folder}/outbox")
+        writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return read_alerts(spark, f"{folder}/outbox")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"klines_source_latest": klines_source_latest, "polled_latest": polled_latest, "streamed_history": streamed_history}
+    return {"klines_source_latest": klines_source_latest, "polled_latest": polled_latest, "streamed_history": streamed_history, "alerts_sent": alerts_sent}

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from emberline.operators import outcomes
+from emberline.operators.asof import as_of
 from emberline.operators.candles import BAR, every_interval, from_ticks, merge_bars, newest_versions, partial_bars
 from emberline.operators.history import full_history
 from emberline.operators.outcomes import first_touches
@@ -140,3 +141,27 @@ def test_newest_versions(spark):
     rows = spark.createDataFrame([bar(1.8, 1), bar(1.5, 2), bar(1.9, None), bar(3.0, None, 1), bar(4.0, None, 1)], f"{BAR}, seq long")
     assert sorted(r["close"] for r in newest_versions(rows).collect()) == [1.5, 4.0]
     assert sorted(r["close"] for r in newest_versions(rows.drop("seq")).collect()) == [1.9, 4.0]
+
+
+@pytest.mark.parametrize("bucket, within", [(86_400, None), (600, None), (7, 500), (600, 90)])
+def test_as_of(spark, bucket, within):
+    rng = random.Random(5)
+    at = lambda s: START + timedelta(seconds=s)
+    names = ["A", "B", None, "left only"]
+    left = [(rng.choice(names), at(rng.randint(-500, 5000)) if rng.random() < 0.97 else None, i, "clash") for i in range(400)] + [("A", at(50), 1, "clash")] * 2
+    right = [(rng.choice([*names[:3], "right only"]), at(rng.randint(0, 4000) // 10 * 10) if rng.random() < 0.97 else None, rng.choice([None, 1, 2, 3]), rng.choice([None, 1.5, float("nan"), 2.5])) for _ in range(300)]
+    found = as_of(
+        spark.createDataFrame(left, "k string, time timestamp_ntz, place int, side string"), spark.createDataFrame(right, "k string, ts timestamp_ntz, seq int, x double"),
+        ["k"], "time", "ts", {"ts": "seen_at", "x": "seen", "seq": "seq"}, "seq", bucket, within,
+    )
+
+    def slow(k, time, *rest):
+        low = lambda v: (v is not None, v if v == v else float("inf")) if v is not None else (False, 0)
+        fit = [r for r in right if r[0] == k and time is not None and r[1] is not None and r[1] <= time]
+        best = max(fit, key=lambda r: (r[1], low(r[2]), low(r[3])), default=None)
+        if best is None or within is not None and (time - best[1]).total_seconds() > within:
+            return k, time, *rest, None, None, None
+        return k, time, *rest, best[1], best[3], best[2]
+
+    assert found.columns == ["k", "time", "place", "side", "seen_at", "seen", "seq"]
+    assert sorted(repr(tuple(r)) for r in found.collect()) == sorted(repr(slow(*r)) for r in left)

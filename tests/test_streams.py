@@ -11,6 +11,7 @@ from emberline.operators.candles import BAR
 from emberline.operators.signals import SIGNAL, signals
 from emberline.sources.klines import KlineSource
 from emberline.sources.payloads import publish_payloads
+from emberline.streaming.alerts import AlertSink, AlertWriter, alert_name, read_alerts
 from emberline.streaming.stateful import HELD, TrailingBars, stream_signals
 from emberline.streaming.versions import KEPT, Versions, read_shown, read_upserted, shown_at, upserted_at
 
@@ -213,3 +214,42 @@ def test_published_payloads_are_an_endpoint(spark, tmp_path):
     read = spark.read.format("klines").option("url", folder + "/{symbol}-{interval}.json").option("symbols", "A,B").option("intervals", "5m").option("numbered", "true").load()
     assert read.columns[-1] == "seq" and read.where(f"seq > {1000 * (time.time() - 3600)}").count() == 600
     assert read.drop("seq").exceptAll(spark.createDataFrame(rows, BAR)).count() == 0 and not math.isnan(read.agg(F.max("close")).first()[0])
+
+
+def test_alerts_go_out_once(spark, tmp_path):
+    row = lambda i, direction, symbol="A": (symbol, "5m", START + timedelta(minutes=5 * i), direction, 1.0, 0.5, 1.75, "1:1.5", 0.1)
+    schema = "symbol string, interval string, time timestamp_ntz, direction string, entry double, stop double, take double, rr string, atr double"
+    outbox, spark_rows = str(tmp_path / "out"), lambda *rows: spark.createDataFrame(rows, schema)
+    spark.dataSource.register(AlertSink)
+
+    def run(checkpoint, *rows):
+        spark_rows(*rows).coalesce(2).write.mode("append").parquet(str(tmp_path / checkpoint / "rows"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / checkpoint / "rows"))
+        query = stream.writeStream.format("alerts").option("path", outbox).option("checkpointLocation", str(tmp_path / checkpoint / "ck")).trigger(availableNow=True).start()
+        query.awaitTermination(60)
+
+    run("one", row(1, "BUY"), row(2, "NONE"), row(1, "BUY"), row(3, "SELL"))
+    run("one", row(3, "SELL"), row(4, "BUY"), row(4, "SELL"))
+    run("anew", row(1, "BUY"), row(1, "BUY", "a/b é"), row(1, "BUY", None))  # the stream begins again from nothing
+    sent = sorted(map(repr, ((r["symbol"], r["time"], r["direction"]) for r in read_alerts(spark, outbox).collect())))
+    at = lambda i: START + timedelta(minutes=5 * i)
+    assert sent == sorted(map(repr, [("A", at(1), "BUY"), ("A", at(3), "SELL"), ("A", at(4), "BUY"), ("A", at(4), "SELL"), ("a/b é", at(1), "BUY"), (None, at(1), "BUY")]))
+    assert not list((tmp_path / "out/_drafts").iterdir())
+
+
+def test_aborted_and_repeated_batches_of_alerts(tmp_path):
+    from pyspark.sql import Row
+
+    writer = AlertWriter(str(tmp_path / "out"))
+    rows = [Row(symbol="A", interval="5m", time=START, direction=d, entry=1.0, stop=1.0, take=1.0, rr="-") for d in ("BUY", "NONE", "SELL")]
+    files = lambda: sorted(p.name for p in (tmp_path / "out").glob("*.json"))
+    failed = writer.write(iter(rows))
+    writer.abort([failed, None], 0)
+    assert files() == [] and not list((tmp_path / "out/_drafts").iterdir())
+    first, again = writer.write(iter(rows)), writer.write(iter(rows))
+    writer.commit([first], 0)
+    sent = {name: (tmp_path / "out" / name).stat().st_mtime_ns for name in files()}
+    writer.commit([first], 0)
+    writer.commit([again, None], 0)
+    assert len(sent) == 2 and sent == {name: (tmp_path / "out" / name).stat().st_mtime_ns for name in files()} and not list((tmp_path / "out/_drafts").iterdir())
+    assert alert_name(rows[0].asDict()) in sent and alert_name({"symbol": "a-b", "interval": "", "time": 1, "direction": "x"}) != alert_name({"symbol": "a", "interval": "b-", "time": 1, "direction": "x"})
