@@ -29,6 +29,8 @@ from .token_encoding import encoder
 
 MAGIC = b"EFTOKEN1"
 SAMPLE = 256
+#: Documents and ids of a shard at most, about; a task goes on with another shard. Values whose low bits are packed at once.
+SHARD_DOCS, SHARD_IDS, PACKED = 1 << 20, 1 << 30, 1 << 16
 #: Documents that one read task takes at a time, and ids read at once.
 READ_DOCS, READ_IDS = 20_000, 1 << 22
 
@@ -46,10 +48,9 @@ class EliasFano:
         if not n:
             return cls(0, 0, np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.uint64))
         low_bits = max(0, int(int(values[-1]) // n).bit_length() - 1)
-        planes = np.zeros((n, low_bits), np.uint8)
-        for bit in range(low_bits):
-            planes[:, bit] = (values >> np.uint64(bit)) & np.uint64(1)
-        low = np.packbits(planes.ravel(), bitorder="little")
+        shifts = np.arange(low_bits, dtype=np.uint64)
+        packed = [np.packbits(((values[at : at + PACKED, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") for at in range(0, n, PACKED)]
+        low = np.concatenate(packed)
         ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(ones[-1]) + 1, np.uint8)
         bits[ones] = 1
@@ -87,23 +88,26 @@ class ShardWriter:
         self.kind = "<u4" if wide else "<u2"
         self.out = self.fs.open_output_stream(f"{root}/{self.name}")
         self.out.write(MAGIC)
-        self.lengths: list[int] = []
-        self.doc_ids: list[int] = []
-        self.nulls = 0
+        self.lengths: list[np.ndarray] = []
+        self.doc_ids: list[np.ndarray] = []
+        self.docs = self.ids = self.nulls = 0
 
-    def add(self, doc_ids: list[int | None], ids: np.ndarray, bounds: np.ndarray) -> None:
-        """Documents in a row: the ids of number i are ids[bounds[i] : bounds[i + 1]]."""
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> None:
+        """Documents in a row, null ids first: the ids of number i are ids[bounds[i] : bounds[i + 1]]."""
         self.out.write(ids.astype(self.kind).tobytes())
-        self.lengths += np.diff(bounds).tolist()
-        self.nulls += doc_ids.count(None)
-        self.doc_ids += [d for d in doc_ids if d is not None]
+        self.lengths.append(np.diff(bounds))
+        self.doc_ids.append(doc_ids.drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
+        self.docs += len(doc_ids)
+        self.ids += len(ids)
+        self.nulls += doc_ids.null_count
 
     def close(self) -> dict:
-        bounds = EliasFano.encode(np.concatenate([[0], np.cumsum(self.lengths, dtype=np.uint64)]))
-        base = self.doc_ids[0] if self.doc_ids else 0
-        keys = EliasFano.encode(np.array([d - base for d in self.doc_ids], dtype=np.uint64))
-        footer = {"kind": self.kind, "docs": len(self.lengths), "nulls": self.nulls, "base": base, "sections": []}
-        at = len(MAGIC) + int(sum(self.lengths)) * np.dtype(self.kind).itemsize
+        lengths, doc_ids = np.concatenate(self.lengths), np.concatenate(self.doc_ids)
+        bounds = EliasFano.encode(np.concatenate([np.zeros(1, np.uint64), np.cumsum(lengths, dtype=np.uint64)]))
+        base = int(doc_ids[0]) if len(doc_ids) else 0
+        keys = EliasFano.encode(doc_ids.astype(np.uint64) - np.uint64(base % (1 << 64)))
+        footer = {"kind": self.kind, "docs": self.docs, "nulls": self.nulls, "base": base, "sections": []}
+        at = len(MAGIC) + self.ids * np.dtype(self.kind).itemsize
         for sequence in (bounds, keys):
             entry = {"n": sequence.n, "low_bits": sequence.low_bits, "parts": []}
             for part in sequence.parts():
@@ -114,7 +118,7 @@ class ShardWriter:
         raw = json.dumps(footer).encode()
         self.out.write(raw + struct.pack("<I", len(raw)) + MAGIC)
         self.out.close()
-        return {"file": self.name, "docs": len(self.lengths), "tokens": int(sum(self.lengths))}
+        return {"file": self.name, "docs": self.docs, "tokens": self.ids}
 
 
 class ShardReader:
@@ -149,14 +153,14 @@ class ShardReader:
         self.file.close()
 
 
-MANIFEST = "part int, file string, docs long, tokens long"
+MANIFEST = "part long, file string, docs long, tokens long"
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, shard_docs: int = SHARD_DOCS, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode every document and write shards in ascending doc_id order; returns the shards' table.
 
     Null texts count as empty (they hold the end id alone), null doc_ids come first, rows that repeat
-    a doc_id follow each other in one shard, an empty table gives no shard. Further columns are ignored. The
+    a doc_id follow each other, an empty table gives no shard. A shard is closed once it has `shard_docs` documents or `shard_ids` ids. Further columns are ignored. The
     table has a row per shard: part (its place in the order), file, docs, tokens, start (ids before it).
     """
     folder = folder or fresh_dir(docs.sparkSession, "tokens")
@@ -165,20 +169,25 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
         from pyspark import TaskContext
 
         code = encoder(tokenizer)
-        writer = None
+        wide, part, writer = max(code.size, end_id + 1) > 1 << 16, TaskContext.get().partitionId() << 32, None
         for batch in batches:
-            if batch.num_rows and writer is None:
-                writer = ShardWriter(folder, max(code.size, end_id + 1) > 1 << 16)
-            doc_ids, at = batch["doc_id"].to_pylist(), 0
+            at = 0
             for ids, bounds in code.encode(batch["text"], end_id):
-                writer.add(doc_ids[at : at + len(bounds) - 1], ids, bounds)
+                writer = writer or ShardWriter(folder, wide)
+                writer.add(batch["doc_id"].slice(at, len(bounds) - 1), ids, bounds)
                 at += len(bounds) - 1
+                if writer.docs >= shard_docs or writer.ids >= shard_ids:
+                    yield row(part, writer)
+                    part, writer = part + 1, None
         if writer is not None:
-            made = writer.close()
-            yield pa.RecordBatch.from_pylist(
-                [{"part": TaskContext.get().partitionId(), "file": f"{folder.rstrip('/')}/{made['file']}", "docs": made["docs"], "tokens": made["tokens"]}],
-                schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]),
-            )
+            yield row(part, writer)
+
+    def row(part: int, writer: ShardWriter) -> pa.RecordBatch:
+        made = writer.close()
+        return pa.RecordBatch.from_pylist(
+            [{"part": part, "file": f"{folder.rstrip('/')}/{made['file']}", "docs": made["docs"], "tokens": made["tokens"]}],
+            schema=pa.schema([("part", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]),
+        )
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     shards = staged(ordered.mapInArrow(lean(shard, "encoders"), MANIFEST), "token-manifest")

@@ -54,8 +54,9 @@ def test_elias_fano(gaps, data):
         assert sum(map(len, coded.parts())) < 4 * len(values)
 
 
-def test_token_files(documents, no_documents, rows_of, tmp_path):
-    shards = write_token_files(documents, PATH, 2, str(tmp_path / "out"))
+@pytest.mark.parametrize("limits", [{}, {"shard_docs": 1}, {"shard_ids": 500}])
+def test_token_files(documents, no_documents, rows_of, tmp_path, limits):
+    shards = write_token_files(documents, PATH, 2, str(tmp_path / "out"), **limits)
     found = sorted(read_token_files(shards).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in found] == sorted((d for d, _ in rows_of), key=lambda d: (d is not None, d))
     assert [r["start"] for r in found] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in found])[:-1]]).tolist()
@@ -64,6 +65,24 @@ def test_token_files(documents, no_documents, rows_of, tmp_path):
     assert read_token_files(write_token_files(no_documents, PATH, 2, str(tmp_path / "none"))).count() == 0
 
 
+def test_a_task_goes_on_with_another_shard(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_encoding, "SLICE_BYTES", 2000)
+    docs = spark.createDataFrame([(None if i < 3 else i - 500, f"some words of number {i} " * (i % 9)) for i in range(2000)], "doc_id long, text string").coalesce(1)
+    # A slice of texts is what a shard grows by, and 1,000 rows a batch.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        shards = write_token_files(docs, PATH, 2, str(tmp_path / "out"), shard_docs=150)
+        rows = shards.orderBy("part").collect()
+        tasks = {r["part"] >> 32 for r in rows}
+        assert len(rows) > len(tasks) and sum(r["docs"] for r in rows) == 2000
+        assert [r["start"] for r in rows] == np.concatenate([[0], np.cumsum([r["tokens"] for r in rows])[:-1]]).tolist()
+        found = sorted(read_token_files(shards).collect(), key=lambda r: r["start"])
+        assert [r["doc_id"] for r in found] == [None] * 3 + list(range(-497, 1500))
+        assert [r["start"] for r in found] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in found])[:-1]]).tolist()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def check_packing(rows, capacity):
     by = {}
     for r in rows:
