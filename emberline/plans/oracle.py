@@ -136,6 +136,7 @@ def oracle_sql() -> dict[str, str]:
         "signals_with_ticks": f"""{_history('5m', _BY_TYPE)}, ticks AS (SELECT event_type AS symbol, ts, max(event_id) AS event_id, max_by(value, event_id) AS value FROM events GROUP BY ALL)
             SELECT {_KEYS.replace('symbol', 'j.symbol')}, direction, CASE WHEN fresh THEN ts END AS tick_time, CASE WHEN fresh THEN event_id END AS tick_id, CASE WHEN fresh THEN value END AS tick_value
             FROM (SELECT j.*, t.ts, t.event_id, t.value, t.ts >= j.time - INTERVAL 1 HOUR AS fresh FROM judged j ASOF LEFT JOIN ticks t ON t.symbol = j.symbol AND t.ts <= j.time) j""",
+        "indicators_by_sql": f"{_history('5m', _BY_TYPE)} SELECT {_KEYS}, ema9, ema21, prev_ema9, prev_ema21, rsi, atr, avg_vol, n_bars FROM judged",
         "alerts_sent": f"{_history('5m', _BY_TYPE)} SELECT {_KEYS}, direction, entry, stop, take, rr FROM judged WHERE direction <> 'NONE'",
         **dict.fromkeys(("klines_source_latest", "polled_latest"), _latest()),
         "streamed_history": f"{_history()} SELECT {_SIGNAL} FROM judged",

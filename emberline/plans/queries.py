@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import indicators as ind
+from ..functions import table
 from ..operators import candles, chart
 from ..operators.asof import as_of
 from ..operators.history import full_history
@@ -138,6 +139,13 @@ def signals_with_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_of(rows, ticks, ["symbol"], "time", "ts", {"ts": "tick_time", "event_id": "tick_id", "value": "tick_value"}, "event_id", within_seconds=3600)
 
 
+def indicators_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function over every event type's bars."""
+    table.register(spark)
+    bars(spark, sf_dir, by_type=True).createOrReplaceTempView("candle_bars")
+    return spark.sql("SELECT symbol, interval, time, ema9, ema21, prev_ema9, prev_ema21, rsi, atr, avg_vol, n_bars FROM candle_indicators(TABLE(candle_bars))")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "candles_1m": _candles("1m"),
@@ -168,4 +176,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "indicators_full_history": indicators_full_history,
         "signal_outcomes": signal_outcomes,
         "signals_with_ticks": signals_with_ticks,
+        "indicators_by_sql": indicators_by_sql,
     }
