@@ -110,14 +110,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 0, counts: tuple[str, str] = (
     replaced, others stay as they are, whatever their names. Only documents that lose lines, and few others, are shuffled.
     """
     kept = [c for c in docs.columns if c not in counts]
-    # What may recur is cut once, with its bytes; all else of the corpus was but hashed.
-    chunks = staged(may_hold(_occurrences(docs, min_chars, True), _recurring(docs, min_chars), "hash"), "recurring-occurrences")
-    agreed, clashing = repeated_chunks(chunks)
+    cells = _recurring(docs, min_chars)
+    # The bytes are cut and combined once; written out they would take more than the corpus where lines recur, so the places are hashed again.
+    with_bytes, chunks = (may_hold(_occurrences(docs, min_chars, with_text), cells, "hash") for with_text in (True, False))
+    agreed, clashing = repeated_chunks(with_bytes)
     places = ["doc_id", "text_hash", "first", "n"]
     other = ~_place().eqNullSafe(F.col("keeper"))
     removed = chunks.join(agreed, "hash").where(other).select(*places)
     if not clashing.isEmpty():
-        removed = removed.unionByName(chunks.join(clashing, ["hash", "chunk"]).where(other).select(*places))
+        removed = removed.unionByName(with_bytes.join(clashing, ["hash", "chunk"]).where(other).select(*places))
     per_doc = removed.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "n")).alias("gone"))
     gone_id, gone_hash, spans, own, lines, gone, stays, solid = unused(docs.columns, "gone_id", "gone_hash", "spans", "own_hash", "lines", "gone", "stays", "solid")
     found = staged(per_doc.select("doc_id", "text_hash", "gone").toDF(gone_id, gone_hash, spans), "removed-chunks")
