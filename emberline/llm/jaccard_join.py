@@ -379,7 +379,7 @@ def _labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
     members = rows.where("n >= 0").select("doc_id", F.col("v").alias("set"), "n", F.col("aux").alias("text_hash"), "bits")
     # Keys are counted before any of their rows moves, so a key that a third of all sets have is summed up where it stands.
     every = rows.where("n < 0").select(F.col("k").alias("key"), F.col("v").alias("set"), F.col("n").alias("tile"), F.col("aux").alias("need"))
-    often = hash_filter(every.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "key", "shared-keys")
+    often = hash_filter(every.groupBy("key").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high"), "key", "shared-keys")
     keys = _shared(may_hold(every, often, "key").distinct())
     shared = _rarest(_live(_live(keys)))
 
