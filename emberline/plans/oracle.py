@@ -137,6 +137,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT {_KEYS.replace('symbol', 'j.symbol')}, direction, CASE WHEN fresh THEN ts END AS tick_time, CASE WHEN fresh THEN event_id END AS tick_id, CASE WHEN fresh THEN value END AS tick_value
             FROM (SELECT j.*, t.ts, t.event_id, t.value, t.ts >= j.time - INTERVAL 1 HOUR AS fresh FROM judged j ASOF LEFT JOIN ticks t ON t.symbol = j.symbol AND t.ts <= j.time) j""",
         "indicators_by_sql": f"{_history('5m', _BY_TYPE)} SELECT {_KEYS}, ema9, ema21, prev_ema9, prev_ema21, rsi, atr, avg_vol, n_bars FROM judged",
+        "filled_bars": f"""WITH bars AS ({_bars('5m', _BY_TYPE)}), s AS (SELECT *, lead(time) OVER (PARTITION BY symbol, interval ORDER BY time) AS until FROM bars),
+            g AS (SELECT symbol, interval, unnest(range(time + INTERVAL 5 MINUTE, until, INTERVAL 5 MINUTE)) AS time, close FROM s WHERE until IS NOT NULL)
+            SELECT {_BAR}, true AS traded FROM bars UNION ALL SELECT {_KEYS}, close, close, close, close, 0::DOUBLE, false FROM g""",
+        "bar_gaps": f"""WITH bars AS ({_bars('5m', _BY_TYPE)}), s AS (SELECT *, lead(time) OVER (PARTITION BY symbol, interval ORDER BY time) AS until FROM bars)
+            SELECT symbol, interval, time AS after, until, (date_diff('minute', time, until) // 5 - 1)::BIGINT AS missing FROM s WHERE until > time + INTERVAL 5 MINUTE""",
+        "trading_sessions": f"""WITH bars AS ({_bars('5m', _BY_TYPE)}),
+            l AS (SELECT *, coalesce(time > lag(time) OVER s + INTERVAL 30 MINUTE, true)::INTEGER AS begins FROM bars WINDOW s AS (PARTITION BY symbol, interval ORDER BY time)),
+            n AS (SELECT *, sum(begins) OVER (PARTITION BY symbol, interval ORDER BY time) AS k FROM l)
+            SELECT symbol, interval, min(time) AS time, max(time) AS last_time, arg_min(open, time) AS open, max(high) AS high, min(low) AS low, arg_max(close, time) AS close, sum(volume) AS volume,
+                count(*) AS n_bars FROM n GROUP BY symbol, interval, k""",
         "alerts_sent": f"{_history('5m', _BY_TYPE)} SELECT {_KEYS}, direction, entry, stop, take, rr FROM judged WHERE direction <> 'NONE'",
         **dict.fromkeys(("klines_source_latest", "polled_latest"), _latest()),
         "streamed_history": f"{_history()} SELECT {_SIGNAL} FROM judged",

@@ -11,6 +11,7 @@ from ..functions import indicators as ind
 from ..functions import table
 from ..operators import candles, chart
 from ..operators.asof import as_of
+from ..operators.gaps import filled, gaps, sessions
 from ..operators.history import full_history
 from ..operators.outcomes import first_touches
 from ..operators.signals import cross_down, cross_up, latest_signals, signals, spike
@@ -177,4 +178,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "signal_outcomes": signal_outcomes,
         "signals_with_ticks": signals_with_ticks,
         "indicators_by_sql": indicators_by_sql,
+        "filled_bars": lambda spark, sf_dir: filled(bars(spark, sf_dir, by_type=True)),
+        "bar_gaps": lambda spark, sf_dir: gaps(bars(spark, sf_dir, by_type=True)),
+        "trading_sessions": lambda spark, sf_dir: sessions(bars(spark, sf_dir, by_type=True), "30 minutes"),
     }
