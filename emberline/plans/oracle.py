@@ -4,6 +4,9 @@ from __future__ import annotations
 
 _BUCKETS = {"1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes", "1h": "1 hour"}
 _KEYS = "symbol, interval, time"
+#: Bins of quantile sketches with a relative error of 0.01.
+_GAMMA = "(1.01::DOUBLE / 0.99::DOUBLE)"
+_LOG = f"ln({_GAMMA})"
 _BAR = f"{_KEYS}, open, high, low, close, volume"
 
 
@@ -147,6 +150,11 @@ def oracle_sql() -> dict[str, str]:
             n AS (SELECT *, sum(begins) OVER (PARTITION BY symbol, interval ORDER BY time) AS k FROM l)
             SELECT symbol, interval, min(time) AS time, max(time) AS last_time, arg_min(open, time) AS open, max(high) AS high, min(low) AS low, arg_max(close, time) AS close, sum(volume) AS volume,
                 count(*) AS n_bars FROM n GROUP BY symbol, interval, k""",
+        "volume_quantile_spikes": f"""WITH bars AS ({_bars('1h', _BY_TYPE)}), d AS (SELECT DISTINCT symbol, interval, time::DATE AS day FROM bars),
+            v AS (SELECT d.*, list(b.volume ORDER BY b.volume) AS l FROM d JOIN bars b ON b.symbol = d.symbol AND b.interval = d.interval AND b.time::DATE BETWEEN d.day - 7 AND d.day - 1 GROUP BY ALL),
+            q AS (SELECT symbol, interval, day, len(l) AS n_values, ceil(ln(l[floor(0.95::DOUBLE * (len(l) - 1))::BIGINT + 1]) / {_LOG}) AS bin FROM v)
+            SELECT b.symbol, b.interval, b.time, volume, round(pow({_GAMMA}, bin) * 2 / (1 + {_GAMMA}), 6) AS baseline, n_values, coalesce(ceil(ln(volume) / {_LOG}) > bin, false) AS spike
+            FROM bars b LEFT JOIN q ON q.symbol = b.symbol AND q.interval = b.interval AND q.day = b.time::DATE""",
         "alerts_sent": f"{_history('5m', _BY_TYPE)} SELECT {_KEYS}, direction, entry, stop, take, rr FROM judged WHERE direction <> 'NONE'",
         **dict.fromkeys(("klines_source_latest", "polled_latest"), _latest()),
         "streamed_history": f"{_history()} SELECT {_SIGNAL} FROM judged",

@@ -15,6 +15,7 @@ from ..operators.gaps import filled, gaps, sessions
 from ..operators.history import full_history
 from ..operators.outcomes import first_touches
 from ..operators.signals import cross_down, cross_up, latest_signals, signals, spike
+from ..operators.sketches import quantile_spikes
 from ..operators.snapshots import with_indicators, with_previous
 from ..sources.payloads import from_payloads
 from ..staging import staged
@@ -147,6 +148,12 @@ def indicators_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT symbol, interval, time, ema9, ema21, prev_ema9, prev_ema21, rsi, atr, avg_vol, n_bars FROM candle_indicators(TABLE(candle_bars))")
 
 
+def volume_quantile_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hour of every event type against the 0.95 quantile of the hours of the seven days before, from daily sketches."""
+    rows = quantile_spikes(staged(bars(spark, sf_dir, "1h", by_type=True), "bars"))
+    return rows.select(*_KEYS, "volume", F.round("baseline", 6).alias("baseline"), "n_values", "spike")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "candles_1m": _candles("1m"),
@@ -181,4 +188,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "filled_bars": lambda spark, sf_dir: filled(bars(spark, sf_dir, by_type=True)),
         "bar_gaps": lambda spark, sf_dir: gaps(bars(spark, sf_dir, by_type=True)),
         "trading_sessions": lambda spark, sf_dir: sessions(bars(spark, sf_dir, by_type=True), "30 minutes"),
+        "volume_quantile_spikes": volume_quantile_spikes,
     }
