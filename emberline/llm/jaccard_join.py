@@ -12,7 +12,7 @@ passage that many documents share brings them together only where it fills most
 Of the sets that are left, shingles that stand in one set alone bound the overlap with any other from above, which
 parts copies that were edited too much from each other without comparing them.
 
-Pairs are compared where they can still join components: in each of a few rounds every set with one of the best connected
+Pairs are compared where they can still join components: first every set with one of the best connected
 sets of its segments, then the rest across components. Bitmaps as wide as
 the sets are large bound the overlap from above, and only pairs that they leave are compared by their sorted shingle arrays.
 """
@@ -30,17 +30,17 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .memory import lean
-from .shared import hash_filter, may_hold, staged, unused
+from .shared import hash_filter, may_hold, partitions, staged, unused
 from .words import hashed_words
 
 #: Segments beyond D + 1, as a share.
 SLACK = 0.2
-#: Bits of a bitmap for each shingle, and in all at least; members compared with one leader in one task, about.
-DENSITY, LEAST_BITS, MEMBERS = 3, 1024, 64
+#: Buckets of hashes, two to this power at least; hashes that a task gathers before it deals them to buckets.
+BUCKETS, CHUNK = 12, 1_000_000
+#: Bits of a bitmap for each shingle, and in all at least; groups that a leader's members are dealt to, at most.
+DENSITY, LEAST_BITS, GROUPS = 3, 1024, 256
 #: 64-bit words of the small bitmap that tiles compare, those of the least one; sets of a segment that meet in one tile, about, or with those of another.
 FOLDED, TILE = LEAST_BITS // 64, 2048
-#: Rounds in which each set is compared with one leader, before the pairs that are left.
-ROUNDS = 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(31)
 
@@ -159,24 +159,19 @@ class Join:
         return np.concatenate(keys), np.concatenate([np.zeros(0, np.int32), *tiles]), np.concatenate([np.zeros(0, np.int64), *needs])
 
 
-_ROWS = "k long, v long, n int, aux long, doc_id long, bits binary"
+_ROWS = "doc_id long, set long, n int, text_hash long, bits binary, even int, odd int, keys binary"
 
 
 def _rows(docs: DataFrame, join: Join) -> DataFrame:
-    """Member rows (k any, v set, n its size, aux text hash, doc_id, bits) and key rows (k segment key, v set, n -1 - tile, aux need).
-
-    A set's bits and keys are sent once per task, so copies don't crowd a key. A member's k only spreads it.
-    """
+    """Per document its set's hash (null without shingles), n its size, the text's hash, and for the first document of a set in a
+    task the set's bits, its needs in the even and in the odd tile, and its keys, whose last bit tells which of the two."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         sent: set[int] = set()
-        row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                sets, sizes, bits, owners, parts = [], [], [], [], []
+                sets, sizes, bits, keys, needs = [], [], [], [], ([], [])
                 for hashes in shingle_sets(some["text"], join.size):
                     own = _signed(xxhash.xxh3_64_intdigest(hashes.tobytes())) if len(hashes) else None
                     sets.append(own)
@@ -185,35 +180,111 @@ def _rows(docs: DataFrame, join: Join) -> DataFrame:
                     bits.append(bitmap(hashes) if new else None)
                     if new:
                         sent.add(own)
-                        parts.append(join.segment_keys(hashes))
-                        owners.append(np.full(len(parts[-1][0]), own, np.int64))
-                places = _mix(np.arange(row, row + len(some), dtype=np.uint64))
-                row += len(some)
-                n = sum(map(len, owners))
-                keys, tiles, needs = (np.concatenate([np.zeros(0, kind), *(p[i] for p in parts)]) for i, kind in enumerate((np.uint64, np.int32, np.int64)))
+                        key, tile, need = join.segment_keys(hashes)
+                        odd = (tile & 1).astype(np.uint64)
+                        keys.append((key & ~np.uint64(1) | odd).tobytes())
+                    else:
+                        keys.append(None)
+                    for side in (0, 1):
+                        needs[side].append(int(need[odd == side].max(initial=0)) if new else None)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([places, keys]).view(np.int64)),
-                        pa.concat_arrays([pa.array(sets, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *owners]))]),
-                        pa.concat_arrays([pa.array(sizes, pa.int32()), pa.array(-1 - tiles)]),
-                        pa.concat_arrays([some["text_hash"], pa.array(needs)]),
-                        pa.concat_arrays([some["doc_id"].cast(pa.int64()), pa.nulls(n, pa.int64())]),
-                        pa.concat_arrays([pa.array(bits, pa.binary()), pa.nulls(n, pa.binary())]),
-                    ],
-                    names=["k", "v", "n", "aux", "doc_id", "bits"],
+                    [some["doc_id"].cast(pa.int64()), pa.array(sets, pa.int64()), pa.array(sizes, pa.int32()), some["text_hash"], pa.array(bits, pa.binary()), *(pa.array(x, pa.int32()) for x in needs), pa.array(keys, pa.binary())],
+                    names=["doc_id", "set", "n", "text_hash", "bits", "even", "odd", "keys"],
                 )
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(lean(make), _ROWS)
 
 
+def _packed(df: DataFrame, read: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """(bucket, pack), the rows of a bucket together: hashes and the sets that hold them, as `read` finds them in a batch.
+
+    A bucket is the first bits of its hashes. A pack has many pairs in 12 bytes each: the sets, then the last 32 bits of the hashes.
+    """
+    power = max(BUCKETS, (4 * partitions(df.sparkSession)).bit_length())
+
+    def deal(some: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        hashes, sets = (np.concatenate(x) for x in zip(*some))
+        bucket = hashes >> np.uint64(64 - power)
+        order = np.argsort(bucket.astype(np.uint16) if power <= 16 else bucket, kind="stable")
+        bucket, last, sets = bucket[order].astype(np.int64), hashes[order].astype(np.uint32), sets[order]
+        begins = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+        packs = [sets[b:e].tobytes() + last[b:e].tobytes() for b, e in zip(begins, [*begins[1:], len(bucket)])]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[begins]), pa.array(packs, pa.binary())], names=["bucket", "pack"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, held = [], 0
+        for batch in batches:
+            for hashes, sets in read(batch):
+                waiting.append((hashes, sets))
+                held += len(hashes)
+                if held >= CHUNK:
+                    yield deal(waiting)
+                    waiting, held = [], 0
+        if held:
+            yield deal(waiting)
+
+    return df.mapInArrow(lean(pack), "bucket long, pack binary").repartition("bucket").sortWithinPartitions("bucket")
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(bucket, hashes, sets) of each bucket whole, the hashes by their last 32 bits and in their order."""
+    now, packs = None, []
+
+    def whole() -> tuple[int, np.ndarray, np.ndarray]:
+        sizes = [len(x) // 12 for x in packs]
+        last = np.concatenate([np.frombuffer(x, np.uint32, n, 8 * n) for x, n in zip(packs, sizes)])
+        sets = np.concatenate([np.frombuffer(x, np.int64, n) for x, n in zip(packs, sizes)])
+        order = np.argsort(last)
+        return now, last[order], sets[order]
+
+    for batch in batches:
+        for bucket, pack in zip(batch["bucket"].to_pylist(), batch["pack"].to_pylist()):
+            if bucket != now:
+                if packs:
+                    yield whole()
+                now, packs = bucket, []
+            packs.append(pack)
+    if packs:
+        yield whole()
+
+
+def _several(last: np.ndarray) -> np.ndarray:
+    """Which of the sorted hashes stand there more than once."""
+    same = last[1:] == last[:-1]
+    return np.append(same, False) | np.append(False, same)
+
+
+def _recurring(rows: DataFrame) -> DataFrame:
+    """(key, set, sharing) of the keys that several sets have; keys that agree in what is left of them count as one."""
+
+    def read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for own, keys in zip(batch["set"].to_pylist(), batch["keys"].to_pylist()):
+            found = np.frombuffer(keys, np.uint64)
+            yield found, np.full(len(found), own, np.int64)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, last, sets in _buckets(batches):
+            some = _several(last)
+            last, sets = last[some], sets[some]
+            order = np.lexsort((sets, last))
+            last, sets = last[order], sets[order]
+            new = np.append(True, (last[1:] != last[:-1]) | (sets[1:] != sets[:-1]))[: len(last)]  # copies in several tasks send a set's keys more than once
+            last, sets = last[new], sets[new]
+            _, group, sharing = np.unique(last, return_inverse=True, return_counts=True)
+            sharing = sharing[group]
+            for at in range(0, len(last), 100_000):
+                part = [x[at : at + 100_000][sharing[at : at + 100_000] > 1] for x in (last, sets, sharing)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[0].astype(np.int64) | bucket << 32), pa.array(part[1]), pa.array(part[2])], names=["key", "set", "sharing"])
+
+    return _packed(rows.where("keys IS NOT NULL").select("set", "keys"), read).mapInArrow(lean(meet), "key long, set long, sharing long")
+
+
 def _compared(pairs: DataFrame, data: DataFrame, read: Callable[[pa.Array], Iterator], test: Callable[..., bool]) -> DataFrame:
     """The pairs (u member, v leader) that pass the test of their sets' data (set, data).
 
-    A leader's members are dealt to groups of about MEMBERS; a task meets the leader's data first and then one member at a time.
+    A leader's members are dealt to GROUPS at most; a task meets the leader's data first and then one member at a time.
     """
-    hot = staged(pairs.groupBy("v").agg(F.ceil(F.count("*") / MEMBERS).alias("groups")).where("groups > 1"), "hot-leaders")
-    salt = F.coalesce(F.pmod(F.xxhash64("u"), F.col("groups")), F.lit(0)).cast("int").alias("salt")
-    groups = staged(pairs.select("u", "v").join(hot, "v", "left").select("u", "v", salt), "pairs")
+    groups = pairs.select("u", "v", F.pmod(F.xxhash64("u"), F.lit(GROUPS)).cast("int").alias("salt"))
     members = groups.join(data.withColumnRenamed("set", "u"), "u").select("v", "salt", F.col("u").alias("member"), "data")
     leaders = groups.select("v", "salt").distinct().join(data.withColumnRenamed("set", "v"), "v").select("v", "salt", F.lit(None).cast("long").alias("member"), "data")
 
@@ -243,6 +314,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     return _compared(pairs, texts.select("set", F.col("text").alias("data")), lambda column: shingle_sets(column, join.size), join.links)
 
 
+def _linked(pairs: DataFrame, facts: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
+    """The pairs that link, compared by size and bitmap before their texts move."""
+    return staged(_verified(staged(_bounded(pairs, facts, join), "bounded-pairs"), texts, join), "links")
+
+
 def _texts_of(docs: DataFrame, facts: DataFrame) -> DataFrame:
     """(set, text) of the sets, by one document of each; a hash filter spares the shuffle most other texts."""
     wanted = staged(facts.select("set", "doc_id", "text_hash"), "wanted-texts")
@@ -255,16 +331,16 @@ def _texts_of(docs: DataFrame, facts: DataFrame) -> DataFrame:
 def _known(facts: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     """The sets with s, how many of their shingles other sets hold too; without those that this alone keeps from every link."""
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                found = list(shingle_sets(some["text"], join.size))
-                owners = np.repeat(some["set"].to_numpy(), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)), pa.array(owners)], names=["shingle", "set"])
+    def read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for own, found in zip(batch["set"].to_pylist(), shingle_sets(batch["text"], join.size)):
+            yield found, np.full(len(found), own, np.int64)
 
-    held = texts.mapInArrow(lean(spread), "shingle long, set long").groupBy("shingle").agg(F.count("*").alias("times"), F.min("set").alias("set"))
-    alone = staged(held.where("times = 1").groupBy("set").agg(F.count("*").alias("alone")), "own-shingles")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, last, sets in _buckets(batches):
+            own, times = np.unique(sets[~_several(last)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(times)], names=["set", "times"])
+
+    alone = staged(_packed(texts, read).mapInArrow(lean(count), "set long, times long").groupBy("set").agg(F.sum("times").alias("alone")), "own-shingles")
     counted = facts.join(alone, "set", "left").withColumn("s", (F.col("n") - F.coalesce("alone", F.lit(0))).cast("int")).drop("alone")
     return staged(counted.where(F.col("s") * F.lit(100).cast("long") >= join.percent * F.col("n")), "known-sets")
 
@@ -354,74 +430,52 @@ def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return _labelled(docs, size, percent).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _live(keys: DataFrame) -> DataFrame:
-    """The rows (key, set, tile, need) of sets that share enough keys in a tile, and of these the keys that two sets have, with `sharing`."""
-    enough = keys.groupBy("set", "tile").agg(F.count("*").alias("n"), F.max("need").alias("need"), F.min("need").alias("least")).where("least = 0 OR n >= need").select("set", "tile")
-    return _shared(keys.drop("sharing").join(staged(enough, "live-sets"), ["set", "tile"], "left_semi"))
-
-
-def _shared(keys: DataFrame) -> DataFrame:
-    counts = keys.groupBy("key").agg(F.count("*").alias("sharing")).where("sharing > 1")
-    return staged(keys.join(staged(counts, "live-keys"), "key"), "live-segments")
+def _rarest(keys: DataFrame, needs: DataFrame) -> DataFrame:
+    """The rows (key, set) that the rarest key in common of two linked sets can be in, of rows (key, set, sharing).
 
-
-def _rarest(keys: DataFrame) -> DataFrame:
-    """The rows that the rarest key in common of two linked sets can be in."""
-    own = Window.partitionBy("set", "tile")
-    ranked = keys.withColumn("place", F.row_number().over(own.orderBy("sharing", "key"))).withColumn("n", F.count("*").over(own)).withColumn("least", F.min("need").over(own))
-    return _shared(ranked.where("least = 0 OR place <= n - need + 1").select("key", "set", "tile", "need"))
+    None of a set that shares fewer keys in a tile than its need, and the others' rarest that suffice; in no order of the keys may
+    the first one in common of two sets come later.
+    """
+    own = Window.partitionBy("set", "side")
+    sided = keys.join(needs, "set").withColumn("side", F.col("key").bitwiseAND(F.lit(1))).withColumn("need", F.expr("if(side = 0, even, odd)"))
+    ranked = sided.withColumn("place", F.row_number().over(own.orderBy("sharing", "key"))).withColumn("n", F.count("*").over(own))
+    return ranked.where("need = 0 OR n >= need AND place <= n - need + 1").select("key", "set")
 
 
 def _labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Per row of `docs`: doc_id, text_hash, n its shingles, c its component (null without shingles) and component_id, the least doc_id there."""
     join = Join(size, percent)
     rows = staged(_rows(docs, join), "segments")
-    members = rows.where("n >= 0").select("doc_id", F.col("v").alias("set"), "n", F.col("aux").alias("text_hash"), "bits")
-    # Keys are counted before any of their rows moves, so a key that a third of all sets have is summed up where it stands.
-    every = rows.where("n < 0").select(F.col("k").alias("key"), F.col("v").alias("set"), F.col("n").alias("tile"), F.col("aux").alias("need"))
-    often = hash_filter(every.groupBy("key").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high"), "key", "shared-keys")
-    keys = _shared(may_hold(every, often, "key").distinct())
-    shared = _rarest(_live(_live(keys)))
+    members = rows.select("doc_id", "set", "n", "text_hash", "bits")
+    needs = rows.where("keys IS NOT NULL").groupBy("set").agg(F.max("even").alias("even"), F.max("odd").alias("odd"))
+    rare = staged(_rarest(_recurring(rows), needs), "rare-keys")
+    shared = staged(rare.join(rare.groupBy("key").agg(F.count("*").alias("sharing")).where("sharing > 1"), "key"), "shared-keys")
 
     fame = staged(shared.groupBy("set").agg(F.sum("sharing").alias("fame")), "fame")
     sets = members.where("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("least"))
-    candidates = members.join(fame.select("set"), "set", "left_semi").groupBy("set")
-    facts = staged(candidates.agg(F.first("n").alias("n"), F.first("bits", True).alias("bits"), F.min(F.struct("doc_id", "text_hash")).alias("who")).select("set", "n", "bits", "who.*"), "candidate-sets")
+    candidates = members.join(fame, "set").groupBy("set")
+    facts = staged(candidates.agg(F.first("fame").alias("fame"), F.first("n").alias("n"), F.first("bits", True).alias("bits"), F.min(F.struct("doc_id", "text_hash")).alias("who")).select("set", "fame", "n", "bits", "who.*"), "candidate-sets")
     texts = _texts_of(docs, facts)
     facts = _known(facts, texts, join)
-    shared = _shared(shared.select("key", "set").join(facts.select("set"), "set", "left_semi").distinct())
-    placed = staged(shared.select("key", "set").join(fame, "set").join(facts.select("set", "n", "s"), "set").withColumn("c", F.col("set")), "placed-segments")
-    links = labels = docs.sparkSession.createDataFrame([], "u long, v long")
-    tested = links
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The links so far and those of the pairs."""
-        left = staged(_bounded(pairs, facts, join), "bounded-pairs")
-        return links if left.isEmpty() else staged(links.unionByName(_verified(left, texts, join)), "links")
-
-    def mixed() -> DataFrame:
-        """The segments' rows under keys that sets of several components have, with the component."""
-        now = placed.drop("c").join(labels.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("c", F.coalesce("component", "set")).drop("component")
-        several = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-        return staged(now.join(staged(several, "mixed-keys"), "key", "left_semi"), "mixed-segments")
-
-    for round_no in range(ROUNDS):
-        if round_no:
-            placed = mixed()
-        lead = F.max(F.struct("fame", "set", "c", "n", "s")).alias("lead")
-        leaders = staged(placed.groupBy("key").agg(lead).select("key", "lead.*").toDF("key", *(f"leader_{c}" for c in ("fame", "set", "c", "n", "s"))), "leaders")
-        led = placed.join(leaders, "key").where((F.col("c") != F.col("leader_c")) & _room(join, "", "leader_"))
-        often = led.groupBy(F.col("set").alias("u"), F.col("leader_set").alias("v")).agg(F.count("*").alias("times"), F.max("leader_fame").alias("fame"))
-        often = often.join(tested, ["u", "v"], "left_anti") if round_no else often
-        best = staged(often.groupBy("u").agg(F.max(F.struct("times", "fame", "v")).alias("m")).select("u", F.col("m.v").alias("v")), "best-pairs")
-        links = linked(best)
-        tested = staged(tested.unionByName(best), "tested-pairs")
-        labels = staged(connected_components(links), "labels")
-
-    known = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    links = linked(staged(_tiled(mixed().select("key", "set", "c"), facts, join).join(known, ["u", "v"], "left_anti"), "last-pairs"))
+    placed = staged(shared.select("key", "set").join(facts.select("set", "fame", "n", "s"), "set"), "placed-segments")
+
+    lead = F.max(F.struct("fame", "set", "n", "s")).alias("lead")
+    leaders = staged(placed.groupBy("key").agg(lead).select("key", "lead.*").toDF("key", *(f"leader_{c}" for c in ("fame", "set", "n", "s"))), "leaders")
+    led = placed.join(leaders, "key").where((F.col("set") != F.col("leader_set")) & _room(join, "", "leader_"))
+    often = led.groupBy(F.col("set").alias("u"), F.col("leader_set").alias("v")).agg(F.count("*").alias("times"), F.max("leader_fame").alias("fame"))
+    best = staged(often.groupBy("u").agg(F.max(F.struct("times", "fame", "v")).alias("m")).select("u", F.col("m.v").alias("v")), "best-pairs")
+    links = _linked(best, facts, texts, join)
     labels = staged(connected_components(links), "labels")
 
+    # What is left are keys that sets of several components have.
+    now = placed.select("key", "set").join(labels.select(F.col("node").alias("set"), "component"), "set", "left").select("key", "set", F.coalesce("component", "set").alias("c"))
+    several = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    mixed = staged(now.join(several, "key", "left_semi"), "mixed-segments")
+    tested = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    last = staged(_tiled(mixed, facts, join).join(tested, ["u", "v"], "left_anti"), "last-pairs")
+    if not last.isEmpty():
+        labels = staged(connected_components(links.unionByName(_linked(last, facts, texts, join))), "labels")
+
     smallest = sets.select("set", F.col("least").alias("doc_id")).join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", F.coalesce("component", "set").alias("c"), "doc_id")
     roots = smallest.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     of_set = staged(smallest.join(roots, "c").select("set", "c", "component_id"), "set-components")

@@ -110,6 +110,46 @@ def test_tiles_leave_every_link():
         assert {(i, j) for i, j in links if not crossed or (i + j) % 2} <= found and len(found) < len(sets) ** 2 / 4
 
 
+def shuffled(spark, run):
+    """Bytes that the executors write for shuffles while `run` runs."""
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty()
+        found = context.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before = written()
+    run()
+    return written() - before
+
+
+def test_keys_move_once_and_tables_are_few(spark, monkeypatch):
+    rng, tables = random.Random(4), []
+    monkeypatch.setattr(jaccard_join, "BUCKETS", 6, raising=False)
+    monkeypatch.setattr(jaccard_join, "staged", lambda df, name, stage=jaccard_join.staged: tables.append(name) or stage(df, name))
+    rows = [(i, " ".join(str(rng.randrange(10**6)) for _ in range(400))) for i in range(800)]
+    keys = sum(len(Join(4, 85).segment_keys(s)[0]) for s in jaccard_join.shingle_sets(pa.array([t for _, t in rows]), 4))
+    docs = spark.createDataFrame([*rows, (900, rows[5][1] + " tail"), (901, "tail " + rows[5][1])], TEXTS)
+    found = []
+    assert shuffled(spark, lambda: found.extend(jaccard_components(docs, 4, 85).collect())) < 16 * keys
+    assert len(tables) < 30
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: i for i, _ in rows} | {900: 5, 901: 5}
+
+
+def test_keys_recur_where_several_sets_have_them(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BUCKETS", 3)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 50)
+    rng = random.Random(6)
+    text = " ".join(str(rng.randrange(10**6)) for _ in range(120))
+    rows = [(1, text), (2, text), (3, text + " tail"), (4, text.upper()), (5, "alone " * 3), (6, None), (7, "")]
+    found = jaccard_join._recurring(jaccard_join._rows(spark.createDataFrame(rows, TEXTS).repartition(3), Join(4, 85))).collect()
+    a, b = jaccard_join.shingle_sets(pa.array([text, text + " tail"]), 4)
+    both = set(Join(4, 85).segment_keys(a)[0].tolist()) & set(Join(4, 85).segment_keys(b)[0].tolist())
+    assert len(found) == 2 * len(both) and {r["sharing"] for r in found} == {2}
+    assert len({(r["key"], r["set"]) for r in found}) == len(found)
+
+
 def test_connected_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randint(200, 300), rng.randint(200, 300)) for _ in range(60)] + [(5, 5)]
