@@ -36,7 +36,7 @@ from .words import hashed_words
 #: Segments beyond D + 1, as a share.
 SLACK = 0.2
 #: Buckets of hashes, two to this power at least; hashes that a task gathers before it deals them to buckets.
-BUCKETS, CHUNK = 12, 1_000_000
+BUCKETS, CHUNK = 12, 1 << 18
 #: Bits of a bitmap for each shingle, and in all at least; groups that a leader's members are dealt to, at most.
 DENSITY, LEAST_BITS, GROUPS = 3, 1024, 256
 #: 64-bit words of the small bitmap that tiles compare, those of the least one; sets of a segment that meet in one tile, about, or with those of another.
